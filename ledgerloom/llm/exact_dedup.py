@@ -21,7 +21,7 @@ def _split(df: DataFrame, sha: str, max_filter_bytes: int) -> tuple[DataFrame, D
 
 
 def _groups(candidates: DataFrame, sha: str, id_col: str) -> DataFrame:
-    return candidates.groupBy(F.col(sha).alias("__sha")).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return candidates.groupBy(F.col(sha).alias("__sha")).agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
 
 
 def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bytes: int = 64 << 20) -> DataFrame:
@@ -36,7 +36,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     once, maybe = _split(own, "__text_sha", max_filter_bytes)
     alone = once.select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__text_sha").alias("text_sha256"))
     joined = maybe.join(_groups(maybe, "__text_sha", "__id"), F.col("__text_sha") == F.col("__sha"))
-    several = joined.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("__text_sha").alias("text_sha256"))
+    several = joined.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__text_sha").alias("text_sha256"))
     return alone.unionByName(several)
 
 
@@ -45,8 +45,8 @@ def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
 
     Of rows that also share that id, any one stays. Columns, also extra ones, are those of docs.
     """
-    sha = working_name(docs, "sha")
+    sha = working_name(docs, "text_sha")
     once, maybe = _split(docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), sha, max_filter_bytes)
     best = _groups(maybe, sha, id_col)
-    stay = maybe.join(best, (F.col(sha) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("keep_id")))
+    stay = maybe.join(best, (F.col(sha) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__keep")))
     return once.unionByName(stay.select(*once.columns).dropDuplicates([sha])).select(*docs.columns)
