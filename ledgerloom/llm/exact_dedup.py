@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bloom import flagged
-from ledgerloom.llm.store import working_name
+from ledgerloom.llm.store import working_name, written
 
 
 def _split(df: DataFrame, sha: str, max_filter_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -21,7 +21,9 @@ def _split(df: DataFrame, sha: str, max_filter_bytes: int) -> tuple[DataFrame, D
 
 
 def _groups(candidates: DataFrame, sha: str, id_col: str) -> DataFrame:
-    return candidates.groupBy(F.col(sha).alias("__sha")).agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    """One row per hash, written: Spark splits a hot hash's partition only in a join of two plain exchanges."""
+    groups = candidates.groupBy(F.col(sha).alias("__sha")).agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    return written(groups, "groups")
 
 
 def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bytes: int = 64 << 20) -> DataFrame:
