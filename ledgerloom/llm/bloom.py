@@ -25,21 +25,21 @@ def cells(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) + F.lit(i * bits) for i in (0, 1)]
 
 
-def repeated_cells(keys: DataFrame, key: Column, bits: int) -> DataFrame:
-    """Cells that at least two rows of keys fall in: one long column, cell."""
+def met_cells(keys: DataFrame, key: Column, bits: int, least: int) -> DataFrame:
+    """Cells that at least `least` rows of keys fall in: one long column, cell."""
     each = keys.select(F.explode(F.array(*cells(key, bits))).alias("cell"))
-    return each.groupBy("cell").count().where("count > 1").select("cell")
+    return each.groupBy("cell").count().where(F.col("count") >= least).select("cell")
 
 
-def flagged(df: DataFrame, keys: DataFrame, key: Column, rows: int, flag: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """df with a boolean column flag: whether the row's key may occur more than once among keys.
+def flagged(df: DataFrame, keys: DataFrame, key: Column, rows: int, flag: str, max_bytes: int = 64 << 20, least: int = 2) -> DataFrame:
+    """df with a boolean column flag: whether the row's key may occur at least `least` times among keys.
 
     key must resolve in df and in keys. The bitmaps are broadcast while their bound, 2 * bits / 8 bytes, is at
     most max_bytes. Beyond it the kept cells stay a distributed table, which meets the rows' cell numbers by a
     shuffled join, so that nothing that grows without bound is broadcast.
     """
     bits = table_bits(rows)
-    hot = repeated_cells(keys, key, bits)
+    hot = met_cells(keys, key, bits, least)
     out, tests = df, []
     if bits // 4 <= max_bytes:
         maps = hot.groupBy((F.col("cell") / F.lit(BITMAP_BITS)).cast("long").alias("__bucket")).agg(
@@ -58,3 +58,14 @@ def flagged(df: DataFrame, keys: DataFrame, key: Column, rows: int, flag: str, m
             out = out.join(side, F.col(f"__cell{i}") == F.col(f"__hot{i}"), "left")
             tests.append(F.col(f"__hot{i}").isNotNull())
     return out.withColumn(flag, tests[0] & tests[1]).select(*[df[c] for c in df.columns], flag)
+
+
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str, count: int) -> DataFrame:
+    """Rows of df whose id is in ids (one column, id_col, distinct): only rows that pass the filter shuffle."""
+    return flagged(df, ids, F.col(id_col), count, "__seen", least=1).where("__seen").drop("__seen").join(ids, id_col, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str, count: int) -> DataFrame:
+    """Rows of df whose id is not in ids: rows that fail the filter pass straight through."""
+    seen = flagged(df, ids, F.col(id_col), count, "__seen", least=1)
+    return seen.where("not __seen").drop("__seen").unionByName(seen.where("__seen").drop("__seen").join(ids, id_col, "left_anti").select(*df.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.license_scan import license_scan
+from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.token_files import token_file_report
 
@@ -32,8 +33,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_license_scan, op7_token_output)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_license_scan, op7_token_output, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
