@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.store import small_batches
 from ledgerloom.llm.words import ALNUM, Words, buffer, filled, slices
 
 #: The base phrases and their labels.
@@ -164,4 +165,4 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, _SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, _SCHEMA)

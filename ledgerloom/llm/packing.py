@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import written
-from ledgerloom.llm.wordcache import DEFAULT_WORD, CachedEncoder
+from ledgerloom.llm.store import small_batches, written
+from ledgerloom.llm.wordcache import DEFAULT_WORD, encoder
 from ledgerloom.llm.words import filled, slices
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,12 +27,12 @@ def pieces(docs: DataFrame, capacity: int = 4096, vocabulary: str = DEFAULT_WORD
     """Documents as pieces of at most capacity ids, the end id included: only longer documents are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = CachedEncoder(vocabulary, words=True), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary, words=True), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, ids = filled(batch.column(1)), batch.column(0).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [])
             for a, b in slices(texts):
-                for key, got in zip(ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist()), strict=True):
+                for key, got in zip(ids[a:b], encode.encode(texts.slice(a, b - a).to_pylist()), strict=True):
                     got += end
                     for k, at in enumerate(range(0, len(got), 4 * capacity)):
                         part = got[at : at + 4 * capacity]
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, vocabulary: str = DEFAULT_WORD
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, _PIECES)
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, _PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

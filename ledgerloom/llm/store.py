@@ -36,3 +36,12 @@ def working_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(df: DataFrame, most: int = 500) -> DataFrame:
+    """df, after limiting the rows that Python workers take at once: rows may be long texts, and memory must stay bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= most:
+        df.sparkSession.conf.set(name, most)
+    return df

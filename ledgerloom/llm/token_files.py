@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.mph import MinimalPerfectHash, fingerprints
-from ledgerloom.llm.store import fresh_path
-from ledgerloom.llm.wordcache import DEFAULT_BYTE, CachedEncoder
+from ledgerloom.llm.store import fresh_path, small_batches
+from ledgerloom.llm.wordcache import DEFAULT_BYTE, encoder
 from ledgerloom.llm.words import filled, slices
 
 #: The key under which rows without a key are kept.
@@ -98,9 +98,9 @@ _WRITTEN = "shard int, docs long, ids long"
 
 def _writer(folder: str, vocabulary: str, end_id: int, key_at: int, text_at: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = CachedEncoder(vocabulary), TaskContext.get()
+        encode, task = encoder(vocabulary), TaskContext.get()
         shard = task.partitionId()
-        width = 2 if max(encoder.library.get_vocab_size(), end_id) <= 1 << 16 else 4
+        width = 2 if max(encode.library.get_vocab_size(), end_id) <= 1 << 16 else 4
         store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
         own, keys, lengths, ids = f"{base}/.attempt-{task.taskAttemptId()}", [], [], None
@@ -109,7 +109,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, key_at: int, text_at: int
             keys.append(batch.column(key_at).fill_null(NO_KEY).to_numpy(zero_copy_only=False).astype(np.int64))
             for a, b in slices(texts):
                 ids = ids or store.open_output_stream(f"{own}.ids")
-                for got in encoder.encode(texts.slice(a, b - a).to_pylist()):
+                for got in encode.encode(texts.slice(a, b - a).to_pylist()):
                     one = np.append(np.frombuffer(got, "<u4"), np.uint32(end_id)).astype(f"<u{width}")
                     lengths.append(len(one))
                     ids.write(one.tobytes())
@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = DEFAULT_BY
     Gives (shard, documents, ids) of each shard: as many rows as shards, which Spark sizes by the shuffled bytes.
     Null texts count as empty; null ids come first, under NO_KEY; rows that share an id follow each other.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     laid = own.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
     return sorted(tuple(r) for r in laid.mapInArrow(_writer(folder, vocabulary, end_id, 0, 1), _WRITTEN).collect())
 

@@ -29,7 +29,7 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes of text, or of one longer text."""
     offsets = np.cumsum(np.concatenate(([0], pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))))
     at, n = 0, len(column)
