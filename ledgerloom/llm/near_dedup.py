@@ -7,9 +7,13 @@ so every chunk is indexed once for each choice of the symbols left out. With 16
 all pairs that differ in at most 31 of 80 symbols meet; a pair of similarity 0.8 differs in 16 on average, in over 31
 with a probability near 0.00001, and even then it mostly meets.
 
-Buckets are searched in rounds, never pairwise: a leader is compared with the bucket, then leaves it. Members of one
-component need no comparing, so a bucket is done when its members form one component; else the next leaders are taken
-from outside its largest component, twice as many each round.
+Buckets are searched by leaders, never pairwise. A bucket's first leader is the member that meets most others; each
+member is compared with it. Members of one component need no more comparing. Members of buckets that don't form one
+component yet may still be similar: these meet again under their rare shingles. A set of n shingles that shares 80 % of
+the union with another must share one of its n - ceil(0.8 n) + 1 rarest, in any common order; so only these become
+keys, and a set with as many shingles of its own alone has no partner at all. Those buckets are searched in rounds: a
+leader is compared with the bucket, then leaves it, and the next are taken from outside its largest component, twice as
+many each round, until all buckets are done.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.bloom import with_ids, without_ids
 from ledgerloom.llm.components import components
-from ledgerloom.llm.store import written
+from ledgerloom.llm.store import small_batches, written
 from ledgerloom.llm.words import SPACED, Words, buffer, filled, mixed, shingles, slices
 
 CHUNKS, WIDTH, ERRORS = 16, 5, 1
@@ -101,7 +105,9 @@ def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, found in shingle_sets(filled(batch.column(1)), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "set"])
+                values = pa.array(np.concatenate(found).view(np.int64)) if found else pa.array([], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), lists], names=["id", "set"])
 
     return sets
 
@@ -109,64 +115,83 @@ def _sets(size: int):
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-                if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(a, b)
-                both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+            keep, sides = [], []
+            for column in (batch.column(2), batch.column(3)):
+                flat = column.flatten().to_numpy(zero_copy_only=False).view(_U)
+                sides.append((flat, np.cumsum([0, *column.value_lengths().to_pylist()])))
+            (flat_a, at_a), (flat_b, at_b) = sides
+            for i in range(batch.num_rows):
+                a, b = flat_a[at_a[i] : at_a[i + 1]], flat_b[at_b[i] : at_b[i + 1]]
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose full sets are similar enough. Texts of the ids met only are read and shuffled."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")
-    count = ids.count()
-    if not count:
-        return pairs
-    sets = written(with_ids(docs, ids, "id", count).dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, set binary"), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, n and set of the given ids: only texts of ids met by a bounded filter are read into sets."""
+    sets = with_ids(docs, ids, "id", ids.count()).dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, set array<long>")
+    return written(sets.select("id", F.size("set").alias("n"), "set"), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose full sets are similar enough. Sets of too different sizes aren't compared."""
+    sizes = sets.select("id", "n")
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
+    near = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    for side in ("a", "b"):
+        near = near.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
+    return near.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    roots = components(edges)
-    return members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+def _live(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """key, id, label (the component) of the members of buckets that hold more than one component."""
+    roots = components(edges).withColumnRenamed("node", "id")
+    now = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    live = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return written(now.join(live, "key", "left_semi"), "live")
+
+
+def _rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id: the rarest shingles of each set, as many as a similar set must share one of, but for those of one set only."""
+    each = sets.select("id", "n", F.explode("set").alias("key"))
+    often = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "often")
+    shared = each.join(often, "key")
+    own = Window.partitionBy("id")
+    ranked = shared.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy("sets", "key")))
+    return ranked.where(F.col("at") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "id")
 
 
 def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all classes that any chain of similar pairs connects."""
     keys = classes.select("id", "signature").mapInArrow(_keys, "key long, id long")
-    leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    leads = written(leads, "leads")  # a join of two plain exchanges: Spark splits the partitions of hot keys
-    members = written(keys.join(leads, "key").where("id <> lead"), "buckets")
-    pairs = written(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    edges = tested = None
-    members, leaders = members.select("key", "id"), 1
+    counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")  # a join of two plain exchanges: Spark splits hot keys
+    members = written(keys.join(counts, "key"), "members")
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    known = written(members.select("key", "id").join(met, "id"), "known")
+    leads = written(known.groupBy("key").agg(F.max(F.struct("met", F.negative("id").alias("id"))).alias("best")).select("key", F.negative("best.id").alias("lead")), "leads")
+    members = written(known.select("key", "id").join(leads, "key").where("id <> lead"), "buckets")
+    pairs = written(members.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")
+    sets = _full_sets(docs, ids, size)
+    edges = written(_links(pairs, sets, percent), "links")
+    open_ids = written(_live(members.select("key", "id"), edges).select("id").distinct(), "open")
+    members = written(_rare_keys(sets.join(open_ids, "id", "left_semi"), percent), "buckets")
+    tested, leaders = pairs, 1
     while True:
-        found = written(_links(pairs, docs, size, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        now = _labelled(members, edges)
-        live = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        now = written(now.join(live, "key", "left_semi"), "live")
+        now = _live(members, edges)
         if now.isEmpty():
             return edges
-        sizes = now.groupBy("key", "label").count()
-        largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = now.join(largest, "key").where("label <> main").drop("main")
+        largest = now.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        outside = now.join(written(largest, "largest"), "key").where("label <> main").drop("main")
         ranked = outside.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("at") <= leaders)
         chosen = written(ranked.select("key", F.col("id").alias("lead"), F.col("label").alias("lead_label")), "leaders")
-        met = now.join(chosen, "key").where("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        pairs = written(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = now.join(chosen, "key").where("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         members = written(now.join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "buckets")
-        leaders *= 2
+        edges, tested, leaders = edges.unionByName(written(_links(pairs, sets, percent), "links")), tested.unionByName(pairs), leaders * 2
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -178,7 +203,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
     id reachable; kept is whether it is the document's own. Rows repeated with one id are each reported. Rows with a
     null id are linked with those of the same set only. Extra columns are ignored; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = written(own.mapInArrow(_sketch(size), "id long, n_shingles long, set_hash binary, signature binary"), "sketch")
     classes = sketch.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
