@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm.ann import nearest_neighbours
+from ledgerloom.llm.chat import chat_report
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.license_scan import license_scan
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.quality import quality_report
 from ledgerloom.llm.token_files import token_file_report
 
 
@@ -29,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"))
 
@@ -37,8 +45,21 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_report(table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe))
+
+
+EVERY = (op1_exact_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_license_scan, op7_token_output, op8_minhash_dedup)}
+    return {f.__name__: f for f in EVERY}
 
 
 def oracle_sql() -> dict[str, str]:
