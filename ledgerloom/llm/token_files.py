@@ -100,6 +100,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, key_at: int, text_at: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(vocabulary), TaskContext.get()
         shard = task.partitionId()
+        end = np.array([end_id], "<u4").tobytes()
         width = 2 if max(encode.library.get_vocab_size(), end_id) <= 1 << 16 else 4
         store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
@@ -109,10 +110,9 @@ def _writer(folder: str, vocabulary: str, end_id: int, key_at: int, text_at: int
             keys.append(batch.column(key_at).fill_null(NO_KEY).to_numpy(zero_copy_only=False).astype(np.int64))
             for a, b in slices(texts):
                 ids = ids or store.open_output_stream(f"{own}.ids")
-                for got in encode.encode(texts.slice(a, b - a).to_pylist()):
-                    one = np.append(np.frombuffer(got, "<u4"), np.uint32(end_id)).astype(f"<u{width}")
-                    lengths.append(len(one))
-                    ids.write(one.tobytes())
+                got = encode.encode(texts.slice(a, b - a).to_pylist())
+                lengths += [len(x) // 4 + 1 for x in got]
+                ids.write(np.frombuffer(end.join([*got, b""]), "<u4").astype(f"<u{width}"))
         if ids is None:
             return
         ids.close()

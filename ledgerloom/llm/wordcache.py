@@ -45,11 +45,11 @@ DEFAULT_WORD = public_tokenizers.path("word_bpe_49k.json")
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    The cache has two generations of at most `most` words: when the younger is full it replaces the older, and words
-    met again move back into the younger. Texts are taken in runs of at most `run` characters, or one longer text.
+    The cache starts anew when it holds `most` words. Texts are taken in runs of at most `run` characters, or one
+    longer text.
     """
 
-    def __init__(self, vocabulary: str, words: bool = False, most: int = 400_000, run: int = 2_000_000):
+    def __init__(self, vocabulary: str, words: bool = False, most: int = 1_000_000, run: int = 2_000_000):
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
         self.find_latin = _latin(WORD_PATTERN if words else BYTE_PATTERN).findall
@@ -57,13 +57,9 @@ class CachedEncoder:
         self.words, self.most, self.run = words, most, run
         self.reserved = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        """Afterwards all words of new are known, besides those that were."""
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        missing = list(new - again)
+        missing = list(new)
         for word, got in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self.known[word] = array("I", got.ids).tobytes()
 
@@ -82,7 +78,7 @@ class CachedEncoder:
 
     def _run(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+            self.known = {}
         cut = [self._cut(text) for text in texts]
         new = set().union(*(words for words in cut if words))
         new.difference_update(self.known)
