@@ -13,6 +13,7 @@ from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.license_scan import license_scan
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.passages import substring_duplicates
 from ledgerloom.llm.quality import quality_report
 from ledgerloom.llm.token_files import token_file_report
 
@@ -25,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe))
 
 
-EVERY = (op1_exact_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format)
+EVERY = (op1_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
