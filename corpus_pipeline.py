@@ -1,7 +1,55 @@
-"""Corpus pipeline."""
-STAGES = []
+"""From raw documents to packed ones, in five stages; each works on all that the one before it kept.
+
+1. quality: documents that the classifier predicts to be of low quality go.
+2. exact_dedup: of equal texts the document with the largest doc_id stays.
+3. near_dedup: of documents linked by a similarity of 0.8 of five-word shingles, one stays.
+4. substring_dedup: passages of 50 words or more that an earlier document holds are cut out of later ones.
+5. packing: what is left is tokenised and packed into sequences of 4096 tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.llm.exact_dedup import drop_exact_duplicates
+from ledgerloom.llm.near_dedup import drop_near_duplicates
+from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.passages import drop_repeated_passages
+from ledgerloom.llm.quality import quality_scores, train
+from ledgerloom.llm.store import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fitted on the labels of documents that are still there; keeps what scores 0.7 or more."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_scores(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
+
+#: SQL can't express the classifier, the signatures or the packing; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Each stage's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
