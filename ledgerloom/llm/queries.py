@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.ann import nearest_neighbours
+from ledgerloom.llm.byte_bpe import encode_and_decode
 from ledgerloom.llm.chat import chat_report
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.license_scan import license_scan
@@ -26,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe))
 
 
-EVERY = (op1_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format)
+EVERY = (op1_exact_dedup, op2_byte_bpe, op3_substring_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
