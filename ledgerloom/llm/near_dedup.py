@@ -11,9 +11,11 @@ Buckets are searched by leaders, never pairwise. A bucket's first leader is the
 member is compared with it. Members of one component need no more comparing. Members of buckets that don't form one
 component yet may still be similar: these meet again under their rare shingles. A set of n shingles that shares 80 % of
 the union with another must share one of its n - ceil(0.8 n) + 1 rarest, in any common order; so only these become
-keys, and a set with as many shingles of its own alone has no partner at all. Those buckets are searched in rounds: a
-leader is compared with the bucket, then leaves it, and the next are taken from outside its largest component, twice as
-many each round, until all buckets are done.
+keys, and a set with as many shingles of its own alone has no partner at all. Those buckets are searched in rounds:
+leaders are paired with the bucket's other components, then leave it, and the next are taken from outside its largest
+component, more each round, until all buckets are done. The first shingle in that order that two sets
+share bounds what they share by what follows it in either; only pairs that may still be similar are kept, and a pair
+that is similar is kept at its first common shingle at least.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bloom import with_ids, without_ids
@@ -149,19 +151,26 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _live(members: DataFrame, edges: DataFrame) -> DataFrame:
     """key, id, label (the component) of the members of buckets that hold more than one component."""
     roots = components(edges).withColumnRenamed("node", "id")
-    now = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    now = members.join(roots, "id", "left").select(*members.columns, F.coalesce("root", "id").alias("label"))
     live = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     return written(now.join(live, "key", "left_semi"), "live")
 
 
 def _rare_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """key, id: the rarest shingles of each set, as many as a similar set must share one of, but for those of one set only."""
+    """key, id, n, place: the rarest shingles of each set with their places, as many as a similar set must share one of, but for those that no other has."""
     each = sets.select("id", "n", F.explode("set").alias("key"))
     often = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "often")
     shared = each.join(often, "key")
     own = Window.partitionBy("id")
     ranked = shared.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy("sets", "key")))
-    return ranked.where(F.col("at") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "id")
+    ranked = ranked.withColumn("place", F.col("at") + F.col("alone"))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "id", "n", "place")
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Whether sets of n and lead_n shingles whose first common one has these places can reach the similarity."""
+    most = F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) + 1
+    return most * 100 >= (F.col("n") + F.col("lead_n") - most) * percent
 
 
 def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -179,7 +188,7 @@ def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     edges = written(_links(pairs, sets, percent), "links")
     open_ids = written(_live(members.select("key", "id"), edges).select("id").distinct(), "open")
     members = written(_rare_keys(sets.join(open_ids, "id", "left_semi"), percent), "buckets")
-    tested, leaders = pairs, 1
+    tested, leaders = pairs, 8
     while True:
         now = _live(members, edges)
         if now.isEmpty():
@@ -187,11 +196,11 @@ def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         largest = now.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         outside = now.join(written(largest, "largest"), "key").where("label <> main").drop("main")
         ranked = outside.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("at") <= leaders)
-        chosen = written(ranked.select("key", F.col("id").alias("lead"), F.col("label").alias("lead_label")), "leaders")
-        pairs = now.join(chosen, "key").where("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        chosen = written(ranked.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("id", "label", "n", "place")]), "leaders")
+        pairs = now.join(chosen, "key").where(F.col("label") != F.col("lead_label")).where(_may_be_similar(percent)).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        members = written(now.join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "buckets")
-        edges, tested, leaders = edges.unionByName(written(_links(pairs, sets, percent), "links")), tested.unionByName(pairs), leaders * 2
+        members = written(now.join(chosen.select("key", F.col("lead_id").alias("id")), ["key", "id"], "left_anti").drop("label"), "buckets")
+        edges, tested, leaders = edges.unionByName(written(_links(pairs, sets, percent), "links")), tested.unionByName(pairs), leaders * 16
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
