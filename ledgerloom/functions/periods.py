@@ -51,8 +51,12 @@ def quarter_end(c: Column) -> Column:
 
 
 def period(c: Column) -> Column:
-    """period and basis: the year's end before a date "as at", before a quarter, before any date."""
-    options = [F.when(d.isNotNull(), F.struct(d.alias("period"), F.lit(basis).alias("basis"))) for basis, p in BASES for d in (iso_date(F.regexp_extract(c, p, 1)),)]
-    for basis, d in (("quarter_ended", quarter_end(c)), ("period_ended", iso_date(c))):
-        options.append(F.when(d.isNotNull(), F.struct(d.alias("period"), F.lit(basis).alias("basis"))))
-    return F.coalesce(*options)
+    """period and basis: the year's end before a date "as at", before a quarter, before any date.
+
+    The dates of all fragments come from one lambda, so that the long expression of a date stands in the plan once.
+    """
+    fragments = F.array(*[F.regexp_extract(c, p, 1) for _, p in BASES], c)
+    dates = F.transform(fragments, iso_date)
+    named = [(F.get(dates, F.lit(i)), basis) for i, (basis, _) in enumerate(BASES)]
+    named += [(quarter_end(c), "quarter_ended"), (F.get(dates, F.lit(len(BASES))), "period_ended")]
+    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("period"), F.lit(basis).alias("basis"))) for d, basis in named])

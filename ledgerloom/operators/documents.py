@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -65,7 +66,6 @@ def _kept(text: str, separator: str) -> list[str]:
 
 def chunks(docs: DataFrame, text: str, size: int = 900, overlap: int = 120, whole: Column | None = None) -> DataFrame:
     """docs with chunk_no and chunk; rows for which `whole` holds, such as tables, stay unsplit."""
-    import pandas as pd
 
     @F.pandas_udf(ArrayType(StringType()))
     def split(texts: pd.Series) -> pd.Series:

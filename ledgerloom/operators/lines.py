@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +67,6 @@ def with_look_ahead(lines: DataFrame, keys: list[str], position: str, text: str,
 
     Whether a line is taken depends on whether the one before was: a state machine over each key's lines, in pandas.
     """
-    import re
-
-    import pandas as pd
-
     wants, has = re.compile(needs), re.compile(amount)
 
     def walk(page: pd.DataFrame) -> pd.DataFrame:
@@ -124,11 +121,9 @@ def mode_value_count(counts: DataFrame, keys: list[str], value: str, position: s
 def kmeans_1d(df: DataFrame, keys: list[str], value: str, rounds: int = 15) -> DataFrame:
     """Two centres of a column and their midpoint, by Lloyd's rounds from the 35th and 70th percentiles.
 
-    Values are read by streaming batches of their distinct counts, so a hot key's memory is bounded by its distinct values.
+    Values are counted before a key's are brought together, so a hot key's memory is bounded by its distinct values.
     """
-    import pandas as pd
-
-    def split(key: tuple, counted: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
+    def split(key: tuple, counted: pd.DataFrame) -> pd.DataFrame:
         x, n = counted[value].to_numpy(float), counted["n"].to_numpy(float)
         a, b = counted["low"].iloc[0], counted["high"].iloc[0]
         for _ in range(rounds):

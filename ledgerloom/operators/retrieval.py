@@ -48,7 +48,7 @@ def union_store_top_k(found: DataFrame, k: int) -> DataFrame:
 def threshold_else_all(found: DataFrame, least: float) -> DataFrame:
     """Results from the threshold on; all of a query's results where none reaches it."""
     best = F.max("score").over(Window.partitionBy("query_id"))
-    return found.where((F.col("score") >= least) | (best < least))
+    return found.withColumn("__best", best).where((F.col("score") >= least) | (F.col("__best") < least)).drop("__best")
 
 
 def reranked(found: DataFrame, scorer: Callable[[DataFrame], DataFrame], n: int = 3) -> DataFrame:

@@ -5,11 +5,576 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.functions import numbers, periods, text
+from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules
+from ledgerloom.sources import readers, sinks
+from ledgerloom.streaming import ingest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fixture(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    return spark.createDataFrame(rows, names)
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    """The same rows as a SQL table."""
+    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({names})"
+
+
+# Retrieval
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.scored(vectors.select("vec_id", F.col("label").alias("store"), "embedding"), asked)
+
+
+_SCORED = """scored AS (SELECT q.vec_id AS query_id, e.vec_id, e.label AS store,
+    round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q)"""
+
+
+@query(f"WITH {_SCORED} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored QUALIFY rank <= 12")
+def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top_k(_scored(spark, sf_dir), 12)
+
+
+@query(f"""WITH {_SCORED}, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, store ORDER BY score DESC, vec_id) <= 6)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM best QUALIFY rank <= 6""")
+def union_store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.union_store_top_k(_scored(spark, sf_dir), 6)
+
+
+@query(f"""WITH {_SCORED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored QUALIFY rank <= 12)
+    SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM best) WHERE score >= 0.9 OR top < 0.9""".replace("SELECT * FROM (", "SELECT query_id, vec_id, store, score, rank FROM ("))
+def threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.threshold_else_all(retrieval.top_k(_scored(spark, sf_dir), 12), 0.9)
+
+
+@query(f"""WITH {_SCORED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored QUALIFY rank <= 12)
+    SELECT *, (vec_id % 7)::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank)::INT AS rerank_rank FROM best QUALIFY rerank_rank <= 3""")
+def rerank_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = retrieval.top_k(_scored(spark, sf_dir), 12)
+    return retrieval.reranked(best, lambda df: df.withColumn("rerank_score", (F.col("vec_id") % 7).cast("double")), 3)
+
+
+@query("SELECT label AS store, count(*) AS n_vectors FROM embeddings GROUP BY ROLLUP (label)")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").rollup(F.col("label").alias("store")).agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+@query("SELECT conv_id, string_agg(text, '\n\n' ORDER BY turn) AS context FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.context(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY ALL),
+    n AS (SELECT (SELECT count(*) FROM documents) AS n, avg(len) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+    s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+          FROM tf JOIN len USING (doc_id) JOIN df USING (term) CROSS JOIN n WHERE term IN ('license', 'version', 'general') GROUP BY doc_id)
+    SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 20""")
+def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Okapi BM25 over all documents; only the three terms' postings are kept, next to every document's length."""
+    docs, wanted = table(spark, sf_dir, "documents"), ["license", "version", "general"]
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    count = lambda term: F.size(F.filter("words", lambda w: w == term))
+    each = words.select("doc_id", F.size("words").alias("len"), *[count(t).alias(t) for t in wanted])
+    stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean"), *[F.count_if(F.col(t) > 0).alias(f"df_{t}") for t in wanted])
+    joined = each.join(F.broadcast(stats))  # one row
+    part = lambda t: F.log(1 + (F.col("n") - F.col(f"df_{t}") + 0.5) / (F.col(f"df_{t}") + 0.5)) * F.col(t) * 2.2 / (F.col(t) + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
+    scored = joined.where(hierarchy.any_of([F.col(t) > 0 for t in wanted])).select("doc_id", F.round(sum(part(t) for t in wanted), 6).alias("score"))
+    best = scored.orderBy(F.desc("score"), "doc_id").limit(20)
+    return retrieval.top_k(best.select(F.lit(0).alias("query_id"), F.col("doc_id").alias("vec_id"), "score"), 20).select(F.col("vec_id").alias("doc_id"), "score", "rank")
+
+
+# Documents
+
+
+@query("SELECT doc_id, text, sha256(text) AS sha FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedupe_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha")), "text", "doc_id")
+
+
+_PERIOD_ROWS = """SELECT o_orderkey AS code, o_orderpriority AS line_item, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE round(o_totalprice)::BIGINT END AS "end",
+    o_custkey AS "start", o_orderstatus = 'F' AS is_total, 'VND' AS currency FROM orders"""
+
+
+def _period_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey code", "o_orderpriority line_item", "case when o_orderstatus = 'P' then null else cast(round(o_totalprice) as bigint) end `end`", "o_custkey `start`", "o_orderstatus = 'F' is_total", "'VND' currency")
+
+
+@query(f"""WITH r AS ({_PERIOD_ROWS}), u AS (SELECT code, line_item, is_total, currency, 'end' AS period_label, "end"::VARCHAR AS value FROM r UNION ALL SELECT code, line_item, is_total, currency, 'start', "start"::VARCHAR FROM r)
+    SELECT code, period_label, line_item || ' — ' || period_label || ': ' || value || ' (' || currency || ') tag:' || lower(line_item) || ' tag:' || CASE WHEN is_total THEN 'total' ELSE 'leaf' END AS content, 'table_row_value' AS type FROM u WHERE value IS NOT NULL""")
+def unpivot_period_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.period_documents(_period_rows(spark, sf_dir), ["code"], "line_item", unit="currency")
+
+
+@query("""SELECT p_partkey, concat_ws(' | ', 'p_name=' || p_name, 'p_brand=' || p_brand, 'p_size=' || p_size) AS content, 'table_row' AS type FROM part""")
+def row_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.row_documents(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), ["p_partkey"])
+
+
+@query("SELECT DISTINCT p_brand, 'columns: p_name, p_size' AS content, 'table_overview' AS type FROM part")
+def overview_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.overview(table(spark, sf_dir, "part").select("p_brand", "p_name", "p_size"), ["p_brand"])
+
+
+@query()
+def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+# Text
+
+
+_FOLD = "regexp_replace(strip_accents(lower(text)), '\\p{Mn}+', '', 'g')"
+_WS = "' \\t\\r\\n\\f\\x0B '"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_FOLD}, '[ \\t\\r\\n\\f\\x0B ]+', ' ', 'g')) AS norm, trim(regexp_replace(translate({_FOLD}, 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents")
+def strip_accents_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.normal(F.col("text")).alias("norm"), text.normal_words(F.col("text")).alias("words"))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[|¦•∙·]+', ' ', 'g'), '[^\\n\\x20-\\x7E\\x{A0}-\\x{FFFF}]', ' ', 'g'), ' {2,}', ' ', 'g'), ' ') AS clean,
+    trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}\\s.,;:()/%_-]', ' ', 'g'), '[ \\t\\r\\n\\f\\x0B ]+', ' ', 'g')) AS plain FROM documents""")
+def junk_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.without_junk(F.col("text")).alias("clean"), text.clean_text(F.col("text")).alias("plain"))
+
+
+_MONTH = "|".join(text.MONTHS)
+
+
+@query(f"""SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), '[{text.SINGLE_MARKED}ê]')) >= 3 THEN 'vi' WHEN regexp_matches(text, '(?i)\\b({_MONTH})\\b') THEN 'en' ELSE 'vi' END AS language FROM documents""")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
+
+
+_TITLES = [(1, "BẢNG CÂN ĐỐI KẾ TOÁN\nĐơn vị tính: triệu đồng"), (2, "Báo cáo kết quả hoạt động kinh doanh (nghìn đồng)"), (3, "Statement of Cash Flows, VND"), (4, "CHANGES IN EQUITY tỷ đồng"), (5, "no title"), (6, "Income statement | don vi tinh: dong"), (7, "")]
+
+
+@query("""WITH t AS (SELECT id, trim(regexp_replace(translate(strip_accents(lower(x)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS w FROM """ + values_sql(_TITLES, "id, x") + """)
+    SELECT id, CASE WHEN contains(w, 'bang can doi ke toan') OR contains(w, 'balance sheet') OR contains(w, 'statement of financial position') THEN 'balance_sheet'
+        WHEN contains(w, 'bao cao ket qua hoat dong kinh doanh') OR contains(w, 'income statement') THEN 'income_statement' WHEN contains(w, 'bao cao luu chuyen tien te') OR contains(w, 'cash flow') THEN 'cash_flow'
+        WHEN contains(w, 'bao cao thay doi von chu so huu') OR contains(w, 'changes in equity') THEN 'equity_changes' END AS kind,
+    CASE WHEN contains(w, 'nghin dong') THEN 1000 WHEN contains(w, 'trieu dong') THEN 1000000 WHEN contains(w, 'ngan dong') THEN 1000 WHEN contains(w, 'vn dong') THEN 1 WHEN contains(w, 'ty dong') THEN 1000000000 WHEN contains(w, 'dong') OR contains(w, 'vnd') THEN 1 END::BIGINT AS multiplier FROM t""")
+def statement_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixture(spark, _TITLES, "id int, x string")
+    return found.select("id", text.statement_kind(F.col("x")).alias("kind"), text.unit_multiplier(F.col("x")).alias("multiplier"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(s, 'bctc|balance|fs|financial') THEN 'BCTC' WHEN regexp_matches(s, 'survey|risk|inspection|giamsat') THEN 'survey' ELSE 'other' END AS kind
+    FROM (SELECT page_id, lower(regexp_extract(url, '([^/\\\\]*?)(\\.[^./\\\\]*)?$', 1)) AS s FROM pages)""")
+def doc_type_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.file_kind(F.col("url")).alias("kind"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 120 THEN rtrim(left(text, 117)) || '...' ELSE text END AS short, regexp_replace(regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}])license($|[^\\p{L}\\p{N}])', '\\1LICENCE\\2', 'g'), 'x', 'x') AS fixed FROM documents""")
+def truncate_and_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text")).alias("short"), text.corrected(F.col("text"), {"license": "LICENCE"}).alias("fixed"))
+
+
+@query()
+def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "documents").select("doc_id", text.with_headings(F.concat(F.lit("CHAPTER "), "source", F.lit("\n\n\n\n• "), "text")).alias("text"))
+    return marked.select("doc_id", "text", F.array_join(text.anchors(F.col("text")), "\n").alias("anchors"))
+
+
+@query()
+def forced_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.forced_breaks(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, '\n'), lambda x: contains(x, '|'))) >= greatest(6, floor(len(string_split(text, '\n')) / 4)) AS is_table FROM documents""")
+def ascii_table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_ascii_table(F.col("text")).alias("is_table"))
+
+
+@query("""SELECT doc_id, list_filter(list_transform(string_split(text, '\n')[1:20], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1] AS company FROM documents""")
+def company_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.company_line(F.col("text")).alias("company"))
+
+
+# Numbers and periods
+
+_AMOUNTS = [(i, x) for i, x in enumerate(["1.234.567", "1,234,567", "1.234,56", "1 234 567", "(1.234.567)", "-1.234", "12,5%", "O1I.l23.456", "150.9417,655,.545", "1234567890123", "1.234.567.890.123", "", "-", "abc", "1234.0"])]
+_A = values_sql(_AMOUNTS, "id, x")
+
+
+def _amounts(spark: SparkSession) -> DataFrame:
+    return fixture(spark, _AMOUNTS, "id int, x string")
+
+
+_NEG = "(trim(x) LIKE '(%)' OR trim(x) LIKE '-%')"
+
+
+def _digits_sql(look: str, like: str) -> str:
+    return f"try_cast(regexp_replace(translate(x, '{look}', '{like}'), '[^0-9]', '', 'g') AS DECIMAL(38,0)) * CASE WHEN {_NEG} THEN -1 ELSE 1 END"
+
+
+@query(f"""SELECT id, ({_digits_sql('OoIl', '0011')} * 1000)::DECIMAL(38,0) AS recognised, ({_digits_sql('Il|¡OoS£B', '111100558')})::DECIMAL(38,0) AS wide,
+    (try_cast(regexp_replace(regexp_extract(translate(x, 'OoIl', '0011'), '[0-9][0-9.,]*'), '[.,]', '', 'g') AS DECIMAL(38,0)) * CASE WHEN {_NEG} THEN -1 ELSE 1 END)::DECIMAL(38,0) AS first_group,
+    coalesce(try_cast(regexp_replace(x, '[^0-9]', '', 'g') AS DECIMAL(38,0)), 0)::DECIMAL(38,0) AS digits FROM {_A}""")
+def number_parse_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return _amounts(spark).select("id", numbers.recognised(x, 1000).alias("recognised"), numbers.recognised_wide(x).alias("wide"), numbers.first_group(x).alias("first_group"), numbers.digits_only(x).alias("digits"))
+
+
+def _last_dot_sql(x: str) -> str:
+    return f"CASE WHEN len(string_split({x}, '.')) > 2 THEN regexp_replace(regexp_replace({x}, '\\.[^.]*$', ''), '\\.', '', 'g') || regexp_extract({x}, '\\.[^.]*$') ELSE {x} END"
+
+
+def _double_sql(x: str) -> str:
+    return f"try_cast(CASE WHEN regexp_matches({x}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN {x} END AS DOUBLE)"
+
+
+@query(f"""WITH a AS (SELECT id, x, regexp_replace(x, '\\s', '', 'g') AS s, regexp_replace(x, '[^0-9.,+-]', '', 'g') AS k FROM {_A}),
+    b AS (SELECT id, x, CASE WHEN contains(s, '.') OR NOT contains(s, ',') THEN s ELSE replace(s, ',', '.') END AS s, CASE WHEN contains(k, '.') OR NOT contains(k, ',') THEN k ELSE replace(k, ',', '.') END AS k, replace(k, ',', '.') AS c FROM a),
+    d AS (SELECT id, x, {_last_dot_sql('s')} AS s, {_last_dot_sql('k')} AS k, {_last_dot_sql('c')} AS c FROM b)
+    SELECT id, {_double_sql('s')} AS loose, {_double_sql('k')} AS stripped, {_double_sql('c')} AS comma_decimal,
+    try_cast(CASE WHEN regexp_matches(regexp_replace(x, '[.,\\s]', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace(x, '[.,\\s]', '', 'g') END AS DECIMAL(38,0)) AS dropped FROM d""")
+def number_parse_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return _amounts(spark).select("id", numbers.loose(x).alias("loose"), numbers.stripped(x).alias("stripped"), numbers.comma_decimal(x).alias("comma_decimal"), numbers.separators_dropped(x).alias("dropped"))
+
+
+@query(f"""SELECT id, regexp_replace(translate(upper(x), 'OÔU', '000'), '[^0-9.]', '', 'g') AS with_dots, regexp_replace(translate(upper(x), 'OÔU', '000'), '[^0-9]', '', 'g') AS without_dots,
+    try_cast(nullif(replace(regexp_extract(x, '(-?[0-9]+([.,][0-9]+)?)\\s*%', 1), ',', '.'), '') AS DOUBLE) / 100 AS share,
+    nullif(regexp_extract(x, '(^|\\s)([0-9]{{1,2}})(\\s|$)', 2), '') AS note, array_to_string(list_filter(regexp_extract_all(x, '\\(?-?[0-9][0-9.,]*\\)?'), lambda t: length(regexp_replace(t, '[^0-9]', '', 'g')) >= 7), ' ') AS amounts FROM {_A}""")
+def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return _amounts(spark).select("id", numbers.look_alikes(x).alias("with_dots"), numbers.look_alikes(x, True).alias("without_dots"), numbers.percent(x).alias("share"), numbers.note(x).alias("note"), F.array_join(numbers.amount_tokens(x), " ").alias("amounts"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, replace(format('{:,}', round(l_extendedprice)::BIGINT), ',', '.') AS shown, round(l_extendedprice)::DECIMAL(38,0) AS back FROM lineitem""")
+def number_format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = numbers.grouped(F.round("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown"), numbers.recognised(shown).alias("back"))
+
+
+_DATES = [(i, x) for i, x in enumerate(["ngày 31 tháng 12 năm 2024", "cho năm tài chính kết thúc ngày 31 tháng 12 năm 2024, VND", "31/12/2024", "2024-1-5", "December 31, 2024", "31 December 2024", "for the year ended 30 June 2023", "as at March 1, 2022", "Quý IV/2024", "Q3 2024", "31/02/2024", "Tại ngày 30/9/2021", "none", ""])]
+
+
+@query()
+def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixture(spark, _DATES, "id int, x string").withColumn("p", periods.period(F.col("x")))
+    return found.select("id", periods.iso_date(F.col("x")).alias("iso"), periods.checked_date(F.col("x")).alias("checked"), F.col("p.period").alias("period"), F.col("p.basis").alias("basis"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, year(o_orderdate)::VARCHAR || CASE quarter(o_orderdate) WHEN 1 THEN '-03-31' WHEN 2 THEN '-06-30' WHEN 3 THEN '-09-30' ELSE '-12-31' END AS period, 'quarter_ended' AS basis FROM orders""")
+def period_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's date in words, and its quarter, read back from a line of text."""
+    date = F.col("o_orderdate").cast("date")
+    line = F.concat(F.lit("Q"), F.quarter(date), F.lit(" "), F.year(date), F.lit(" ngày "), F.dayofmonth(date), F.lit(" tháng "), F.month(date), F.lit(" năm "), F.year(date))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("x")).withColumn("p", periods.period(F.col("x")))
+    return found.select("o_orderkey", periods.iso_date(F.col("x")).alias("iso"), F.col("p.period").alias("period"), F.col("p.basis").alias("basis"))
+
+
+# Lines and tokens
+
+
+@query("""SELECT l_orderkey, string_agg(l_returnflag || l_partkey, ' ' ORDER BY l_linenumber, l_returnflag || l_partkey) AS line, min(l_quantity) AS top FROM lineitem GROUP BY l_orderkey""")
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "1 block_num", "1 par_num", "1 line_num", "l_linenumber `left`", "l_quantity top", "concat(l_returnflag, l_partkey) text", "90.0D conf")
+    return lines.token_lines(tokens, ["l_orderkey"]).select("l_orderkey", "line", "top")
+
+
+@query("""WITH g AS (SELECT *, coalesce((epoch(ts) - lag(epoch(ts)) OVER w > 1800)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS line_no FROM g""")
+def line_gap_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return lines.gap_groups(events, ["user_id"], ["ts", "event_id"], F.col("at"), F.lit(1800.0)).select("user_id", "event_id", "line_no")
+
+
+_DOC_LINES = "l AS (SELECT doc_id, unnest(string_split(text, '\n')) AS line, generate_subscripts(string_split(text, '\n'), 1) - 1 AS pos FROM documents)"
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query(f"""WITH {_DOC_LINES}, n AS (SELECT *, sum((length(line) > 40)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS item FROM l)
+    SELECT doc_id, item, min(pos)::INT AS pos, string_agg(line, ' ' ORDER BY pos) AS line, count(*) AS n_lines FROM n WHERE item > 0 GROUP BY doc_id, item""")
+def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.merged_continuations(_doc_lines(spark, sf_dir), ["doc_id"], "pos", "line", F.length("line") > 40)
+
+
+@query(f"""WITH {_DOC_LINES}, s AS (SELECT *, bool_or(contains(line, ',')) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seen, bool_or(contains(line, ',')) OVER (PARTITION BY doc_id) AS has_any FROM l)
+    SELECT doc_id, pos::INT AS pos, line FROM s WHERE seen OR NOT has_any""")
+def trim_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.from_first(_doc_lines(spark, sf_dir), ["doc_id"], "pos", F.contains("line", F.lit(",")))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' OR event_id % 5 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS unit FROM events""")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "events").withColumn("unit", F.when((F.col("event_type") == "purchase") | (F.col("event_id") % 5 == 0), F.col("value")))
+    return lines.carried_forward(known, ["user_id"], "event_id", "unit").select("event_id", "unit")
+
+
+@query("""SELECT p_brand AS code, min(p_partkey) AS pos, string_agg(p_name, ' ' ORDER BY p_partkey) AS name, arg_min(p_type, p_partkey) AS p_type, arg_min(p_size, p_partkey) FILTER (p_size > 25) AS p_size FROM part GROUP BY p_brand""")
+def merge_same_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("code"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), "p_type", F.when(F.col("p_size") > 25, F.col("p_size")).alias("p_size"))
+    return lines.merged_rows(rows, "code", "pos", "name", ["p_type", "p_size"])
+
+
+@query("""WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) SELECT (SELECT count(*) FROM lineitem) AS n_rows, round(100 * (SELECT avg((l_quantity > 10)::INT) FROM lineitem), 2) AS pct_numeric, count(*) AS n_codes, count(*) FILTER (n > 1) AS n_repeated FROM c""")
+def parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("v"))
+    return lines.parse_report(rows, "l_partkey", ["v"])
+
+
+@query("""WITH m AS (SELECT l_suppkey, l_linenumber, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem WHERE l_linenumber BETWEEN 1 AND 4 GROUP BY ALL),
+    b AS (SELECT l_suppkey, l_linenumber AS mode FROM m QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, pos) = 1)
+    SELECT l_suppkey, coalesce(mode, 2) AS mode FROM (SELECT DISTINCT l_suppkey FROM lineitem) LEFT JOIN b USING (l_suppkey)""")
+def value_count_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return lines.mode_value_count(rows, ["l_suppkey"], "l_linenumber", "at").select("l_suppkey", "mode")
+
+
+@query("SELECT rpad(p_brand, w.b, ' ') || ' | ' || rpad(p_name, w.n, ' ') AS line FROM part, (SELECT greatest(7, max(length(p_brand)))::INT AS b, greatest(6, max(length(p_name)))::INT AS n FROM part) w")
+def aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.aligned(table(spark, sf_dir, "part"), ["p_brand", "p_name"])
+
+
+@query()
+def column_centres_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.kmeans_1d(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query()
+def look_ahead_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.with_look_ahead(_doc_lines(spark, sf_dir), ["doc_id"], "pos", "line", r"\.$", r"\d{3,}")
+
+
+@query()
+def code_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.segments(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+
+
+@query("SELECT p_partkey, nullif(regexp_extract((p_partkey % 900 + 100) || '.' || p_size || ' ' || p_name, '^\\s*([0-9]{2,3}(\\.[0-9]+)?)\\s', 1), '') AS code, p_name AS name FROM part")
+def code_name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.col("p_partkey") % 900 + 100, F.lit("."), "p_size", F.lit(" "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", text.code_and_name(line).alias("x")).select("p_partkey", "x.code", "x.name")
+
+
+# Hierarchy and balance: each order is an entity; its total is code 270, halves 100 and 200, lines below them
+
+
+_STATEMENT = """v AS (SELECT l_orderkey AS entity, CASE WHEN l_linenumber % 2 = 0 THEN '100' ELSE '200' END AS half, l_linenumber AS n, round(l_extendedprice)::BIGINT AS value FROM lineitem),
+    lines AS (SELECT entity, CASE half WHEN '100' THEN '1' ELSE '2' END || (n)::VARCHAR || '0' AS code, value FROM v),
+    halves AS (SELECT entity, half AS code, sum(value)::BIGINT + CASE WHEN entity % 3 = 0 THEN 7 ELSE 0 END AS value FROM v GROUP BY entity, half),
+    totals AS (SELECT entity, '270' AS code, sum(value)::BIGINT + CASE WHEN entity % 5 = 0 THEN 100000 ELSE 0 END AS value FROM v GROUP BY entity),
+    st AS (SELECT * FROM lines UNION ALL SELECT * FROM halves UNION ALL SELECT * FROM totals)"""
+_RULES = {"100": "120 140 160", "200": "210 230 250 -270x", "270": "100 200"}
+_EDGES = values_sql([(f"{p}={c}", p, x.lstrip("+-"), -1 if x[0] == "-" else 1) for p, c in _RULES.items() for x in c.split()], "rule_id, parent, child, sign")
+
+
+def _statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey entity", "if(l_linenumber % 2 = 0, '100', '200') half", "l_linenumber n", "cast(round(l_extendedprice) as bigint) value")
+    below = v.selectExpr("entity", "concat(if(half = '100', '1', '2'), n, '0') code", "value")
+    halves = v.groupBy("entity", F.col("half").alias("code")).agg((F.sum("value") + F.when(F.col("entity") % 3 == 0, 7).otherwise(0)).alias("value"))
+    totals = v.groupBy("entity").agg((F.sum("value") + F.when(F.col("entity") % 5 == 0, 100000).otherwise(0)).alias("value")).selectExpr("entity", "'270' code", "value")
+    return below.unionByName(halves).unionByName(totals)
+
+
+_SUMS = f"sums AS (SELECT entity, parent, sum(sign * coalesce(value, 0))::BIGINT AS children_sum, count(*) AS n_children FROM st JOIN (SELECT * FROM {_EDGES}) e ON st.code = e.child GROUP BY entity, parent)"
+
+
+@query(f"WITH {_STATEMENT}, {_SUMS} SELECT * FROM sums")
+def signed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.signed_rollup(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
+
+
+@query(f"""WITH {_STATEMENT}, {_SUMS} SELECT entity, parent, children_sum, n_children, value AS observed, value - children_sum AS diff,
+    abs(value - children_sum) <= 1 OR (value <> 0 AND abs((value - children_sum) / value::DOUBLE) <= 0.005) AS ok FROM sums JOIN st USING (entity) WHERE st.code = parent""")
+def subtotal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.checked_totals(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
+
+
+@query(f"""WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}) SELECT entity, rule_id, parent, sum(sign * value)::BIGINT AS children_sum FROM st JOIN e ON st.code = e.child
+    GROUP BY entity, rule_id, parent HAVING count(DISTINCT child) = (SELECT count(*) FROM e x WHERE x.rule_id = e.rule_id)""".replace("x.rule_id = e.rule_id", "x.rule_id = any_value(e.rule_id)"))
+def formula_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.complete_rules(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
+
+
+@query(f"WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}) SELECT entity, parent, child AS code FROM st JOIN e ON st.code = e.parent WHERE NOT EXISTS (SELECT 1 FROM st x WHERE x.entity = st.entity AND x.code = e.child)")
+def missing_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.missing_children(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"])
+
+
+_CODES = [(c,) for c in "100 110 111 112 120 130 131 131.1 131.2 139 151 200 210 270 300 310".split()]
+
+
+@query(f"""WITH c AS (SELECT * FROM {values_sql(_CODES, 'code')}), p AS (SELECT code AS child, CASE WHEN contains(code, '.') THEN regexp_extract(code, '^(.*)\\.[^.]*$', 1) WHEN code NOT LIKE '%0' THEN left(code, 2) || '0' WHEN code NOT LIKE '_00' THEN left(code, 1) || '00' END AS parent FROM c)
+    SELECT parent, child FROM p WHERE parent IN (SELECT code FROM c) AND (parent, child) NOT IN (('110', '111'), ('110', '112'))""")
+def new_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.new_children(fixture(spark, _CODES, "code string"), hierarchy.rule_edges(spark, {"110": "111 112"}))
+
+
+@query(f"""WITH c AS (SELECT * FROM {values_sql(_CODES, 'code')}), p AS (SELECT code, nullif(regexp_extract(code, '^(.*)\\.[^.]*$', 1), '') AS parent_code FROM c)
+    SELECT code, parent_code, coalesce((SELECT string_agg(x.code, ',' ORDER BY x.code) FROM p x WHERE x.parent_code = p.code), '') AS children FROM p""")
+def code_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.family(fixture(spark, _CODES, "code string")).select("code", "parent_code", F.array_join("children_codes", ",").alias("children"))
+
+
+@query(f"""WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}),
+    s1 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM st JOIN e ON st.code = e.child WHERE parent IN ('100', '200') GROUP BY entity, parent),
+    r1 AS (SELECT st.entity, st.code, st.value AS observed, CASE WHEN s IS NOT NULL AND NOT (abs(value - s) <= 1 OR (value <> 0 AND abs((value - s) / value::DOUBLE) <= 0.005)) THEN s ELSE value END AS value FROM st LEFT JOIN s1 ON st.entity = s1.entity AND st.code = s1.code),
+    s2 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM r1 JOIN e ON r1.code = e.child WHERE parent = '270' GROUP BY entity, parent),
+    r2 AS (SELECT r1.entity, r1.code, observed, CASE WHEN s IS NOT NULL AND NOT (abs(value - s) <= 1 OR (value <> 0 AND abs((value - s) / value::DOUBLE) <= 0.005)) THEN s ELSE value END AS value FROM r1 LEFT JOIN s2 ON r1.entity = s2.entity AND r1.code = s2.code)
+    SELECT entity, code, observed, value, value <> observed AS changed FROM r2""")
+def repair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.repaired(_statement(spark, sf_dir), _RULES, ["entity"], "value")
+
+
+@query(f"WITH {_STATEMENT} SELECT entity, a.value AS left_value, b.value AS right_value, coalesce(abs(a.value - b.value) <= 1, false) AS ok FROM (SELECT * FROM st WHERE code = '100') a FULL JOIN (SELECT * FROM st WHERE code = '270') b USING (entity)")
+def cross_statement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = _statement(spark, sf_dir)
+    return hierarchy.cross_check(st, st, ["entity"], "100", "270", "value")
+
+
+# Ratios
+
+
+_LABELS = ["Tài sản ngắn hạn", "Nợ ngắn hạn", "Vốn chủ sở hữu", "Tổng nợ phải trả", "Total assets", "Revenue", "Net income", "ghi chú"]
+_KEYS = ["current_assets", "current_liabilities", "equity", "total_liabilities", "total_assets", "revenue", "net_income"]
+_FILE_ROWS = "f AS (SELECT c_nationkey AS file, c_custkey AS pos, c_custkey % 8 AS which, c_acctbal AS value FROM customer)"
+
+
+def _file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*[F.lit(x) for x in _LABELS])
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("pos"), F.get(labels, (F.col("c_custkey") % 8).cast("int")).alias("label"), F.col("c_acctbal").alias("value"))
+
+
+# what each label's accent-free form holds: "tai san" is in "tai san ngan han", "no phai tra" in "tong no phai tra"
+_MET = values_sql([(0, "current_assets", 0), (0, "total_assets", 1), (1, "current_liabilities", 0), (2, "equity", 0), (3, "total_liabilities", 0), (4, "total_assets", 2), (5, "revenue", 2), (6, "net_income", 3)], "which, key, ord")
+_FOUND = f"found AS (SELECT file, key, value FROM f JOIN (SELECT * FROM {_MET}) m USING (which) QUALIFY row_number() OVER (PARTITION BY file, key ORDER BY ord, pos) = 1)"
+
+
+@query(f"WITH {_FILE_ROWS}, {_FOUND} SELECT * FROM found")
+def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratios.found_values(_file_rows(spark, sf_dir), ["file"], "label", "value", "pos", ratios.synonym_table(spark, ratios.SYNONYMS))
+
+
+_WIDE = [r for r in ratios.RATIOS if r[1] in _KEYS and r[2] in _KEYS]
+_RATIO_COLUMNS = ", ".join(f"max(CASE WHEN n.key = '{n}' AND d.key = '{d}' THEN round(n.value / d.value, 4) END) AS \"{name}\"" for name, n, d in _WIDE)
+
+
+@query(f"WITH {_FILE_ROWS}, {_FOUND} SELECT n.file, {_RATIO_COLUMNS} FROM found n JOIN found d ON n.file = d.file AND n.value <> 0 AND d.value <> 0 GROUP BY n.file")
+def ratio_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ratios.found_values(_file_rows(spark, sf_dir), ["file"], "label", "value", "pos", ratios.synonym_table(spark, ratios.SYNONYMS))
+    return ratios.wide(ratios.ratio_values(found, ["file"], ratios.ratio_table(spark)), ["file"], [r[0] for r in _WIDE])
+
+
+# Rules, sidecars, sinks
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '/a') THEN 'first' WHEN regexp_matches(url, '[0-9]+$') THEN 'numbered' ELSE 'other' END AS rule FROM pages")
+def rule_match_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", rules.first_match(F.col("url"), [("/a", "first"), (r"[0-9]+$", "numbered")], "other").alias("rule"))
+
+
+@query("SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def sidecar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.with_sidecar(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
+def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", rules.alias(F.col("o_orderstatus"), {"F": "final", "O": "open"}).alias("status"))
+
+
+@query("""WITH w AS (SELECT p_partkey, lower(p_type) AS word FROM part), dict AS (SELECT DISTINCT substr(lower(p_type), 1, length(p_type) - 1) AS entry FROM part),
+    m AS (SELECT word, entry, round(100 * (1 - levenshtein(word, entry)::DOUBLE / greatest(length(word), length(entry), 1)), 4) AS score FROM (SELECT DISTINCT word FROM w), dict),
+    b AS (SELECT * FROM m WHERE score > 85 QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, entry) = 1)
+    SELECT p_partkey, w.word, score, coalesce(entry, w.word) AS matched FROM w LEFT JOIN b ON w.word = b.word""")
+def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("word"))
+    return rules.fuzzy_match(words, words.select(F.expr("substr(word, 1, length(word) - 1)").alias("entry")).distinct())
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) = 1")
+def chat_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.latest(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn"), F.col("role")])
+
+
+@query("SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def chat_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = sinks.chats(table(spark, sf_dir, "conversations"))
+    return saved.select("conv_id", F.size(F.from_json("messages", "array<array<string>>")).cast("long").alias("n_messages"))
+
+
+@query("SELECT doc_id, sha1(text || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END) AS sha1 FROM documents WHERE doc_id % 4 = 0")
+def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.withColumn("sha1", F.sha1("text"))
+    new = docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 4 == 0, "!").otherwise("")))
+    return rules.unchanged_skipped(new, old, "doc_id", "text").select("doc_id", "sha1")
+
+
+@query("SELECT count(*) AS n_paths, count(*) FILTER (length(url) > 40) AS n_over, max(length(url))::INT AS longest FROM pages")
+def path_length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.paths_over(table(spark, sf_dir, "pages"), "url", 40)
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id".replace("arg_max(event_id, (ts, event_id))", "list(event_id ORDER BY ts DESC, event_id DESC)[1]"))
+def latest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
+
+
+@query("SELECT source, bool_and(length(text) < 200) AS needs_ocr, count(*) AS n_pages FROM documents GROUP BY source")
+def scanned_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("source", F.when(F.length("text") >= 200, F.col("text")).otherwise(" ").alias("text"))
+    return readers.scanned(pages, "source", "text")
+
+
+@query("""WITH p AS (SELECT 'd/base' || (page_id // 2) || '_page' || lpad((page_id // 2)::VARCHAR, 3, '0') || CASE WHEN page_id % 2 = 0 THEN '_bin' ELSE '_orig' END || '.png' AS path, page_id FROM pages)
+    SELECT 'base' || (page_id // 2) AS base, (page_id // 2)::INT AS page, max(path) FILTER (page_id % 2 = 0) AS bin, max(path) FILTER (page_id % 2 = 1) AS orig FROM p GROUP BY page_id // 2""")
+def page_image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = "cast(page_id div 2 as string)"
+    paths = table(spark, sf_dir, "pages").selectExpr(f"concat('d/base', {half}, '_page', lpad({half}, 3, '0'), if(page_id % 2 = 0, '_bin', '_orig'), '.png') path")
+    return readers.page_images(paths)
+
+
+# Streams, run here as batches of the same expressions
+
+
+@query("""WITH g AS (SELECT *, coalesce((ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n_events, round(sum(value), 6) AS total FROM n GROUP BY user_id, s""")
+def session_gap_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n_events FROM events GROUP BY ALL")
+def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.windowed(table(spark, sf_dir, "events"))
