@@ -49,7 +49,7 @@ class CachedEncoder:
     longer text.
     """
 
-    def __init__(self, vocabulary: str, words: bool = False, most: int = 1_000_000, run: int = 2_000_000):
+    def __init__(self, vocabulary: str, words: bool = False, most: int = 1_500_000, run: int = 2_000_000):
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
         self.find_latin = _latin(WORD_PATTERN if words else BYTE_PATTERN).findall
