@@ -11,32 +11,33 @@ from pyspark.sql import functions as F
 WHOLE = "decimal(38,0)"
 
 
-def _decimal_text(c: Column, commas: bool) -> Column:
-    """With one decimal point at most: of several dots, or commas where they count, the last is it."""
-    c = F.regexp_replace(c, r"\s", "")
-    if commas:
-        c = F.translate(c, ",", ".")
-    else:
-        c = F.when(c.contains(".") | ~c.contains(","), c).otherwise(F.translate(c, ",", "."))
+def _last_dot(c: Column) -> Column:
+    """Of several dots the last is the decimal point."""
     dots = F.length(c) - F.length(F.translate(c, ".", ""))
     at = F.length(c) - F.instr(F.reverse(c), ".") + 1
     whole = F.translate(F.substr(c, F.lit(1), at - 1), ".", "")
     return F.when(dots > 1, F.concat(whole, F.lit("."), F.substr(c, at + 1))).otherwise(c)
 
 
+def _decimal_text(c: Column) -> Column:
+    """Commas alone are decimal points, and several are no number; of dots alone the last is; both together are no number."""
+    c = F.regexp_replace(c, r"\s", "")
+    return F.when(~c.contains(","), _last_dot(c)).when(~c.contains("."), F.translate(c, ",", ".")).otherwise(c)
+
+
 def loose(c: Column) -> Column:
     """Spaces dropped; commas alone are decimal; of several dots the last is."""
-    return _double(_decimal_text(c, commas=False))
+    return _double(_decimal_text(c))
 
 
 def stripped(c: Column) -> Column:
     """As loose, after all but digits, signs and separators is dropped."""
-    return _double(_decimal_text(F.regexp_replace(c, r"[^0-9.,+-]", ""), commas=False))
+    return _double(_decimal_text(F.regexp_replace(c, r"[^0-9.,+-]", "")))
 
 
 def comma_decimal(c: Column) -> Column:
     """Commas are dots, and the last dot is decimal."""
-    return _double(_decimal_text(F.regexp_replace(c, r"[^0-9.,+-]", ""), commas=True))
+    return _double(_last_dot(F.translate(F.regexp_replace(c, r"[^0-9.,+-]", ""), ",", ".")))
 
 
 def separators_dropped(c: Column) -> Column:

@@ -30,7 +30,7 @@ def formula_rules(formulas: list[str]) -> dict[str, str]:
     out = {}
     for formula in formulas:
         left, right = formula.split("=")
-        out[left.strip()] = right.replace("+", " ").replace("- ", "-").strip()
+        out[left.strip()] = " ".join(right.replace("+", " ").replace("- ", "-").split())
     return out
 
 

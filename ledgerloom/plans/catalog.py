@@ -259,8 +259,9 @@ def _double_sql(x: str) -> str:
 
 
 @query(f"""WITH a AS (SELECT id, x, regexp_replace(x, '\\s', '', 'g') AS s, regexp_replace(x, '[^0-9.,+-]', '', 'g') AS k FROM {_A}),
-    b AS (SELECT id, x, CASE WHEN contains(s, '.') OR NOT contains(s, ',') THEN s ELSE replace(s, ',', '.') END AS s, CASE WHEN contains(k, '.') OR NOT contains(k, ',') THEN k ELSE replace(k, ',', '.') END AS k, replace(k, ',', '.') AS c FROM a),
-    d AS (SELECT id, x, {_last_dot_sql('s')} AS s, {_last_dot_sql('k')} AS k, {_last_dot_sql('c')} AS c FROM b)
+    b AS (SELECT *, replace(k, ',', '.') AS c FROM a),
+    d AS (SELECT id, x, CASE WHEN NOT contains(s, ',') THEN {_last_dot_sql('s')} WHEN NOT contains(s, '.') THEN replace(s, ',', '.') ELSE s END AS s,
+        CASE WHEN NOT contains(k, ',') THEN {_last_dot_sql('k')} WHEN NOT contains(k, '.') THEN replace(k, ',', '.') ELSE k END AS k, {_last_dot_sql('c')} AS c FROM b)
     SELECT id, {_double_sql('s')} AS loose, {_double_sql('k')} AS stripped, {_double_sql('c')} AS comma_decimal,
     try_cast(CASE WHEN regexp_matches(regexp_replace(x, '[.,\\s]', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace(x, '[.,\\s]', '', 'g') END AS DECIMAL(38,0)) AS dropped FROM d""")
 def number_parse_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
