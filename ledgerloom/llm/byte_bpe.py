@@ -124,7 +124,7 @@ def encode_and_decode(docs: DataFrame, path: str = DEFAULT_RANKS, pattern: str =
     text = F.array_join(F.transform(each, lambda i: F.get(vocabulary, i.cast("int"))), "")
     return ids.select(
         F.col(id_col),
-        F.size(each).cast("long").alias("n_tokens"),
+        F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("decoded_sha256"),
     )
