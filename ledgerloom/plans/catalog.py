@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, periods, text
-from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules
+from ledgerloom.models import StubRunner
+from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules, statements, tables
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming import ingest
 
@@ -567,6 +568,83 @@ def page_image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.page_images(paths)
 
 
+# Tables and statements
+
+
+@query("""SELECT l_orderkey, l_linenumber, (l_partkey % 900 + 100)::VARCHAR AS code, 'Khoản mục ' || l_returnflag AS name, (l_linenumber)::VARCHAR AS note,
+    (round(l_extendedprice) + 100000)::DECIMAL(38,0) AS "end", -(round(l_quantity) + 10000)::DECIMAL(38,0) AS "begin" FROM lineitem""")
+def parse_statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item written as a statement line, half of them between bars, and read back."""
+    amount, other = numbers.grouped(F.round("l_extendedprice") + 100000), F.concat(F.lit("("), numbers.grouped(F.round("l_quantity") + 10000), F.lit(")"))
+    code, name = (F.col("l_partkey") % 900 + 100).cast("string"), F.concat(F.lit("Khoản mục "), "l_returnflag")
+    cells = [code, name, F.col("l_linenumber").cast("string"), amount, other]
+    line = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(" | ", *cells)).otherwise(F.concat_ws("  ", *cells))
+    written = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    return statements.statement_rows(written, ["l_orderkey", "l_linenumber"], "line")
+
+
+@query("""SELECT * FROM (SELECT 'p_name' AS column_name, round(avg(regexp_matches(trim(p_name), '^[+-]?\\s*\\(?[0-9][0-9\\s.,]*\\)?%?$')::INT), 6) AS num_rate, round(avg(length(p_name)), 6) AS mean_length FROM part)
+    UNION ALL SELECT 'p_size', 1.0, round(avg(length(p_size::VARCHAR)), 6) FROM part""")
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.profile(table(spark, sf_dir, "part").select("p_name", "p_size"))
+
+
+@query("SELECT p_partkey, p_brand AS extra1, CASE WHEN p_size % 2 = 0 THEN p_type END AS extra2 FROM part")
+def extras_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = F.when(F.col("p_size") % 2 == 0, F.concat_ws("; ", "p_brand", "p_type")).otherwise(F.concat("p_brand", F.lit(" ;")))
+    return tables.split_extras(table(spark, sf_dir, "part").select("p_partkey", packed.alias("extra_values")))
+
+
+@query("SELECT s_nationkey, string_agg(s_suppkey || '.' || (s_suppkey % 12), ' ' ORDER BY s_suppkey) AS codes FROM supplier GROUP BY s_nationkey")
+def code_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat("s_suppkey", F.lit("."), F.col("s_suppkey") % 12)
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(tables.code_order(F.collect_list(code)), " ").alias("codes"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, replace(format('{:,}', round(l_extendedprice)::BIGINT + 1000000), ',', '.') AS first, replace(format('{:,}', round(l_quantity)::BIGINT + 1000), ',', '.') AS second FROM lineitem""")
+def rightmost_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(" ", F.lit("99.999 x"), numbers.grouped(F.round("l_extendedprice") + 1000000), numbers.grouped(F.round("l_quantity") + 1000))
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", statements.rightmost(line).alias("v"))
+    return found.select("l_orderkey", "l_linenumber", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(1)).alias("second"))
+
+
+@query(f"""WITH {_FILE_ROWS} SELECT file, coalesce(arg_min(value, pos) FILTER (which = 1), arg_min(value, pos) FILTER (which = 5)) AS value FROM f GROUP BY file""")
+def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _file_rows(spark, sf_dir).withColumn("code", F.when(F.col("label") == "Revenue", "200").otherwise("0"))
+    return statements.keyword_row(rows, ["file"], "label", "pos", "value", ["no ngan han"], "200")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'code' WHEN l_linenumber % 3 = 1 THEN 'end' ELSE 'begin' END AS column_name FROM lineitem""")
+def column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens laid out under four headers, and assigned to their columns."""
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "case l_linenumber % 3 when 0 then '110' else '123.456' end text", "case l_linenumber % 3 when 0 then 12 when 1 then 510 else 690 end `left`")
+    heads = spark.createDataFrame([("Mã số", 10), ("Thuyết minh", 300), ("Số cuối năm", 500), ("Số đầu năm", 700)], "text string, `left` int")
+    tokens = items.unionByName(table(spark, sf_dir, "orders").selectExpr("o_orderkey l_orderkey", "cast(null as int) l_linenumber").join(F.broadcast(heads)))
+    found = statements.column_of_tokens(tokens, statements.column_anchors(tokens, ["l_orderkey"]), ["l_orderkey"])
+    return found.where("l_linenumber is not null").select("l_orderkey", "l_linenumber", "column_name")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, '\n')) AS line, generate_subscripts(string_split(text, '\n'), 1) AS pos FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE trim(line) <> '' QUALIFY n <= 15)
+    SELECT doc_id, line AS title FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, n) = 1""")
+def longest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.ranked_titles(_doc_lines(spark, sf_dir), ["doc_id"], "pos", "line")
+
+
+@query("""SELECT conv_id AS query_id, CASE WHEN conv_id % 4 = 0 THEN 'general' ELSE 'internal' END AS source, 'question ' || conv_id AS answer FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context of each conversation, question last, answered by the stub, which repeats the last line."""
+    turns = table(spark, sf_dir, "conversations")
+    found = turns.where("conv_id % 4 <> 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("content"))
+    asked = turns.select(F.col("conv_id").alias("query_id")).distinct().withColumn("question", F.concat(F.lit("question "), "query_id"))
+    return statements.answers(found, asked, StubRunner())
+
+
+@query("""WITH n AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 5) SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT * FROM n) UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey NOT IN (SELECT * FROM n)""")
+def fallback_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    primary = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return tables.better_source(primary, table(spark, sf_dir, "orders").selectExpr("o_orderkey l_orderkey", "0 l_linenumber"), ["l_orderkey"])
+
+
 # Streams, run here as batches of the same expressions
 
 
