@@ -18,30 +18,31 @@ def rightmost(c: Column, k: int = 2) -> Column:
     return F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0))), -k, k)
 
 
-def parsed_line(c: Column, multiplier: int = 1) -> Column:
-    """A line as code, name, note, end and begin. The code stands first; the amounts are the last two; the note is a short number right before them."""
-    code = F.nullif(F.regexp_extract(c, r"^\s*(\d{2,3}(?:\.\d+)?)\s", 1), F.lit(""))
-    body = F.regexp_replace(c, r"^\s*\d{2,3}(?:\.\d+)?\s+", "")
-    left = F.trim(F.regexp_replace(body, AMOUNT, " "))
-    note = F.nullif(F.regexp_extract(left, r"\s((?:\d{1,2}(?:\.\d)?)|[IVX]+)$", 1), F.lit(""))
-    name = F.trim(F.when(note.isNotNull(), F.regexp_replace(left, r"\s+\S+$", "")).otherwise(left))
-    amounts = F.filter(rightmost(body), lambda x: x.isNotNull())
-    number = lambda i: numbers.recognised(F.get(amounts, F.lit(i)), multiplier)
-    return F.struct(code.alias("code"), text.squeezed(name).alias("name"), note.alias("note"), number(0).alias("end"), number(1).alias("begin"))
-
-
-def pipe_row(c: Column, multiplier: int = 1) -> Column:
-    """A line of cells between bars as the five columns; missing cells are null."""
-    cells = F.transform(F.split(F.regexp_replace(c, r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
-    at = lambda i: F.nullif(F.get(cells, F.lit(i)), F.lit(""))
-    return F.struct(at(0).alias("code"), at(1).alias("name"), at(2).alias("note"), numbers.recognised(at(3), multiplier).alias("end"), numbers.recognised(at(4), multiplier).alias("begin"))
-
-
 def statement_rows(lines: DataFrame, keys: list[str], line: str, multiplier: int = 1) -> DataFrame:
-    """Rows of lines that hold a code: of bars where a line has at least three, else of free text."""
-    bars = F.length(line) - F.length(F.translate(line, "|", ""))
-    row = F.when(bars >= 3, pipe_row(F.col(line), multiplier)).otherwise(parsed_line(F.col(line), multiplier))
-    return lines.select(*keys, row.alias("r")).select(*keys, "r.*").where("code is not null")
+    """code, name, note, end and begin of lines that hold a code.
+
+    A line of three bars or more has them in its cells. In another the code stands first, the amounts are the last two,
+    and the note is a short number or numeral right before them. Each step is a column of its own, worked out once.
+    """
+    cell = lambda i: F.nullif(F.get("__cells", F.lit(i)), F.lit(""))
+    amount = lambda i: F.get("__amounts", F.lit(i))
+    free = "not __barred"
+    steps = {
+        "__barred": F.length("__line") - F.length(F.translate("__line", "|", "")) >= 3,
+        "__cells": F.when(F.col("__barred"), F.transform(F.split(F.regexp_replace("__line", r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))),
+        "code": F.when(F.expr(free), F.nullif(F.regexp_extract("__line", r"^\s*(\d{2,3}(?:\.\d+)?)\s", 1), F.lit(""))).otherwise(cell(0)),
+        "__body": F.when(F.expr(free), F.regexp_replace("__line", r"^\s*\d{2,3}(?:\.\d+)?\s+", "")),
+        "__amounts": F.when(F.expr(free), F.filter(rightmost(F.col("__body")), lambda x: x.isNotNull())).otherwise(F.array(cell(3), cell(4))),
+        "__left": F.trim(F.regexp_replace("__body", AMOUNT, " ")),
+        "note": F.when(F.expr(free), F.nullif(F.regexp_extract("__left", r"\s((?:\d{1,2}(?:\.\d)?)|[IVX]+)$", 1), F.lit(""))).otherwise(cell(2)),
+        "name": F.when(F.col("__barred"), cell(1)).otherwise(F.when(F.col("note").isNotNull(), F.regexp_replace("__left", r"\s+\S+$", "")).otherwise(F.col("__left"))),
+        "end": numbers.recognised(amount(0), multiplier),
+        "begin": numbers.recognised(amount(1), multiplier),
+    }
+    out = lines.select(*keys, F.col(line).alias("__line"))
+    for name, step in steps.items():
+        out = out.withColumn(name, step)
+    return out.where("code is not null").select(*keys, "code", text.squeezed(F.col("name")).alias("name"), "note", "end", "begin")
 
 
 def keyword_row(rows: DataFrame, keys: list[str], name: str, position: str, value: str, words: list[str], code: str | None = None) -> DataFrame:
