@@ -489,10 +489,11 @@ def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WIDE = [r for r in ratios.RATIOS if r[1] in _KEYS and r[2] in _KEYS]
+_PAIRS = values_sql(sorted({(n, d) for _, n, d in _WIDE}), "top, bottom")
 _RATIO_COLUMNS = ", ".join(f"max(CASE WHEN n.key = '{n}' AND d.key = '{d}' THEN round(n.value / d.value, 4) END) AS \"{name}\"" for name, n, d in _WIDE)
 
 
-@query(f"WITH {_FILE_ROWS}, {_FOUND} SELECT n.file, {_RATIO_COLUMNS} FROM found n JOIN found d ON n.file = d.file AND n.value <> 0 AND d.value <> 0 GROUP BY n.file")
+@query(f"WITH {_FILE_ROWS}, {_FOUND} SELECT n.file, {_RATIO_COLUMNS} FROM found n JOIN found d ON n.file = d.file AND n.value <> 0 AND d.value <> 0 JOIN {_PAIRS} ON n.key = top AND d.key = bottom GROUP BY n.file")
 def ratio_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ratios.found_values(_file_rows(spark, sf_dir), ["file"], "label", "value", "pos", ratios.synonym_table(spark, ratios.SYNONYMS))
     return ratios.wide(ratios.ratio_values(found, ["file"], ratios.ratio_table(spark)), ["file"], [r[0] for r in _WIDE])
