@@ -17,6 +17,8 @@ import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Sequence
+from tokenizers.pre_tokenizers import ByteLevel
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -42,26 +44,36 @@ DEFAULT_BYTE = public_tokenizers.path("byte_bpe_50k.json")
 DEFAULT_WORD = public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids of words, as bytes; a word that isn't known is encoded when it is asked for."""
+
+    def __init__(self, library: Tokenizer):
+        super().__init__()
+        self.encode = library.encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    The cache starts anew when it holds `most` words. Texts are taken in runs of at most `run` characters, or one
-    longer text.
+    The cache starts anew, between texts, when it holds `most` words or more.
     """
 
-    def __init__(self, vocabulary: str, words: bool = False, most: int = 1_500_000, run: int = 2_000_000):
+    def __init__(self, vocabulary: str, words: bool = False, most: int = 1_500_000):
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
         self.find_latin = _latin(WORD_PATTERN if words else BYTE_PATTERN).findall
         self.find = regex.compile(WORD_PATTERN if words else BYTE_PATTERN).findall
-        self.words, self.most, self.run = words, most, run
+        self.words, self.most = words, most
         self.reserved = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: set[str]) -> None:
-        missing = list(new)
-        for word, got in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", got.ids).tobytes()
+        # a word is normal and cut already: the library has its bytes to look up and merge
+        single = Tokenizer.from_file(vocabulary)
+        single.normalizer = Sequence([])
+        single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known = _Known(single)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,25 +88,13 @@ class CachedEncoder:
             return self.find(self.library.normalizer.normalize_str(text) if self.words else text)
         return self.find_latin(text.lower() if self.words else text)
 
-    def _run(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
-        cut = [self._cut(text) for text in texts]
-        new = set().union(*(words for words in cut if words))
-        new.difference_update(self.known)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, cut, strict=True)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) <= self.run:
-                size += len(texts[end])
-                end += 1
-            out += self._run(texts[at:end])
-            at = end
+        out, get = [], self.known.__getitem__
+        for text in texts:
+            words = self._cut(text)
+            out.append(self._whole(text) if words is None else b"".join(map(get, words)))
+            if len(self.known) >= self.most:
+                self.known.clear()
         return out
 
 
