@@ -101,7 +101,7 @@ def common_words(words: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("count") >= least).select("word")
 
 
-def encode_and_decode(docs: DataFrame, path: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, dictionary: int = 300_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, dictionary: int = 200_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, n_tokens, ids_sha256, decoded_sha256.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the bytes that the ids decode to. Null
