@@ -1,4 +1,6 @@
-"""A quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""A quality classifier: a factorisation machine over hashed words and structure statistics of the text.
+
+No metadata is used: lang, source and doc_id are barred, and n_chars, all that is left of the columns, follows from the text.
 
 A document's features are its words, hashed to WORD_BUCKETS columns with values of unit length, and one column for the
 bin of each statistic of its structure, its length among them. The score is
