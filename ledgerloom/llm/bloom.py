@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.store import working_name
+
 #: Bits of one bitmap of bitmap_construct_agg.
 BITMAP_BITS = 32768
 
@@ -41,31 +43,32 @@ def flagged(df: DataFrame, keys: DataFrame, key: Column, rows: int, flag: str, m
     bits = table_bits(rows)
     hot = met_cells(keys, key, bits, least)
     out, tests = df, []
+    own = working_name(df, "own")
+    of = lambda stem, i: working_name(df, f"{stem}{i}")
     if bits // 4 <= max_bytes:
-        maps = hot.groupBy((F.col("cell") / F.lit(BITMAP_BITS)).cast("long").alias("__bucket")).agg(
-            F.bitmap_construct_agg(F.pmod("cell", F.lit(BITMAP_BITS))).alias("__bits")
-        )
+        maps = hot.groupBy((F.col("cell") / F.lit(BITMAP_BITS)).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("cell", F.lit(BITMAP_BITS))).alias("bits"))
         for i, cell in enumerate(cells(key, bits)):
-            side = maps.select(F.col("__bucket").alias(f"__bucket{i}"), F.col("__bits").alias(f"__bits{i}"))
-            out = out.withColumn(f"__cell{i}", cell)
-            out = out.join(F.broadcast(side), F.floor(F.col(f"__cell{i}") / F.lit(BITMAP_BITS)) == F.col(f"__bucket{i}"), "left")
-            byte = F.expr(f"substring(__bits{i}, cast(pmod(__cell{i}, {BITMAP_BITS}) div 8 + 1 as int), 1)")
-            tests.append(F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(f"__cell{i}", F.lit(8)).cast("int")) == 1, F.lit(False)))
+            at, bucket, bitmap = of("cell", i), of("bucket", i), of("bits", i)
+            side = maps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bitmap))
+            out = out.withColumn(at, cell).join(F.broadcast(side), F.floor(F.col(at) / F.lit(BITMAP_BITS)) == F.col(bucket), "left")
+            byte = F.expr(f"substring({bitmap}, cast(pmod({at}, {BITMAP_BITS}) div 8 + 1 as int), 1)")
+            tests.append(F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False)))
     else:
         for i, cell in enumerate(cells(key, bits)):
-            side = hot.select(F.col("cell").alias(f"__hot{i}"))
-            out = out.withColumn(f"__cell{i}", cell)
-            out = out.join(side, F.col(f"__cell{i}") == F.col(f"__hot{i}"), "left")
-            tests.append(F.col(f"__hot{i}").isNotNull())
-    return out.withColumn(flag, tests[0] & tests[1]).select(*[df[c] for c in df.columns], flag)
+            at, met = of("cell", i), of("hot", i)
+            out = out.withColumn(at, cell).join(hot.select(F.col("cell").alias(met)), F.col(at) == F.col(met), "left")
+            tests.append(F.col(met).isNotNull())
+    return out.withColumn(own, tests[0] & tests[1]).select(*[F.col(f"`{c}`") for c in df.columns], F.col(own).alias(flag))
 
 
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str, count: int) -> DataFrame:
     """Rows of df whose id is in ids (one column, id_col, distinct): only rows that pass the filter shuffle."""
-    return flagged(df, ids, F.col(id_col), count, "__seen", least=1).where("__seen").drop("__seen").join(ids, id_col, "left_semi")
+    seen = working_name(df, "seen")
+    return flagged(df, ids, F.col(id_col), count, seen, least=1).where(F.col(seen)).drop(seen).join(ids, id_col, "left_semi")
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str, count: int) -> DataFrame:
     """Rows of df whose id is not in ids: rows that fail the filter pass straight through."""
-    seen = flagged(df, ids, F.col(id_col), count, "__seen", least=1)
-    return seen.where("not __seen").drop("__seen").unionByName(seen.where("__seen").drop("__seen").join(ids, id_col, "left_anti").select(*df.columns))
+    name = working_name(df, "seen")
+    seen = flagged(df, ids, F.col(id_col), count, name, least=1)
+    return seen.where(~F.col(name)).drop(name).unionByName(seen.where(F.col(name)).drop(name).join(ids, id_col, "left_anti").select(*df.columns))

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import small_batches
 from ledgerloom.llm.wordcache import DEFAULT_BYTE, encoder
 
 #: The control strings; their ids follow the vocabulary in this order.
@@ -76,7 +75,7 @@ def format_turns(turns: DataFrame, vocabulary: str = DEFAULT_BYTE, learnt_role:
                     masks.append(np.cumsum(steps, dtype=np.int8).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(roles), pa.array(ids, pa.binary()), pa.array(masks, pa.binary())], names=["conv_id", "turn", "role", "ids", "mask"])
 
-    own = small_batches(turns).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return own.mapInArrow(encode, _TURNS)
 
 

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ledgerloom.llm.store import small_batches
 from ledgerloom.llm.words import SPACED, Words, buffer, filled, slices
 
 WORD_BUCKETS, BINS, RANK = 4096, 16, 8
@@ -156,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, text_col: st
     Labels of one id that repeat count once, by the largest; null labels and ids count not at all. None without any.
     """
     known = labels.where(f"quality is not null and `{id_col}` is not null").where(~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("quality"))
-    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = texts.join(F.broadcast(chosen.select("id")), "id", "left_semi").mapInArrow(_featured, "id long, stats binary, cols binary, vals binary").dropDuplicates(["id"]).join(F.broadcast(chosen), "id").toArrow()
     if not rows.num_rows:
@@ -176,7 +175,7 @@ def quality_scores(docs: DataFrame, model: FactorisationMachine | None, threshol
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     if model is None:
         return docs.select(*kept, F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    own, text_at = small_batches(docs).select(*kept), kept.index(text_col)
+    own, text_at = docs.select(*kept), kept.index(text_col)
     schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,46 +2,86 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a plan's shuffle files once it has been executed; what it gave is in the shared folder then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a temporary one on local masters, as in tests; clusters must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing has used yet; inside scratch, deleted at its end."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of the shared store that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but for what the function given writes: results that outlive the block."""
+    paths: list[str] = []
+    _open.append(paths)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        outer = paths.pop()
+        if len(_open) > 1:
+            _open[-2].append(outer)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        deleted(spark, paths)
+        gc.collect()  # lets go of the plans of what is deleted
+
+
 def working_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not use, so that extra columns never clash with ours."""
     name, taken = f"__{stem}", {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def small_batches(df: DataFrame, most: int = 500) -> DataFrame:
-    """df, after limiting the rows that Python workers take at once: rows may be long texts, and memory must stay bounded."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name, "10000"))
-    if not 0 < now <= most:
-        df.sparkSession.conf.set(name, most)
-    return df

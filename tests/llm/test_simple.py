@@ -60,7 +60,7 @@ def test_token_files(spark):
 def test_keyed_access(spark):
     folder = fresh_path(spark, "keyed")
     shards = write_token_files(frame(spark), folder)
-    readers = [ShardReader(folder.removeprefix("file://"), s) for s, _, _ in shards]
+    readers = [ShardReader(folder.removeprefix("file://"), s[0]) for s in shards]
     found = [x for r in readers if (x := r.get(7)) is not None]
     assert len(found) == 1 and found[0].tolist() == [*_library(DEFAULT_BYTE)(dict(texts())[7]), 0]
     assert all(r.get(k) is None for r in readers for k in (8, 999, -5))
