@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids and codebooks are fitted on a bounded sample; every vector is indexed. A query visits the lists
-whose centroids have the largest product with it. There, tables of the query's products with each codebook give
-approximate scores; the best quarter of each block, 4 k at least, are scored exactly. Blocks are at most BLOCK vectors of a list against
-BLOCK of the queries that visit it, so a hot list is spread over many tasks. Queries that met too few candidates
-visit all lists.
+Coarse centroids and codebooks are fitted on a bounded sample; every vector is indexed. The share of the lists that a
+query visits, those whose centroids have the largest product with it, is measured on the sample too: the smallest that
+holds enough of the sample's own nearest neighbours. In the lists, tables of the query's products with each codebook
+give approximate scores, and only the best few of each block are scored exactly.
+
+A block is a group of lists, or a part of a large one, against a group of queries: at most `most_rows` vectors and as
+many queries. A query is sent once to each block that has a list it visits, not once to each list. Queries that met too
+few candidates visit all lists.
 """
 
 from __future__ import annotations
@@ -16,9 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import written
-
-BLOCK = 4096
+from ledgerloom.llm.store import scratch, written
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -43,7 +44,7 @@ def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray:
 class Quantiser:
     """Coarse centroids, and one codebook for each run of `width` components of the residuals."""
 
-    def __init__(self, sample: np.ndarray, lists: int, width: int = 4, codes: int = 256, rounds: int = 8, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, width: int = 2, codes: int = 256, rounds: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.centres = kmeans(sample, lists, rounds, rng)
         rest = sample - self.centres[nearest(sample, self.centres)]
@@ -84,75 +85,131 @@ def _packed(x: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in x], pa.binary())
 
 
-def _unpacked(column, kind: type, n: int) -> np.ndarray:
+def _unpacked(column, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
 
 
-def _search(index: DataFrame, queries: DataFrame, sizes: DataFrame, quantiser: Quantiser, size: int, k: int, probes: int, least: int) -> DataFrame:
+def measured_share(quantiser: Quantiser, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> float:
+    """The smallest share of the lists, those nearest to a query, that hold `recall` of its k nearest, over queries of the sample against all of it."""
+    asks = sample[:queries]
+    near = nearest(sample, quantiser.centres)
+    scores = asks @ sample.T
+    scores[np.arange(len(asks)), np.arange(len(asks))] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0
+    top = np.argpartition(-scores, k - 1, 1)[:, :k]
+    order = np.argsort(-(asks @ quantiser.centres.T), 1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+    needed = np.sort(np.take_along_axis(place, near[top], 1).ravel())
+    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] + 1) / order.shape[1]
+
+
+def _best(scores: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest of scores, the first of equal ones; all if there are fewer."""
+    if len(scores) <= most:
+        return np.arange(len(scores))
+    edge = np.partition(scores, len(scores) - most)[len(scores) - most]
+    above = np.flatnonzero(scores > edge)
+    return np.concatenate((above, np.flatnonzero(scores == edge)[: most - len(above)]))
+
+
+def _laid(sizes: dict[int, int], lists: int, most_rows: int) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """The lists of each block, and each list's first block and number of blocks: small lists share one, large ones are split."""
+    blocks, places, room = [], [], 0
+    for at in range(lists):
+        n = sizes.get(at, 0)
+        parts = -(-n // most_rows)
+        if parts > 1 or n > room or not blocks:
+            places.append((len(blocks), max(1, parts)))
+            blocks += [[at] for _ in range(max(1, parts))]
+            room = 0 if parts > 1 else most_rows - n
+        else:
+            blocks[-1].append(at)
+            places.append((len(blocks) - 1, 1))
+            room -= n
+    return blocks, places
+
+
+def _search(index: DataFrame, queries: DataFrame, asks: int, sizes: dict[int, int], quantiser: Quantiser, size: int, kind: str, k: int, probes: int, rerank: int, most_rows: int) -> DataFrame:
     """Scored candidates (query_id, vec_id, score): the best k of each block, at least."""
+    lists = len(quantiser.centres)
+    blocks, places = _laid(sizes, lists, most_rows)
+    groups = max(1, -(-asks // most_rows))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), size)
+            x, ids = _matrix(batch.column(1), size), batch.column(0)
             for at in range(0, len(x), 1024):
                 part = x[at : at + 1024]
                 products = part @ quantiser.centres.T
-                chosen = np.argpartition(-products, min(probes, products.shape[1]) - 1, 1)[:, :probes]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(chosen.ravel().astype(np.int32)), pa.array(np.repeat(batch.column(0).slice(at, 1024).to_numpy(), chosen.shape[1])), _packed(part).take(pa.array(np.repeat(np.arange(len(part)), chosen.shape[1])))],
-                    names=["list", "query_id", "query"],
-                )
-
-    visits = written(queries.select("vec_id", "vector").mapInArrow(visit, "list int, query_id long, query binary"), "visits")
-    asked = visits.groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
-    # at most one row a list
-    blocks = written(sizes.join(F.broadcast(asked), "list").select("list", F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil(F.col("asked") / BLOCK).alias("asks")), "blocks")
-    of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    left = index.join(F.broadcast(blocks), "list").withColumn("row_block", of("vec_id", "rows")).select("list", "row_block", each("asks").alias("ask_block"), "vec_id", "codes", "vector")
-    right = visits.join(F.broadcast(blocks), "list").withColumn("ask_block", of("query_id", "asks")).select("list", each("rows").alias("row_block"), "ask_block", "query_id", "query")
+                edge = np.partition(products, lists - probes, 1)[:, lists - probes]
+                edge -= 1e-9 * np.abs(edge)  # what is read again must not fall below by rounding
+                seen = products >= edge[:, None]
+                packed = _packed(part.astype(kind))
+                for block, held in enumerate(blocks):
+                    rows = pa.array(np.flatnonzero(seen[:, held].any(1)))
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int32)), ids.slice(at, 1024).take(rows), packed.take(rows), pa.array(edge).take(rows)], names=["block", "query_id", "query", "edge"])
+
+    # one row a list, of which there are no more than max_lists
+    where = F.broadcast(index.sparkSession.createDataFrame([(at, first, parts) for at, (first, parts) in enumerate(places)], "list int, first int, parts int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    left = index.join(where, "list").select((F.col("first") + part).alias("block"), each.alias("ask_block"), "list", "vec_id", "codes", "vector")
+    right = queries.select("vec_id", "vector").mapInArrow(visit, "block int, query_id long, query binary, edge double").withColumn("ask_block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
 
     def compare(key: tuple[pa.Scalar, ...], vectors: pa.Table, asked: pa.Table) -> pa.Table:
         n, q = vectors.num_rows, asked.num_rows
         out: list[list[np.ndarray]] = [[], [], []]
         if n and q:
-            ids, query_ids = vectors["vec_id"].to_numpy(), asked["query_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, codes = ids[order], _unpacked(vectors["codes"], np.uint8, n)[order]
-            x, asks = _unpacked(vectors["vector"], np.float64, n)[order], _unpacked(asked["query"], np.float64, q)
+            ids, near, query_ids, edges = (t[c].to_numpy() for t, c in ((vectors, "vec_id"), (vectors, "list"), (asked, "query_id"), (asked, "edge")))
+            order = np.lexsort((ids, near))
+            ids, near, codes = ids[order], near[order], _unpacked(vectors["codes"], "u1", n)[order]
+            x, wanted = _unpacked(vectors["vector"], kind, n)[order], _unpacked(asked["query"], kind, q).astype(np.float64)
+            held, begin = np.unique(near, return_index=True)
+            end = [*begin[1:].tolist(), n]
             for at in range(0, q, 128):
-                part = asks[at : at + 128]
-                rough = quantiser.approximate(part, key[0].as_py(), codes)
+                these = wanted[at : at + 128]
+                seen = these @ quantiser.centres[held].T >= edges[at : at + 128, None]
+                rough = np.full((len(these), n), -np.inf)
+                for j, own in enumerate(held.tolist()):
+                    rows = np.flatnonzero(seen[:, j])
+                    if len(rows):
+                        rough[rows, begin[j] : end[j]] = quantiser.approximate(these[rows], own, codes[begin[j] : end[j]])
                 rough[query_ids[at : at + 128, None] == ids] = -np.inf
-                rerank = max(least, n // 4)
-                best = np.argpartition(-rough, rerank - 1, 1)[:, :rerank] if rerank < n else np.tile(np.arange(n), (len(part), 1))
-                for i, row in enumerate(best):
-                    row = np.sort(row[np.isfinite(rough[i, row])])
-                    score = exact_scores(np.broadcast_to(part[i], (len(row), size)), x[row])
-                    top = np.argsort(-score, kind="stable")[:k]
+                for i in range(len(these)):
+                    met = np.flatnonzero(rough[i] > -np.inf)
+                    met = met[np.argsort(ids[met], kind="stable")]  # so that ties go to smaller ids
+                    row = np.sort(met[_best(rough[i, met], rerank)])
+                    score = exact_scores(np.broadcast_to(these[i], (len(row), size)), x[row].astype(np.float64))
+                    top = np.lexsort((ids[row], -score))[:k]
                     for column, values in zip(out, (np.full(len(top), query_ids[at + i]), ids[row[top]], score[top]), strict=True):
                         column.append(values)
         kinds = (np.int64, np.int64, np.float64)
-        return pa.table({name: np.concatenate(c) if c else np.zeros(0, kind) for name, c, kind in zip(("query_id", "vec_id", "score"), out, kinds, strict=True)})
+        return pa.table({name: np.concatenate(c) if c else np.zeros(0, t) for name, c, t in zip(("query_id", "vec_id", "score"), out, kinds, strict=True)})
 
-    keys = ("list", "row_block", "ask_block")
+    keys = ("block", "ask_block")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, k: int = 20, probe_share: float = 0.8, least_probes: int = 64, max_sample: int = 20_000, max_lists: int = 4096, vector_col: str = "embedding", id_col: str = "vec_id"
+    vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, probe_share: float | None = None, rerank: int = 160, max_sample: int = 20_000, max_lists: int = 4096, least_rows: int = 4096, most_rows: int = 131_072, vector_col: str = "embedding", id_col: str = "vec_id"
 ) -> DataFrame:
     """The k nearest found of each row that `queries` picks, among all other rows: query_id, rank, vec_id, score.
 
     Nearest is the largest inner product; ties go to the smaller id. Fitted on at most max_sample vectors, those with
     the least hashes of their ids; about as many lists as the square root of the rows, at most max_lists. A query
-    visits probe_share of the lists, least_probes at least: vectors without clusters, such as random directions, have
-    their neighbours spread over most lists, and a smaller share loses them (README has figures). Vectors that
-    are null, zero, of another length than the sample's commonest, or hold null or non-finite components take no part,
-    nor do rows with a null id. Repeated rows are candidates each. An empty table gives no rows; extra columns are
-    ignored.
+    visits probe_share of the lists; where none is given, the share that holds `recall` of the nearest within the
+    sample: small for clustered vectors, and more than half for directions without clusters (README has figures). Of a
+    block's candidates the best `rerank` by approximate score are scored exactly. Blocks have least_rows to most_rows
+    rows and queries, 64 blocks in between. Vectors that are null, zero, of another length than the commonest, or hold
+    null or non-finite components take no part, nor do rows with a null id. Repeated rows are candidates each, but no
+    row is a candidate of a query with its id. An empty table gives no rows; extra columns are ignored.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks")).where("vec_id is not null")
     schema = "query_id long, rank int, vec_id long, score double"
     common = own.where("vector is not null").groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -160,26 +217,36 @@ def nearest_neighbours(
         return spark.createDataFrame([], schema)
     size = common["size"]
     own = own.where(_usable(F.col("vector"), size))
-    total = own.count()
+    total, asks = own.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     if not total:
         return spark.createDataFrame([], schema)
     sample = _matrix(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("vector").toArrow()["vector"].combine_chunks(), size)
     quantiser = Quantiser(sample, max(1, min(max_lists, round(total**0.5))))
+    lists = len(quantiser.centres)
+    share = measured_share(quantiser, sample, k, recall) if probe_share is None else probe_share
+    probes = min(lists, max(1, -int(-share * lists // 1)))
+    rows = min(most_rows, max(least_rows, total // 64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), size)
-            near, codes = quantiser.encode(x)
-            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column(0), _packed(codes), _packed(x)], names=["list", "vec_id", "codes", "vector"])
-
-    index = written(own.select("vec_id", "vector").mapInArrow(encode, "list int, vec_id long, codes binary, vector binary"), "index")
-    sizes = written(index.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "lists")
-    asking = own.where("asks")
-    found = written(_search(index, asking, sizes, quantiser, size, k, max(least_probes, round(probe_share * len(quantiser.centres))), 4 * k), "found")
-    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
-    few = written(asking.join(enough, "vec_id", "left_anti"), "few")
-    if not few.isEmpty():
-        rest = _search(index, few, sizes, quantiser, size, k, len(quantiser.centres), BLOCK)
-        found = found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for at in range(0, len(x), 4096):
+                part = x[at : at + 4096]
+                near, codes = quantiser.encode(part)
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column(0).slice(at, 4096), _packed(codes), _packed(part.astype(kind))], names=["list", "vec_id", "codes", "vector"])
+
+    with scratch(spark) as keep:
+        index = written(own.select("vec_id", "vector").mapInArrow(encode, "list int, vec_id long, codes binary, vector binary"), "index")
+        # one row a list, of which there are no more than max_lists
+        sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
+        asking = own.where("asks")
+        found = written(_search(index, asking, asks, sizes, quantiser, size, kind, k, probes, rerank, rows), "found")
+        enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
+        few = written(asking.join(enough, "vec_id", "left_anti"), "few")
+        count = few.count()
+        if count:
+            rest = _search(index, few, count, sizes, quantiser, size, kind, k, lists, rows, rows)
+            found = found.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        return keep(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")

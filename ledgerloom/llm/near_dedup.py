@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bloom import with_ids, without_ids
-from ledgerloom.llm.components import components
-from ledgerloom.llm.store import small_batches, written
+from ledgerloom.llm.bloom import flagged, without_ids
+from ledgerloom.llm.components import components, merged
+from ledgerloom.llm.store import scratch, written
 from ledgerloom.llm.words import SPACED, Words, buffer, filled, mixed, shingles, slices
 
 CHUNKS, WIDTH, ERRORS = 16, 5, 1
@@ -60,6 +60,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _set_hash(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def _sketch(size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +74,7 @@ def _sketch(size: int):
                     [
                         batch.column(0).slice(a, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_set_hash(s) for s in sets], pa.binary()),
                         pa.array([next(own).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
                     names=["id", "n_shingles", "set_hash", "signature"],
@@ -106,10 +110,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, found in shingle_sets(filled(batch.column(1)), size):
+            for _, found in shingle_sets(filled(batch.column(0)), size):
                 values = pa.array(np.concatenate(found).view(np.int64)) if found else pa.array([], pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), lists], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in found], pa.binary()), lists], names=["set_hash", "set"])
 
     return sets
 
@@ -131,9 +135,11 @@ def _confirmed(percent: int):
     return confirm
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, n and set of the given ids: only texts of ids met by a bounded filter are read into sets."""
-    sets = with_ids(docs, ids, "id", ids.count()).dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, set array<long>")
+def _full_sets(docs: DataFrame, classes: DataFrame, met: DataFrame, size: int) -> DataFrame:
+    """id, n and set of the classes met: the texts of one document of each are read into sets."""
+    wanted = written(classes.join(met, "id").select("id", "set_hash", "doc"), "wanted")
+    texts = flagged(docs, wanted.select(F.col("doc").alias("id")), F.col("id"), wanted.count(), "seen", least=1).where("seen").select("text")
+    sets = texts.mapInArrow(_sets(size), "set_hash binary, set array<long>").join(wanted, "set_hash").dropDuplicates(["id"])
     return written(sets.select("id", F.size("set").alias("n"), "set"), "sets")
 
 
@@ -148,12 +154,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _live(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _live(members: DataFrame, roots: DataFrame) -> DataFrame:
     """key, id, label (the component) of the members of buckets that hold more than one component."""
-    roots = components(edges).withColumnRenamed("node", "id")
-    now = members.join(roots, "id", "left").select(*members.columns, F.coalesce("root", "id").alias("label"))
+    now = written(members.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*members.columns, F.coalesce("root", "id").alias("label")), "labelled")
     live = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return written(now.join(live, "key", "left_semi"), "live")
+    return written(now.join(written(live, "live-keys"), "key", "left_semi"), "live")  # a join of two plain exchanges: Spark splits hot keys
 
 
 def _rare_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -173,8 +178,8 @@ def _may_be_similar(percent: int) -> Column:
     return most * 100 >= (F.col("n") + F.col("lead_n") - most) * percent
 
 
-def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all classes that any chain of similar pairs connects."""
+def _roots(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, root: the component of each class that any chain of similar pairs connects to another."""
     keys = classes.select("id", "signature").mapInArrow(_keys, "key long, id long")
     counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")  # a join of two plain exchanges: Spark splits hot keys
     members = written(keys.join(counts, "key"), "members")
@@ -183,16 +188,16 @@ def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     leads = written(known.groupBy("key").agg(F.max(F.struct("met", F.negative("id").alias("id"))).alias("best")).select("key", F.negative("best.id").alias("lead")), "leads")
     members = written(known.select("key", "id").join(leads, "key").where("id <> lead"), "buckets")
     pairs = written(members.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")
-    sets = _full_sets(docs, ids, size)
-    edges = written(_links(pairs, sets, percent), "links")
-    open_ids = written(_live(members.select("key", "id"), edges).select("id").distinct(), "open")
+    met = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")
+    sets = _full_sets(docs, classes, met, size)
+    roots = components(written(_links(pairs, sets, percent), "links"))
+    open_ids = written(_live(members.select("key", "id"), roots).select("id").distinct(), "open")
     members = written(_rare_keys(sets.join(open_ids, "id", "left_semi"), percent), "buckets")
     tested, leaders = pairs, 8
     while True:
-        now = _live(members, edges)
+        now = _live(members, roots)
         if now.isEmpty():
-            return edges
+            return roots
         largest = now.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         outside = now.join(written(largest, "largest"), "key").where("label <> main").drop("main")
         ranked = outside.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("at") <= leaders)
@@ -200,7 +205,8 @@ def _edges(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         pairs = now.join(chosen, "key").where(F.col("label") != F.col("lead_label")).where(_may_be_similar(percent)).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         members = written(now.join(chosen.select("key", F.col("lead_id").alias("id")), ["key", "id"], "left_anti").drop("label"), "buckets")
-        edges, tested, leaders = edges.unionByName(written(_links(pairs, sets, percent), "links")), tested.unionByName(pairs), leaders * 16
+        roots = merged(roots, written(_links(pairs, sets, percent), "links"))
+        tested, leaders = tested.unionByName(pairs), leaders * 16
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -209,23 +215,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
     Words stand between white space, A-Z lower-cased. The set is that of `size`-word shingles; a text of fewer words
     has its whole sequence as its only shingle; one without words, or null, has none and is linked with nothing.
     Documents whose sets share at least `percent` hundredths of their union are linked. component_id is the smallest
-    id reachable; kept is whether it is the document's own. Rows repeated with one id are each reported. Rows with a
-    null id are linked with those of the same set only. Extra columns are ignored; an empty table gives no rows.
+    id reachable, that of rows with an id; kept is whether it is the document's own. Rows repeated with one id are each
+    reported, each linked by its own text. Rows with a null id are linked with those of the
+    same set only. Extra columns are ignored; an
+    empty table gives no rows.
     """
-    own = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = written(own.mapInArrow(_sketch(size), "id long, n_shingles long, set_hash binary, signature binary"), "sketch")
-    classes = sketch.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes")
-    roots = components(_edges(classes.where("id is not null"), own.where("id is not null"), size, percent))
-    named = classes.select("set_hash", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("root", "id").alias("component_id"))
-    named = written(named, "named")
-    several = sketch.where("n_shingles > 0").join(named, "set_hash")
-    alone = sketch.where("n_shingles = 0").withColumn("component_id", F.col("id"))
-    out = several.select("id", "n_shingles", "component_id").unionByName(alone.select("id", "n_shingles", "component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        sketch = written(own.mapInArrow(_sketch(size), "id long, n_shingles long, set_hash binary, signature binary"), "sketch")
+        # a class is numbered by its row: ids may repeat
+        classes = sketch.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("doc"), F.first("signature").alias("signature"))
+        classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        roots = _roots(classes, own, size, percent)
+        named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_hash", "doc", F.coalesce("root", "id").alias("root"))
+        least = written(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
+        named = written(named.join(least, "root").select("set_hash", "component_id"), "named")
+        several = sketch.where("n_shingles > 0").join(named, "set_hash")
+        alone = sketch.where("n_shingles = 0").withColumn("component_id", F.col("id"))
+        out = several.select("id", "n_shingles", "component_id").unionByName(alone.select("id", "n_shingles", "component_id"))
+        return keep(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each component of near_duplicates: the one with the smallest id. Columns are those of docs."""
-    dropped = written(near_duplicates(docs, size, percent, text_col, id_col).where(f"not kept and `{id_col}` is not null").select(id_col).distinct(), "dropped")
+    """docs with one document of each component of near_duplicates: the one with the smallest id. Columns are those of docs.
+
+    Empty texts and rows with a null id stay. Rows that share an id stay or go together: they stay where one is kept.
+    """
+    with scratch(docs.sparkSession) as keep:
+        near = near_duplicates(docs, size, percent, text_col, id_col)
+        dropped = keep(near.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or("kept").alias("stays")).where("not stays").select(id_col), "dropped")
     return without_ids(docs, dropped, id_col, dropped.count())

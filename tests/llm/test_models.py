@@ -49,9 +49,9 @@ def test_recall_and_exact_scores(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = {r.vec_id: r.embedding for r in vectors.collect()}
     want = brute(rows, [i for i in rows if i % 20 == 0], 20)
-    for share, probes, least in ((0.8, 64, 0.99), (0.1, 4, 0.3)):
+    for share, rows, least in ((None, 4096, 0.9), (None, 16, 0.9), (0.1, 4096, 0.25)):
         found = {}
-        for r in nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, probe_share=share, least_probes=probes).orderBy("query_id", "rank").collect():
+        for r in nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, probe_share=share, least_rows=rows, most_rows=rows).orderBy("query_id", "rank").collect():
             found.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert found.keys() == want.keys() and all(len(x) == 20 for x in found.values())
         assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= least
