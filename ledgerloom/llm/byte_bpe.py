@@ -1,10 +1,14 @@
 """Byte-level BPE with built-in functions only.
 
-Texts are cut by the pre-token pattern. A word's bytes, each written as the Latin-1 character of its number, are
-folded by a higher-order function: every step merges the leftmost pair of the least rank, until no pair has a rank.
-Ranks are a literal: an array of small maps, a piece's map given by its CRC, so that a look-up takes a few comparisons.
-The commonest distinct words of the corpus, at most `dictionary` of them, are folded once and become a second such
-literal; all other words are folded where they stand. Decoding joins the literal binary pieces of the ids.
+Texts are cut by the pre-token pattern. A word's bytes are an array of binary pieces, folded by a higher-order function:
+every step merges the leftmost pair of the least rank, until no pair has a rank. Ranks are one literal: an array of
+small maps, a piece's map given by its CRC, so that a look-up takes a few comparisons. The commonest distinct words of
+the corpus, at most `dictionary` of them, are folded once and become a second such literal; all other words are folded
+where they stand. Decoding concatenates the literal binary pieces of the ids.
+
+A long word is folded in blocks, so that time grows with its length. Pieces are a word's encoding exactly if every two
+that follow each other are the encoding of what they spell together. So blocks are put together where that holds at the
+seam; else some pieces on both sides are folded anew, and if a seam still fails, the whole of both.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import written
+from ledgerloom.llm.store import scratch, written
 
+#: Bytes of a block of a long word, and pieces that are folded anew on each side of a seam where two don't fit.
+BLOCK, SEAM = 256, 8
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -37,16 +43,17 @@ def _literal(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), schema)
 
 
-def _bucketed(entries: dict[str, object], schema: str) -> tuple[Column, int]:
+def _bucketed(entries: dict[bytes, object], kind: str) -> tuple[Column, int]:
+    """A literal of maps with binary keys, and how many maps it has."""
     count = max(1, len(entries) // 3)
     buckets: list[dict] = [{} for _ in range(count)]
     for key, value in entries.items():
-        buckets[zlib.crc32(key.encode()) % count][key] = value
-    return _literal(buckets, f"array<map<string,{schema}>>"), count
+        buckets[zlib.crc32(key) % count][base64.b64encode(key).decode()] = value
+    return _literal(buckets, f"array<map<binary,{kind}>>"), count
 
 
 def _looked_up(table: tuple[Column, int], key: Column) -> Column:
-    return F.get(table[0], (F.crc32(key.cast("binary")) % table[1]).cast("int"))[key]
+    return F.get(table[0], (F.crc32(key) % table[1]).cast("int"))[key]
 
 
 def _let(value: Column, body) -> Column:
@@ -55,7 +62,7 @@ def _let(value: Column, body) -> Column:
 
 
 def merged(word: Column, ranks: tuple[Column, int]) -> Column:
-    """The pieces of a word of Latin-1 characters after all merges.
+    """The pieces of a binary word after all merges.
 
     r has the rank of each piece with the one before it, and null for the first and after the last; null is no rank.
     """
@@ -79,14 +86,42 @@ def merged(word: Column, ranks: tuple[Column, int]) -> Column:
         pairs = F.transform(c, lambda x, i: F.concat(F.get(c, i - 1), x))
         return F.struct(c.alias("p"), F.concat(ranked(pairs), F.array(F.lit(None).cast("int"))).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _let(F.split(word, ""), start), step, lambda now: now["p"])
+    each = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), _let(each, start), step, lambda now: now["p"])
+
+
+def spelt(pieces: Column) -> Column:
+    """The bytes of binary pieces in turn."""
+    return F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b))
+
+
+def merged_in_blocks(word: Column, ranks: tuple[Column, int], block: int = BLOCK, seam: int = SEAM) -> Column:
+    """The same of a long word, from its blocks of bytes."""
+
+    def fits(a: Column, b: Column) -> Column:
+        return merged(F.concat(a, b), ranks) == F.array(a, b)
+
+    def put_together(left: Column, right: Column) -> Column:
+        def mended(middle: Column) -> Column:
+            before, after = F.slice(left, F.lit(1), F.greatest(F.size(left) - seam, F.lit(0))), F.slice(right, F.lit(seam + 1), F.size(right))
+            good = (F.size(before) == 0) | fits(F.element_at(before, -1), F.element_at(middle, 1))
+            good &= (F.size(after) == 0) | fits(F.element_at(middle, -1), F.element_at(after, 1))
+            return F.when(good, F.concat(before, middle, after)).otherwise(merged(spelt(F.concat(left, right)), ranks))
+
+        beside = F.concat(F.slice(left, -F.least(F.size(left), F.lit(seam)), F.lit(seam)), F.slice(right, F.lit(1), F.lit(seam)))
+        whole = F.when(fits(F.element_at(left, -1), F.element_at(right, 1)), F.concat(left, right)).otherwise(_let(merged(spelt(beside), ranks), mended))
+        return F.when(F.size(left) == 0, right).otherwise(whole)
+
+    starts = F.sequence(F.lit(1), F.length(word), F.lit(block))
+    blocks = F.transform(starts, lambda at: merged(F.substring(word, at, F.lit(block)), ranks))
+    return F.aggregate(blocks, F.array().cast("array<binary>"), put_together)
 
 
 def word_ids(word: Column, ranks: tuple[Column, int]) -> Column:
-    """A word's ids as decimal text, joined by spaces."""
-    latin = F.decode(word.cast("binary"), "ISO-8859-1")
-    each = F.transform(merged(latin, ranks), lambda p: _looked_up(ranks, p).cast("string"))
-    return F.coalesce(_looked_up(ranks, latin).cast("string"), F.array_join(each, " "))
+    """A binary word's ids as decimal text, joined by spaces."""
+    pieces = F.when(F.length(word) <= BLOCK, merged(word, ranks)).otherwise(merged_in_blocks(word, ranks))
+    each = F.transform(pieces, lambda p: _looked_up(ranks, p).cast("string"))
+    return F.coalesce(_looked_up(ranks, word).cast("string"), F.array_join(each, " "))
 
 
 def common_words(words: DataFrame, most: int) -> DataFrame:
@@ -105,26 +140,30 @@ def encode_and_decode(docs: DataFrame, path: str = DEFAULT_RANKS, pattern: str =
     """One row per document: id_col, n_tokens, ids_sha256, decoded_sha256.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the bytes that the ids decode to. Null
-    texts count as empty, with no ids. Repeated rows are each reported; extra columns are ignored; an empty table gives
-    no rows. Only distinct words shuffle, to be counted over all documents; the literal of the commonest is bounded by
-    `dictionary`.
+    texts count as empty, with no ids. Repeated rows, and rows with a null id, are each reported; texts and words may
+    be of any length; extra columns are ignored; an empty table gives no rows. Only distinct words shuffle, to be counted
+    over all documents; the literal of the commonest is bounded by `dictionary`.
     """
     known = read_ranks(path)
-    ranks = _bucketed({piece.decode("latin-1"): rank for piece, rank in known.items()}, "int")
+    rank_maps, count = _bucketed(known, "int")
     pieces: list[str] = [""] * (max(known.values()) + 1)
     for piece, rank in known.items():
-        pieces[rank] = piece.decode("latin-1")
+        pieces[rank] = base64.b64encode(piece).decode()
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    common = common_words(docs.select(F.explode(words).alias("word")), dictionary)
-    found = common.repartition(F.xxhash64("word")).select("word", word_ids(F.col("word"), ranks).alias("ids")).toArrow()
-    table = _bucketed(dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)), "string")
-    ids = docs.select(F.col(id_col), F.array_join(F.transform(words, lambda w: F.coalesce(_looked_up(table, w), word_ids(w, ranks))), " ").alias("ids"))
-    vocabulary = _literal(pieces, "array<string>")
+    with scratch(docs.sparkSession):
+        common = common_words(docs.select(F.explode(words).alias("word")), dictionary)
+        folded = _let(rank_maps, lambda r: word_ids(F.col("word").cast("binary"), (r, count)))
+        found = common.repartition(F.xxhash64("word")).select(F.col("word").cast("binary").alias("word"), folded.alias("ids")).toArrow()
+    word_maps, word_count = _bucketed(dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)), "string")
+    # each literal is bound once: the plan has one copy of it
+    of = lambda t, r: F.transform(words, lambda w: _let(w.cast("binary"), lambda b: F.coalesce(_looked_up((t, word_count), b), word_ids(b, (r, count)))))
+    ids = docs.select(F.col(id_col), F.array_join(_let(word_maps, lambda t: _let(rank_maps, lambda r: of(t, r))), " ").alias("ids"))
+    vocabulary = _literal(pieces, "array<binary>")
     each = F.when(F.col("ids") == "", F.array().cast("array<string>")).otherwise(F.split("ids", " "))
-    text = F.array_join(F.transform(each, lambda i: F.get(vocabulary, i.cast("int"))), "")
+    parts = lambda v: F.transform(F.sequence(F.lit(1), F.size(each) + 1, F.lit(512)), lambda at: spelt(F.transform(F.slice(each, at, F.lit(512)), lambda i: F.get(v, i.cast("int")))))
     return ids.select(
         F.col(id_col),
         F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("decoded_sha256"),
+        F.sha2(spelt(_let(vocabulary, parts)), 256).alias("decoded_sha256"),
     )

@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences, certified by lower bounds.
 
 Documents are dealt to partitions by a hash and packed there best-fit decreasing. Dual feasible functions give a
-lower bound of each partition's bins. Bins of partitions that stay above their bound, and bins that are less than
-half full, go on to the next round: there the bins of several partitions meet, exchange their documents and are
-packed anew, and the new packing is taken if it needs fewer bins. Rounds go on until one partition is left.
+lower bound of each partition's bins. All bins with free space of partitions that stay above their bound, and bins that
+are less than half full, go on to the next round: there the bins of several partitions meet, exchange their documents
+and are packed anew, and the new packing is taken if it needs fewer bins. Rounds go on until none is left, all that are
+left met in one partition, or a round saved less than one bin in a thousand.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import written
+from ledgerloom.llm.store import scratch, written
 from ledgerloom.llm.wordcache import DEFAULT_WORD, encoder
 from ledgerloom.llm.words import filled, slices
 
@@ -90,65 +91,64 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _round(capacity: int, level: int, most_open: int):
+def _round(capacity: int, level: int):
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy().astype(np.int64)
         old = table["bin"].to_numpy()
         bins = best_fit_decreasing(lengths, capacity)
         n = int(bins.max()) + 1
-        if (old >= 0).all() and len(distinct := np.unique(old, return_inverse=True)[1]) and distinct.max() + 1 <= n:
-            bins, n = distinct, int(distinct.max()) + 1
+        if (old >= 0).all():
+            distinct = np.unique(old, return_inverse=True)[1]
+            if int(distinct.max()) + 1 <= n:
+                bins, n = distinct, int(distinct.max()) + 1
         fill = np.bincount(bins, lengths, n)
-        gap = n - lower_bound(lengths, capacity)
-        again = fill <= capacity / 2
-        if gap:
-            again[np.argsort(fill, kind="stable")[:most_open]] = True
-            again &= fill < capacity
-        if again.sum() > most_open:
-            again[np.argsort(fill + capacity * ~again, kind="stable")[most_open:]] = False
+        again = fill < capacity if n > lower_bound(lengths, capacity) else fill <= capacity / 2
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[order])
         first = np.concatenate(([True], np.diff(bins[order]) != 0))
         base = np.maximum.accumulate(np.where(first, ends - lengths[order], 0))
         offset = np.empty(len(bins), np.int64)
         offset[order] = ends - lengths[order] - base
-        group = int(table["grp"][0].as_py())
-        sequence = (level << 56) + (group << 24) + bins
+        sequence = (level << 56) + (key[0].as_py() << 24) + bins
         done = table.drop_columns(["bin", "grp"])
-        for name, values in (("sequence_id", sequence), ("offset", offset), ("again", again[bins]), ("grp", np.full(len(bins), group))):
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("again", again[bins])):
             done = done.append_column(name, pa.array(values))
         return done
 
     return pack
 
 
-def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 32768, fan_in: int = 16, most_open: int = 512) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 32768) -> DataFrame:
     """items (doc_id, piece, length and more) with sequence_id and offset.
 
-    A partition holds about per_partition items; from each, at most most_open bins go on to the next round, the
-    emptiest first, and fan_in partitions meet there. The limits bound a task's rows, and leave no item out.
+    A partition of any round holds about per_partition items, dealt by hashes of rows or bins, whatever their ids; which
+    of equal lengths comes first is free. What a round can't better any more stays as it is: without a certificate where
+    its partition's bins are more than the bound.
     """
     extra = [c for c in items.columns if c not in ("sequence_id", "offset")]
     kinds = dict(items.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", sequence_id long, offset long, again boolean, grp long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", sequence_id long, offset long, again boolean"
     groups = max(1, -(-items.count() // per_partition))
-    left = items.withColumn("bin", F.lit(-1).cast("long")).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    out, level = None, 0
+    dealt = lambda key: F.pmod(F.xxhash64(key), F.lit(groups))
+    left = items.withColumn("bin", F.lit(-1).cast("long")).withColumn("grp", dealt(F.monotonically_increasing_id()))
+    out, level, entered = None, 0, None
     while True:
-        packed = written(left.groupBy("grp").applyInArrow(_round(capacity, level, most_open), schema), "packed")
-        last = groups == 1
-        done = (packed if last else packed.where("not again")).drop("again", "grp")
+        packed = written(left.groupBy("grp").applyInArrow(_round(capacity, level), schema), "packed")
+        bins, open_bins, open_items = packed.agg(F.count_if("offset = 0"), F.count_if("offset = 0 and again"), F.count_if("again")).first()
+        last = groups == 1 or not open_bins or (entered is not None and (entered - bins) * 1000 < entered)
+        done = (packed if last else packed.where("not again")).drop("again")
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        groups, level = -(-groups // fan_in), level + 1
-        left = packed.where("again").withColumnRenamed("sequence_id", "bin").drop("offset", "again").withColumn("grp", F.floor(F.col("grp") / F.lit(fan_in)).cast("long"))
+        groups, level, entered = max(1, -(-open_items // per_partition)), level + 1, open_bins
+        left = packed.where("again").withColumnRenamed("sequence_id", "bin").drop("offset", "again").withColumn("grp", dealt(F.col("bin") + level))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, vocabulary: str = DEFAULT_WORD, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts count as empty: the end id alone. Repeated rows are packed each; extra columns are ignored; an
-    empty table gives no rows.
+    Null texts count as empty: the end id alone. Texts may be of any length; repeated rows, and rows with a null id, are
+    packed each; extra columns are ignored; an empty table gives no rows.
     """
-    return pack(written(pieces(docs, capacity, vocabulary, end_id, text_col, id_col), "pieces"), capacity)
+    with scratch(docs.sparkSession) as keep:
+        return keep(pack(written(pieces(docs, capacity, vocabulary, end_id, text_col, id_col), "pieces"), capacity), "packed")

@@ -167,24 +167,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, text_col: st
     return FactorisationMachine.fit(stats, [columns[i] for i in order], [values[i] for i in order], rows["quality"].to_numpy()[order].astype(np.float64))
 
 
-def quality_scores(docs: DataFrame, model: FactorisationMachine | None, threshold: float = 0.7, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Each row of docs with its columns, score and predicted (1 from the threshold on). Null texts count as empty.
+def quality_scores(docs: DataFrame, model: FactorisationMachine | None, threshold: float = 0.7, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """Each row of docs with its columns, a score and what is predicted (1 from the threshold on). Null texts count as empty.
 
-    Without a model all rows score 1. Columns of docs named score or predicted are replaced.
+    Without a model all rows score 1. Rows with equal texts score alike, whatever their ids, null ones too; a text of any
+    length is read whole; an empty table gives no rows. The two new names must not be columns of docs.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    if clash := {score_col.lower(), predicted_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns of the documents: {sorted(clash)}")
     if model is None:
-        return docs.select(*kept, F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    own, text_at = docs.select(*kept), kept.index(text_col)
-    schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+        return docs.select("*", F.lit(1.0).alias(score_col), F.lit(1).alias(predicted_col))
+    text_at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.scores(*x) for x in features(filled(batch.column(text_at)))]
             found = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=schema.names)
 
-    return own.mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:

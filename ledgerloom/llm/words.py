@@ -55,7 +55,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base of word hashes, and of its inverse."""
     while len(_powers[0]) < n:
         for i, base in ((0, _BASE), (1, pow(_BASE, -1, 1 << 64))):
             old = _powers[i]
@@ -87,7 +88,7 @@ class Words:
             base = self.start[at]
             stop = max(at + 1, int(np.searchsorted(self.end, base + block, "right")))
             s, e = self.start[at:stop] - base, self.end[at:stop] - base
-            power, inverse = _power(int(e[-1]) + 1)
+            power, inverse = powers(int(e[-1]) + 1)
             sums = np.zeros(int(e[-1]) + 1, _U)
             np.cumsum((self.bytes[base : base + e[-1]].astype(_U) + _U(1)) * power[: e[-1]], out=sums[1:])
             out[at:stop] = mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(_U))
