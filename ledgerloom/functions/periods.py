@@ -9,7 +9,7 @@ from ledgerloom.functions.text import MONTHS
 
 #: The phrases before a period's date, strongest first, and the shapes of dates and quarters.
 BASES = (
-    ("year_ended", r"(?i)k[êe]t\s*th[úu]c\s*ngày\s+([^\n,]+)"), ("year_ended", r"(?i)for\s+the\s+year\s+ended\s+([^\n]+)"),
+    ("year_ended", r"(?i)(?:năm\s+tài\s+chính\s+)?k[ếêe]t\s*th[úu]c\s*ngày\s+([^\n,]+)"), ("year_ended", r"(?i)for\s+the\s+year\s+ended\s+([^\n]+)"),
     ("as_of", r"(?i)(?:tại|tai)\s+ngày\s+([^\n,]+)"), ("as_of", r"(?i)as\s+at\s+([^\n]+)"),
 )
 DAY_FIRST = (r"(?i)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})", r"(?i)ngay\s+(\d{1,2})\s+thang\s+(\d{1,2})\s+nam\s+(\d{4})", r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})")
@@ -51,12 +51,25 @@ def quarter_end(c: Column) -> Column:
 
 
 def period(c: Column) -> Column:
-    """period and basis: the year's end before a date "as at", before a quarter, before any date.
+    """period, basis and text: the year's end before a date "as at", before a quarter, before any date.
 
-    The dates of all fragments come from one lambda, so that the long expression of a date stands in the plan once.
+    A fragment is looked at only where its phrase stands; the dates of all fragments come from one lambda, so that the
+    long expression of a date stands in the plan once. text is what was matched, or the date itself where it is any date.
     """
-    fragments = F.array(*[F.regexp_extract(c, p, 1) for _, p in BASES], c)
-    dates = F.transform(fragments, iso_date)
-    named = [(F.get(dates, F.lit(i)), basis) for i, (basis, _) in enumerate(BASES)]
-    named += [(quarter_end(c), "quarter_ended"), (F.get(dates, F.lit(len(BASES))), "period_ended")]
-    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("period"), F.lit(basis).alias("basis"))) for d, basis in named])
+    fragments = F.array(*[F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("part"), F.regexp_extract(c, p, 0).alias("text"))) for _, p in BASES], F.when(c.rlike(r"\d{4}"), F.struct(c.alias("part"), c.alias("text"))))
+    dates = F.transform(fragments, lambda f: F.when(f.isNotNull(), iso_date(f["part"])))
+    named = [(F.get(dates, F.lit(i)), basis, F.trim(F.get(fragments, F.lit(i))["text"])) for i, (basis, _) in enumerate(BASES)]
+    last = F.get(dates, F.lit(len(BASES)))
+    named += [(quarter_end(c), "quarter_ended", F.trim(F.regexp_extract(c, QUARTER, 0))), (last, "period_ended", last)]
+    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("period"), F.lit(basis).alias("basis"), text.alias("text"))) for d, basis, text in named])
+
+
+def simple_period(c: Column) -> Column:
+    """The first date in words, day, month and year, accented or not."""
+    part = lambda pattern, i: F.regexp_extract(c, pattern, i)
+    return F.coalesce(*[_iso(part(p, 3), part(p, 2), part(p, 1)) for p in DAY_FIRST[:2]])
+
+
+def header_date(c: Column) -> Column:
+    """A header's date, day first, with slashes or dashes and two or four digits of the year; null where it is none."""
+    return F.coalesce(*[F.try_to_date(F.when(c.rlike(shape), c), form) for shape, form in ((r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"), (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"))])

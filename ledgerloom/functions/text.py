@@ -110,12 +110,17 @@ def unit_multiplier(c: Column, legacy: bool = False) -> Column:
     return found
 
 
+#: What heading lines begin with, and the numbers that follow.
+HEADINGS = (("#", "CHAPTER", r"CHAPTER|CHAP\.?", "[IVXLC]+"), ("##", "SECTION", r"SECTION|SEC\.?", "[A-Z0-9]+"), ("###", "PART", r"PART|PT\.?", "[A-Z0-9]+"))
+
+
 def with_headings(c: Column) -> Column:
-    """CHAPTER, SECTION and PART lines as headings of three levels, bullets as dashes, blank lines single."""
+    """Numbered CHAPTER, SECTION and PART lines, also shortened ones, as headings of three levels; bullets as dashes, blank lines single."""
+
     def line(x: Column) -> Column:
-        out = F.when(x.rlike(r"^[•*-]\s*"), F.regexp_replace(x, r"^[•*-]\s*", "- ")).otherwise(x)
-        for mark, word in (("###", "PART"), ("##", "SECTION"), ("#", "CHAPTER")):
-            out = F.when(F.upper(x).startswith(word + " "), F.concat(F.lit(mark + " "), x)).otherwise(out)
+        out = F.regexp_replace(x, r"^[-•·]\s*", "- ")
+        for marks, word, names, number in HEADINGS:
+            out = F.regexp_replace(out, rf"(?i)^(?:{names})\s+({number})\b(.*)$", f"{marks} {word} $1$2")
         return out
 
     lines = F.transform(F.split(c, "\n"), lambda x: line(F.trim(x)))
@@ -123,14 +128,46 @@ def with_headings(c: Column) -> Column:
 
 
 def anchors(c: Column) -> Column:
-    """Distinct headings of a text with headings, in order."""
-    return F.array_distinct(F.filter(F.split(c, "\n"), lambda x: x.rlike("^#{1,3} ")))
-
-
-def forced_breaks(c: Column) -> Column:
-    """A line break before each three-digit code and each roman numeral that begins an item."""
-    c = F.regexp_replace(c, r"(?<=\S) +(?=\d{3}(\.\d+)? +\p{L})", "\n")
-    return F.regexp_replace(c, r"(?<=\S) +(?=(?:I|II|III|IV|V)\. )", "\n")
+    """Distinct headings of a text with headings, in order, without their marks."""
+    found = F.filter(F.split(c, "\n"), lambda x: x.rlike("^#{1,3} (?:CHAPTER|SECTION|PART) "))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^#+ ", "")))
+
+
+def forced_breaks(c: Column, codes: bool = True, numerals: int = 5, money: bool = True) -> Column:
+    """A line break before each account code, each numeral that begins an item, up to V or to X, and each amount of three groups."""
+    if codes:
+        c = F.regexp_replace(c, r"(?<=\S) +(?=\d{3}(\.\d+)? +\p{L})", "\n")
+    names = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")[:numerals]
+    c = F.regexp_replace(c, rf"(?<=\S) +(?=(?:{'|'.join(names)})\. )", "\n")
+    return F.regexp_replace(c, r"(?<=\S) +(?=\d{1,3}(?:[.,]\d{3}){2,}(?!\d))", "\n") if money else c
+
+
+#: The titles of statements, and the columns by which a balance sheet without a title is known.
+TITLES = {"balance_sheet": "Bảng cân đối kế toán", "income_statement": "Báo cáo kết quả hoạt động kinh doanh", "cash_flow": "Báo cáo lưu chuyển tiền tệ", "equity_changes": "Báo cáo thay đổi vốn chủ sở hữu"}
+SHEET_COLUMNS = ("ma so", "thuyet minh", "so cuoi nam", "so dau nam")
+
+
+def statement_title(c: Column) -> Column:
+    """kind and title: of a known statement its name; of a text with a balance sheet's columns that one's; else no kind and the longest of the first 15 lines."""
+    words, kind = normal_words(c), statement_kind(c)
+    columns = F.lit(True)
+    for name in SHEET_COLUMNS:
+        columns = columns & words.contains(name)
+    kind = F.coalesce(kind, F.when(columns, "balance_sheet"))
+    head = F.slice(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 15)
+    longest = F.array_max(F.transform(head, lambda x, i: F.struct(F.length(x).alias("size"), (-i).alias("at"), x.alias("line"))))["line"]
+    names = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+    return F.struct(kind.alias("kind"), F.coalesce(F.when(kind.isNotNull(), names[kind]), longest).alias("title"))
+
+
+def unit_line(c: Column, lines: int = 30) -> Column:
+    """raw, unit and multiplier: of the first lines the one that names the unit, else the first with a currency's name."""
+    head = F.slice(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, lines)
+    named = F.filter(head, lambda x: strip_single_marks(x).rlike(r"d[o0]n\s*v[ij]t?\s*t?inh?"))
+    money = F.filter(head, lambda x: x.rlike(r"(?i)(?<![\p{L}\p{N}])(?:VN[ĐD]|đồng|dong|triệu|trieu|tỷ|ty)(?![\p{L}\p{N}])"))
+    raw = F.coalesce(F.get(named, F.lit(0)), F.get(money, F.lit(0)))
+    multiplier = unit_multiplier(raw)
+    return F.struct(raw.alias("raw"), F.when(multiplier.isNotNull(), "VND").alias("unit"), multiplier.alias("multiplier"))
 
 
 def corrected(c: Column, fixes: dict[str, str]) -> Column:

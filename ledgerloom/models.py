@@ -108,3 +108,44 @@ def recognised(images: DataFrame, runner: ModelRunner) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", *columns, "error"])
 
     return images.select("path", "content").mapInPandas(read, "path string, text string, conf double, left double, top double, width double, height double, block_num double, par_num double, line_num double, error string")
+
+
+def polled(status, timeout: float = 60.0, pause: float = 1.0, clock=None, sleep=None) -> tuple[str, str | None]:
+    """Asks until a run is completed, failed, cancelled or expired, or the time is over: its state, "timeout" at the end, and its result.
+
+    status() gives (state, result); a driver-side helper for models that answer later.
+    """
+    import time
+
+    clock, sleep = clock or time.monotonic, sleep or time.sleep
+    end = clock() + timeout
+    while clock() < end:
+        state, result = status()
+        if state in ("completed", "failed", "cancelled", "expired"):
+            return state, result if state == "completed" else None
+        sleep(pause)
+    return "timeout", None
+
+
+def runner_of(mode: str, runners: dict[str, ModelRunner], default: str = "stub") -> ModelRunner:
+    """The runner that a mode names, else the default one; the stub needs no entry."""
+    known = {"stub": StubRunner(), **runners}
+    return known.get(mode, known[default])
+
+
+def rewritten(df: DataFrame, text: str, instruction: str, runner: ModelRunner, column: str = "rewritten") -> DataFrame:
+    """df with each text rewritten by a model after an instruction; the text itself where the model fails or says nothing."""
+    asked = df.withColumn("__prompt", F.concat(F.lit(f"{instruction}\n"), F.coalesce(F.col(text), F.lit(""))))
+    done = generated(asked, "__prompt", runner).withColumnRenamed("answer", "__answer")
+    return done.withColumn(column, F.when(F.trim(F.coalesce("__answer", F.lit(""))) == "", F.col(text)).otherwise(F.col("__answer"))).select(*df.columns, column)
+
+
+def recognised_pages(images: DataFrame, runner: ModelRunner) -> DataFrame:
+    """path, line_no, line of page images (path, content): tokens from the runner, then visual lines from left to right.
+
+    The per-page driver: recognition, grouping by gaps and reading order in one plan; pages that fail give no line.
+    """
+    from ledgerloom.operators.lines import joined_in_order, visual_lines
+
+    found = recognised(images, runner).where("error is null and text is not null")
+    return visual_lines(found, ["path"]).groupBy("path", "line_no").agg(joined_in_order("left", "text").alias("line"))

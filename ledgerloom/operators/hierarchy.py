@@ -65,10 +65,28 @@ def family(parents: DataFrame) -> DataFrame:
     return named.join(children, "code", "left").withColumn("children_codes", F.coalesce("children_codes", F.array().cast("array<string>")))
 
 
+def bounded(config: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of configuration, to be broadcast if it is counted to have no more than `most` rows; else Spark shuffles it."""
+    return F.broadcast(config) if config.limit(most + 1).count() <= most else config
+
+
+def parts_of(values: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """values' rows with each rule's child that they are or belong to: 131.1 belongs to 131 where no code in between is there.
+
+    So an absent child is given by its parts, and a present one by itself alone. A code names its prefixes, and these
+    are joined as equals, so no join compares texts by their beginnings.
+    """
+    dotted = values.where(F.col("code").contains(".")).select(*keys, "code", F.explode(F.slice(code_prefixes(F.col("code")), F.lit(1), F.size(F.split("code", r"\.")) - 1)).alias("__prefix"))
+    there = values.select(*keys, F.col("code").alias("__prefix")).distinct()
+    above = dotted.join(there, [*keys, "__prefix"]).groupBy(*keys, "code").agg(F.max(F.length("__prefix")).alias("__above"))
+    each = values.join(above, [*keys, "code"], "left").withColumn("child", F.explode(code_prefixes(F.col("code"))))
+    return each.where(F.length("child") > F.coalesce("__above", F.lit(0))).drop("__above").join(bounded(edges), "child")
+
+
 def signed_rollup(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sum of sign * value of each parent's children, nulls as 0: keys, parent, children_sum, n_children."""
-    met = values.join(F.broadcast(edges), values["code"] == edges["child"])
-    return met.groupBy(*keys, "parent").agg(F.sum(F.col("sign") * F.coalesce(F.col(value), F.lit(0))).alias("children_sum"), F.count(F.lit(1)).alias("n_children"))
+    """Sum of sign * value of each parent's children, nulls as 0: keys, parent, children_sum, n_children. Absent children are given by their parts."""
+    met = parts_of(values, edges, keys)
+    return met.groupBy(*keys, "parent").agg(F.sum(F.col("sign") * F.coalesce(F.col(value), F.lit(0))).alias("children_sum"), F.count_distinct("child").alias("n_children"))
 
 
 def within(a: Column, b: Column, absolute: float, relative: float) -> Column:
@@ -86,16 +104,63 @@ def checked_totals(values: DataFrame, edges: DataFrame, keys: list[str], value:
 
 
 def complete_rules(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rules of which all children are present (a relational division), with their sums."""
+    """Rules of which all children are present themselves (a relational division), with their sums."""
     sizes = edges.groupBy("rule_id", "parent").agg(F.count(F.lit(1)).alias("size"))
-    met = values.join(F.broadcast(edges), values["code"] == edges["child"]).groupBy(*keys, "rule_id", "parent").agg(F.sum(F.col("sign") * F.col(value)).alias("children_sum"), F.count_distinct("child").alias("met"))
-    return met.join(F.broadcast(sizes), ["rule_id", "parent"]).where("met = size").drop("met", "size")
+    met = values.join(bounded(edges), values["code"] == edges["child"]).groupBy(*keys, "rule_id", "parent").agg(F.sum(F.col("sign") * F.col(value)).alias("children_sum"), F.count_distinct("child").alias("met"))
+    return met.join(bounded(sizes), ["rule_id", "parent"]).where("met = size").drop("met", "size")
+
+
+def formula_checks(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each entity's formulas: the left side, the right side with absent codes as 0, and a finding: ok, differs, or missing where the left side is absent."""
+    rules = edges.select("rule_id", "parent").distinct()
+    entities = values.select(*keys).distinct().join(bounded(rules))
+    sums = values.join(bounded(edges), values["code"] == edges["child"]).groupBy(*keys, "rule_id").agg(F.sum(F.col("sign") * F.coalesce(F.col(value), F.lit(0))).alias("right_side"))
+    left = values.select(*keys, F.col("code").alias("parent"), F.col(value).alias("left_side"), F.lit(True).alias("__there"))
+    found = entities.join(sums, [*keys, "rule_id"], "left").join(left, [*keys, "parent"], "left").withColumn("right_side", F.coalesce("right_side", F.lit(0)))
+    finding = F.when(F.col("__there").isNull(), "missing").when(F.col("left_side").eqNullSafe(F.col("right_side")), "ok").otherwise("differs")
+    return found.select(*keys, "rule_id", "parent", "left_side", "right_side", finding.alias("finding"))
+
+
+def named_rule_checks(values: DataFrame, rules: dict[str, list[str]], keys: list[str], name: str, value: str) -> DataFrame:
+    """The same for rules between names, in lower case, of statements without codes: parents of which all parts are present, and their sums."""
+    spark = values.sparkSession
+    edges = spark.createDataFrame([(p.lower(), p.lower(), c.lower(), 1) for p, parts in rules.items() for c in parts], "rule_id string, parent string, child string, sign int")
+    named = values.select(*keys, F.lower(name).alias("code"), value)
+    sums = complete_rules(named, edges, keys, value).drop("rule_id")
+    found = sums.join(named.select(*keys, F.col("code").alias("parent"), F.col(value).alias("observed")), [*keys, "parent"])
+    return found.withColumn("ok", F.col("observed").eqNullSafe(F.col("children_sum")))
 
 
 def missing_children(values: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Children that a present parent's rule names and the entity lacks."""
-    wanted = values.join(F.broadcast(edges), values["code"] == edges["parent"]).select(*keys, "parent", F.col("child").alias("code"))
-    return wanted.join(values.select(*keys, "code"), [*keys, "code"], "left_anti")
+    """Children that a present parent's rule names and of which the entity has neither the code nor a part."""
+    wanted = values.join(bounded(edges), values["code"] == edges["parent"]).select(*keys, "parent", F.col("child").alias("code"))
+    there = values.select(*keys, F.explode(code_prefixes(F.col("code"))).alias("code")).distinct()
+    return wanted.join(there, [*keys, "code"], "left_anti")
+
+
+def variant_children(codes: DataFrame, legacy: bool = False) -> DataFrame:
+    """parent, child: X00 of X10..X90 and XY0 of XY1..XY9, whichever are there, and a of all a.b; legacy also gives X00 every code of its hundred."""
+    code = F.col("child")
+    rows = codes.select(code.alias("child") if "child" in codes.columns else F.col("code").alias("child")).distinct()
+    three = code.rlike(r"^\d{3}$")
+    tens, hundreds = F.concat(F.left(code, F.lit(2)), F.lit("0")), F.concat(F.left(code, F.lit(1)), F.lit("00"))
+    options = [F.when(three & (F.right(code, F.lit(1)) != "0"), tens), F.when(three & (F.substring(code, 2, 1) != "0") & (F.lit(legacy) | (F.right(code, F.lit(1)) == "0")), hundreds)]
+    prefixes = code_prefixes(code)
+    every = F.concat(F.array_compact(F.array(*options)), F.slice(prefixes, F.lit(1), F.size(prefixes) - 1))
+    return rows.select(F.explode(every).alias("parent"), "child").join(rows.select(F.col("child").alias("parent")), "parent", "left_semi").select("parent", "child").distinct()
+
+
+def merged_rules(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """parent, child, sign, origin of all rules that hold: static where the configuration has them, dynamic where only the codes show them.
+
+    A parent of the configuration keeps its signed children, and those found beside them are new; any other parent has
+    the children found, all added.
+    """
+    fixed = edges.select("parent", "child", "sign", F.lit("static").alias("origin"))
+    found = dynamic_edges(codes).join(fixed.select("parent", "child"), ["parent", "child"], "left_anti")
+    configured = edges.select("parent").distinct().withColumn("__static", F.lit(True))
+    named = found.join(bounded(configured), "parent", "left").select("parent", "child", F.lit(1).alias("sign"), F.when(F.col("__static"), "new").otherwise("dynamic").alias("origin"))
+    return fixed.unionByName(named)
 
 
 def new_children(codes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -118,21 +183,46 @@ def _depths(rules: dict[str, str]) -> list[list[str]]:
     return [[p for p in children if depth[p] == d] for d in sorted(set(depth.values()))]
 
 
-def repaired(values: DataFrame, rules: dict[str, str], keys: list[str], value: str, absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
+def repaired(values: DataFrame, rules: dict[str, str], keys: list[str], value: str, absolute: float = 1.0, relative: float = 0.005, dry_run: bool = False) -> DataFrame:
     """values with totals that disagree set to the sum of their children, from the lowest level up, and what was there before.
 
-    A missing total is a disagreement. Each level sees the repairs of those below; there are as many joins as levels.
+    A missing total is a disagreement. Each level sees the repairs of those below, and absent children are given by
+    their parts; there are as many joins as levels. dry_run leaves the values, and gives the sums as `suggested` only.
     """
     spark = values.sparkSession
     now = values.select(*keys, "code", F.col(value), F.col(value).alias("observed"))
+    kind = dict(now.dtypes)[value]
     for parents in _depths(rules):
         edges = rule_edges(spark, {p: rules[p] for p in parents})
         sums = signed_rollup(now, edges, keys, value).select(*keys, F.col("parent").alias("code"), "children_sum")
         joined = now.join(sums, [*keys, "code"], "left")
         wrong = F.col("children_sum").isNotNull() & ~within(F.col(value), F.col("children_sum"), absolute, relative)
-        kind = dict(now.dtypes)[value]
         now = joined.withColumn(value, F.when(wrong, F.col("children_sum").cast(kind)).otherwise(F.col(value))).drop("children_sum")
-    return now.withColumn("changed", ~F.col(value).eqNullSafe(F.col("observed")))
+    changed = ~F.col(value).eqNullSafe(F.col("observed"))
+    if dry_run:
+        return now.select(*keys, "code", F.col("observed").alias(value), F.when(changed, F.col(value)).alias("suggested"))
+    return now.withColumn("changed", changed)
+
+
+def repair_audit(values: DataFrame, rules: dict[str, str], keys: list[str], columns: list[str], absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
+    """One row for each total that a repair changes: code, column, observed, suggested, children_used (signed, in the rule's order), status."""
+    spark = values.sparkSession
+    used = spark.createDataFrame([(p, ",".join(x if x[0] in "+-" else f"+{x}" for x in c.split())) for p, c in rules.items()], "code string, children_used string")
+    out = None
+    for c in columns:
+        found = repaired(values, rules, keys, c, absolute, relative).where("changed").select(*keys, "code", F.lit(c).alias("column"), "observed", F.col(c).alias("suggested"))
+        out = found if out is None else out.unionByName(found)
+    return out.join(F.broadcast(used), "code").select(*keys, "code", "column", "observed", "suggested", "children_used", F.lit("mismatch").alias("status"))
+
+
+def current_and_noncurrent(values: DataFrame, keys: list[str], value: str, current: str = "100", noncurrent: str = "200", total: str = "270", absolute: float = 1.0, relative: float = 0.01) -> DataFrame:
+    """For each entity with a total: the sum of current and noncurrent, and the total to keep: the sum where the total is missing or near it."""
+    of = lambda code, name: F.max(F.when(F.col("code") == code, F.col(value))).alias(name)
+    found = values.groupBy(*keys).agg(of(current, "current"), of(noncurrent, "noncurrent"), of(total, "observed"), F.count_if(F.col("code") == total).alias("__n"))
+    both = F.coalesce("current", F.lit(0)) + F.coalesce("noncurrent", F.lit(0))
+    kept = F.when((both != 0) & (F.col("observed").isNull() | within(F.col("observed"), both, absolute, relative)), both).otherwise(F.col("observed"))
+    known = found.where("__n > 0 and (current is not null or noncurrent is not null)").drop("__n")
+    return known.withColumn("total", kept).withColumn("changed", ~F.col("total").eqNullSafe(F.col("observed")))
 
 
 def row_levels(rows: DataFrame) -> DataFrame:

@@ -2,92 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, periods, text
 from ledgerloom.models import StubRunner
 from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules, statements, tables
-from ledgerloom.sources import readers, sinks
+from ledgerloom.plans.registry import fixture, oracle_sql, queries, query, table, values_sql
+from ledgerloom.sources import readers, sinks, stores
 from ledgerloom.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def fixture(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
-
-
-def values_sql(rows: list[tuple], names: str) -> str:
-    """The same rows as a SQL table."""
-    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({names})"
-
-
 # Retrieval
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str, k: int, per_store: bool = False) -> DataFrame:
+    """Every fiftieth vector searched among all."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.scored(vectors.select("vec_id", F.col("label").alias("store"), "embedding"), asked)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.searched(vectors.select("vec_id", F.col("label").alias("store"), "embedding"), asked, k, per_store)
 
 
 _SCORED = """scored AS (SELECT q.vec_id AS query_id, e.vec_id, e.label AS store,
     round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q)"""
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)"""
 
 
 @query(f"WITH {_SCORED} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored QUALIFY rank <= 12")
 def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scored(spark, sf_dir), 12)
+    return retrieval.top_k(_found(spark, sf_dir, 12), 12)
 
 
 @query(f"""WITH {_SCORED}, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, store ORDER BY score DESC, vec_id) <= 6)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM best QUALIFY rank <= 6""")
 def union_store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.union_store_top_k(_scored(spark, sf_dir), 6)
+    return retrieval.union_store_top_k(_found(spark, sf_dir, 6, True), 6)
 
 
 @query(f"""WITH {_SCORED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored QUALIFY rank <= 12)
     SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM best) WHERE score >= 0.9 OR top < 0.9""".replace("SELECT * FROM (", "SELECT query_id, vec_id, store, score, rank FROM ("))
 def threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.threshold_else_all(retrieval.top_k(_scored(spark, sf_dir), 12), 0.9)
+    return retrieval.threshold_else_all(retrieval.top_k(_found(spark, sf_dir, 12), 12), 0.9)
 
 
 @query(f"""WITH {_SCORED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored QUALIFY rank <= 12)
     SELECT *, (vec_id % 7)::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank)::INT AS rerank_rank FROM best QUALIFY rerank_rank <= 3""")
 def rerank_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.top_k(_scored(spark, sf_dir), 12)
+    best = retrieval.top_k(_found(spark, sf_dir, 12), 12)
     return retrieval.reranked(best, lambda df: df.withColumn("rerank_score", (F.col("vec_id") % 7).cast("double")), 3)
 
 
+@query(f"""WITH {_SCORED}, best AS (SELECT * FROM scored WHERE store = (SELECT min(label) FROM embeddings) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3)
+    SELECT query_id, vec_id, score FROM best WHERE query_id % 100 = 0 UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 100 = 50""")
+def retriever_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of one store's search that give nothing take another retriever's results: here every second one, and the query itself."""
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.agg(F.min("label").alias("store"))
+    found = retrieval.top_k(_found(spark, sf_dir, 3, True).join(F.broadcast(first), "store").where("query_id % 100 = 0"), 3)  # one row
+    own = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(1.0).alias("score"))
+    return retrieval.with_fallback(found.select("query_id", "vec_id", "score"), own)
+
+
 @query("SELECT label AS store, count(*) AS n_vectors FROM embeddings GROUP BY ROLLUP (label)")
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").rollup(F.col("label").alias("store")).agg(F.count(F.lit(1)).alias("n_vectors"))
@@ -105,17 +79,9 @@ def context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM tf JOIN len USING (doc_id) JOIN df USING (term) CROSS JOIN n WHERE term IN ('license', 'version', 'general') GROUP BY doc_id)
     SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 20""")
 def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Okapi BM25 over all documents; only the three terms' postings are kept, next to every document's length."""
-    docs, wanted = table(spark, sf_dir, "documents"), ["license", "version", "general"]
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
-    count = lambda term: F.size(F.filter("words", lambda w: w == term))
-    each = words.select("doc_id", F.size("words").alias("len"), *[count(t).alias(t) for t in wanted])
-    stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean"), *[F.count_if(F.col(t) > 0).alias(f"df_{t}") for t in wanted])
-    joined = each.join(F.broadcast(stats))  # one row
-    part = lambda t: F.log(1 + (F.col("n") - F.col(f"df_{t}") + 0.5) / (F.col(f"df_{t}") + 0.5)) * F.col(t) * 2.2 / (F.col(t) + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    scored = joined.where(hierarchy.any_of([F.col(t) > 0 for t in wanted])).select("doc_id", F.round(sum(part(t) for t in wanted), 6).alias("score"))
-    best = scored.orderBy(F.desc("score"), "doc_id").limit(20)
-    return retrieval.top_k(best.select(F.lit(0).alias("query_id"), F.col("doc_id").alias("vec_id"), "score"), 20).select(F.col("vec_id").alias("doc_id"), "score", "rank")
+    """Okapi BM25 of three terms over all documents."""
+    terms = spark.createDataFrame([(0, "license"), (0, "version"), (0, "general")], "query_id int, term string")
+    return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", terms, 20).select("doc_id", "score", "rank")
 
 
 # Documents
@@ -205,9 +171,15 @@ def truncate_and_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text")).alias("short"), text.corrected(F.col("text"), {"license": "LICENCE"}).alias("fixed"))
 
 
-@query()
+_HEADED = "regexp_replace(trim(x), '^[-•·]\\s*', '- ')"
+for _marks, _word, _names, _number in text.HEADINGS:
+    _HEADED = f"regexp_replace({_HEADED}, '^(?:{_names})\\s+({_number})\\b(.*)$', '{_marks} {_word} \\1\\2', 'i')"
+
+
+@query(f"""WITH m AS (SELECT doc_id, 'Chap. II ' || source || repeat(chr(10), 4) || '• ' || text || chr(10) || 'chapter ii ' || source AS t FROM documents), h AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: {_HEADED}) AS l FROM m)
+    SELECT doc_id, trim(regexp_replace(array_to_string(l, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS text, 'CHAPTER II ' || (SELECT source FROM documents d WHERE d.doc_id = h.doc_id) || chr(10) || 'CHAPTER ii ' || (SELECT source FROM documents d WHERE d.doc_id = h.doc_id) AS anchors FROM h""")
 def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = table(spark, sf_dir, "documents").select("doc_id", text.with_headings(F.concat(F.lit("CHAPTER "), "source", F.lit("\n\n\n\n• "), "text")).alias("text"))
+    marked = table(spark, sf_dir, "documents").select("doc_id", text.with_headings(F.concat(F.lit("Chap. II "), "source", F.lit("\n\n\n\n• "), "text", F.lit("\nchapter ii "), "source")).alias("text"))
     return marked.select("doc_id", "text", F.array_join(text.anchors(F.col("text")), "\n").alias("anchors"))
 
 
@@ -284,15 +256,6 @@ def number_format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown"), numbers.recognised(shown).alias("back"))
 
 
-_DATES = [(i, x) for i, x in enumerate(["ngày 31 tháng 12 năm 2024", "cho năm tài chính kết thúc ngày 31 tháng 12 năm 2024, VND", "31/12/2024", "2024-1-5", "December 31, 2024", "31 December 2024", "for the year ended 30 June 2023", "as at March 1, 2022", "Quý IV/2024", "Q3 2024", "31/02/2024", "Tại ngày 30/9/2021", "none", ""])]
-
-
-@query()
-def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixture(spark, _DATES, "id int, x string").withColumn("p", periods.period(F.col("x")))
-    return found.select("id", periods.iso_date(F.col("x")).alias("iso"), periods.checked_date(F.col("x")).alias("checked"), F.col("p.period").alias("period"), F.col("p.basis").alias("basis"))
-
-
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, year(o_orderdate)::VARCHAR || CASE quarter(o_orderdate) WHEN 1 THEN '-03-31' WHEN 2 THEN '-06-30' WHEN 3 THEN '-09-30' ELSE '-12-31' END AS period, 'quarter_ended' AS basis FROM orders""")
 def period_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's date in words, and its quarter, read back from a line of text."""
@@ -396,20 +359,32 @@ _STATEMENT = """v AS (SELECT l_orderkey AS entity, CASE WHEN l_linenumber % 2 =
     lines AS (SELECT entity, CASE half WHEN '100' THEN '1' ELSE '2' END || (n)::VARCHAR || '0' AS code, value FROM v),
     halves AS (SELECT entity, half AS code, sum(value)::BIGINT + CASE WHEN entity % 3 = 0 THEN 7 ELSE 0 END AS value FROM v GROUP BY entity, half),
     totals AS (SELECT entity, '270' AS code, sum(value)::BIGINT + CASE WHEN entity % 5 = 0 THEN 100000 ELSE 0 END AS value FROM v GROUP BY entity),
-    st AS (SELECT * FROM lines UNION ALL SELECT * FROM halves UNION ALL SELECT * FROM totals)"""
+    st AS MATERIALIZED (SELECT * FROM lines WHERE entity % 4 <> 0 OR value % 2 = 0 UNION ALL SELECT entity, code || '.1', value // 3 FROM lines WHERE entity % 4 = 0 UNION ALL SELECT entity, code || '.2', value - value // 3 FROM lines WHERE entity % 4 = 0
+        UNION ALL SELECT entity, code || '.2.1', 5 FROM lines WHERE entity % 4 = 0 UNION ALL SELECT * FROM halves UNION ALL SELECT * FROM totals)"""
 _RULES = {"100": "120 140 160", "200": "210 230 250 -270x", "270": "100 200"}
 _EDGES = values_sql([(f"{p}={c}", p, x.lstrip("+-"), -1 if x[0] == "-" else 1) for p, c in _RULES.items() for x in c.split()], "rule_id, parent, child, sign")
 
 
 def _statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a statement; of every fourth, lines have parts, and odd amounts are given by these alone."""
     v = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey entity", "if(l_linenumber % 2 = 0, '100', '200') half", "l_linenumber n", "cast(round(l_extendedprice) as bigint) value")
     below = v.selectExpr("entity", "concat(if(half = '100', '1', '2'), n, '0') code", "value")
+    parts = "case when entity % 4 = 0 then array(struct(concat(code, '.1') code, value div 3 value), struct(concat(code, '.2') code, value - value div 3 value), struct(concat(code, '.2.1') code, 5L value)) else array() end"
+    own = "case when entity % 4 <> 0 or value % 2 = 0 then array(struct(code, value)) else array() end"
+    below = below.selectExpr("entity", f"explode(concat({own}, {parts})) x").select("entity", "x.code", "x.value")
     halves = v.groupBy("entity", F.col("half").alias("code")).agg((F.sum("value") + F.when(F.col("entity") % 3 == 0, 7).otherwise(0)).alias("value"))
     totals = v.groupBy("entity").agg((F.sum("value") + F.when(F.col("entity") % 5 == 0, 100000).otherwise(0)).alias("value")).selectExpr("entity", "'270' code", "value")
     return below.unionByName(halves).unionByName(totals)
 
 
-_SUMS = f"sums AS (SELECT entity, parent, sum(sign * coalesce(value, 0))::BIGINT AS children_sum, count(*) AS n_children FROM st JOIN (SELECT * FROM {_EDGES}) e ON st.code = e.child GROUP BY entity, parent)"
+# rows of a rule's child: the child itself, or else its parts, the topmost that are there
+def _parts_sql(st: str) -> str:
+    return f"""(SELECT st.entity, e.rule_id, e.parent, e.child, e.sign, st.value FROM {st} st JOIN (SELECT * FROM {_EDGES}) e ON st.code = e.child
+    UNION ALL SELECT st.entity, e.rule_id, e.parent, e.child, e.sign, st.value FROM {st} st JOIN (SELECT * FROM {_EDGES}) e ON string_split(st.code, '.')[1] = e.child AND contains(st.code, '.')
+    WHERE (st.entity, e.child) NOT IN (SELECT (entity, code) FROM {st}) AND (NOT contains(substr(st.code, 5), '.') OR (st.entity, regexp_extract(st.code, '^(.*)\\.[^.]*$', 1)) NOT IN (SELECT (entity, code) FROM {st})))"""
+
+
+_SUMS = f"sums AS (SELECT entity, parent, sum(sign * coalesce(value, 0))::BIGINT AS children_sum, count(DISTINCT child) AS n_children FROM {_parts_sql('st')} GROUP BY entity, parent)"
 
 
 @query(f"WITH {_STATEMENT}, {_SUMS} SELECT * FROM sums")
@@ -417,19 +392,35 @@ def signed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.signed_rollup(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
 
 
-@query(f"""WITH {_STATEMENT}, {_SUMS} SELECT entity, parent, children_sum, n_children, value AS observed, value - children_sum AS diff,
-    abs(value - children_sum) <= 1 OR (value <> 0 AND abs((value - children_sum) / value::DOUBLE) <= 0.005) AS ok FROM sums JOIN st USING (entity) WHERE st.code = parent""")
+_NEAR = "(abs(value - {s}) <= 1 OR (value <> 0 AND abs((value - {s}) / value::DOUBLE) <= 0.005))"
+_CHECKED = f"checked AS (SELECT entity, parent, children_sum, n_children, value AS observed, value - children_sum AS diff, {_NEAR.format(s='children_sum')} AS ok FROM sums JOIN st USING (entity) WHERE st.code = parent)"
+
+
+@query(f"WITH {_STATEMENT}, {_SUMS}, {_CHECKED} SELECT * FROM checked")
 def subtotal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.checked_totals(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
 
 
+@query(f"WITH {_STATEMENT}, {_SUMS}, {_CHECKED} SELECT entity, parent, '[' || entity || '] ' || parent || ': ' || observed || ' ≠ ' || children_sum AS line FROM checked WHERE NOT ok")
+def mismatch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.mismatch_log(subtotal_check(spark, sf_dir), ["entity"])
+
+
 @query(f"""WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}) SELECT entity, rule_id, parent, sum(sign * value)::BIGINT AS children_sum FROM st JOIN e ON st.code = e.child
     GROUP BY entity, rule_id, parent HAVING count(DISTINCT child) = (SELECT count(*) FROM e x WHERE x.rule_id = e.rule_id)""".replace("x.rule_id = e.rule_id", "x.rule_id = any_value(e.rule_id)"))
 def formula_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.complete_rules(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
 
 
-@query(f"WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}) SELECT entity, parent, child AS code FROM st JOIN e ON st.code = e.parent WHERE NOT EXISTS (SELECT 1 FROM st x WHERE x.entity = st.entity AND x.code = e.child)")
+@query(f"""WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}), r AS (SELECT DISTINCT rule_id, parent FROM e), s AS (SELECT entity, rule_id, sum(sign * value)::BIGINT AS s FROM st JOIN e ON st.code = e.child GROUP BY ALL)
+    SELECT n.entity, r.rule_id, r.parent, l.value AS left_side, coalesce(s, 0) AS right_side, CASE WHEN l.code IS NULL THEN 'missing' WHEN l.value IS NOT DISTINCT FROM coalesce(s, 0) THEN 'ok' ELSE 'differs' END AS finding
+    FROM (SELECT DISTINCT entity FROM st) n CROSS JOIN r LEFT JOIN s ON s.entity = n.entity AND s.rule_id = r.rule_id LEFT JOIN st l ON l.entity = n.entity AND l.code = r.parent""")
+def formula_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.formula_checks(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"], "value")
+
+
+@query(f"""WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}) SELECT entity, parent, child AS code FROM st JOIN e ON st.code = e.parent
+    WHERE (entity, child) NOT IN (SELECT (entity, string_split(code, '.')[1]) FROM st)""")
 def missing_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.missing_children(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"])
 
@@ -443,22 +434,73 @@ def new_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.new_children(fixture(spark, _CODES, "code string"), hierarchy.rule_edges(spark, {"110": "111 112"}))
 
 
+_PART_CODES = "SELECT DISTINCT (100 + p_partkey % 900)::VARCHAR || CASE WHEN p_size % 5 = 0 THEN '.' || (p_size % 3 + 1) ELSE '' END AS code FROM part"
+
+
+def _part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("concat(100 + p_partkey % 900, if(p_size % 5 = 0, concat('.', p_size % 3 + 1), '')) code").distinct()
+
+
+_VARIANTS = f"""c AS ({_PART_CODES}), v AS (SELECT regexp_extract(code, '^(.*)\\.[^.]*$', 1) AS parent, code AS child FROM c WHERE contains(code, '.')
+    UNION ALL SELECT left(code, 2) || '0', code FROM c WHERE NOT contains(code, '.') AND code NOT LIKE '%0' UNION ALL SELECT left(code, 1) || '00', code FROM c WHERE NOT contains(code, '.') AND code LIKE '%0' AND code NOT LIKE '_00')"""
+
+
+@query(f"WITH {_VARIANTS} SELECT parent, child FROM v WHERE parent IN (SELECT code FROM c)")
+def variant_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.variant_children(_part_codes(spark, sf_dir))
+
+
+@query(f"""WITH {_VARIANTS}, e AS (SELECT * FROM {_EDGES}) SELECT parent, child, sign, 'static' AS origin FROM e
+    UNION ALL SELECT parent, child, 1, CASE WHEN parent IN (SELECT parent FROM e) THEN 'new' ELSE 'dynamic' END FROM v WHERE parent IN (SELECT code FROM c) AND (parent, child) NOT IN (SELECT (parent, child) FROM e)""")
+def merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.merged_rules(_part_codes(spark, sf_dir), hierarchy.rule_edges(spark, _RULES))
+
+
+@query(f"""WITH {_STATEMENT}, n AS (SELECT entity, CASE code WHEN '100' THEN 'current' WHEN '200' THEN 'noncurrent' WHEN '270' THEN 'total' ELSE code END AS name, value FROM st)
+    SELECT t.entity, 'total' AS parent, a.value + b.value AS children_sum, t.value AS observed, t.value = a.value + b.value AS ok FROM n t JOIN n a ON a.entity = t.entity AND a.name = 'current' JOIN n b ON b.entity = t.entity AND b.name = 'noncurrent' WHERE t.name = 'total'""")
+def named_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("code") == "100", "Current").when(F.col("code") == "200", "Noncurrent").when(F.col("code") == "270", "TOTAL").otherwise(F.col("code"))
+    return hierarchy.named_rule_checks(_statement(spark, sf_dir).withColumn("name", named), {"Total": ["Current", "Noncurrent"]}, ["entity"], "name", "value")
+
+
 @query(f"""WITH c AS (SELECT * FROM {values_sql(_CODES, 'code')}), p AS (SELECT code, nullif(regexp_extract(code, '^(.*)\\.[^.]*$', 1), '') AS parent_code FROM c)
     SELECT code, parent_code, coalesce((SELECT string_agg(x.code, ',' ORDER BY x.code) FROM p x WHERE x.parent_code = p.code), '') AS children FROM p""")
 def code_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.family(fixture(spark, _CODES, "code string")).select("code", "parent_code", F.array_join("children_codes", ",").alias("children"))
 
 
-@query(f"""WITH {_STATEMENT}, e AS (SELECT * FROM {_EDGES}),
-    s1 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM st JOIN e ON st.code = e.child WHERE parent IN ('100', '200') GROUP BY entity, parent),
-    r1 AS (SELECT st.entity, st.code, st.value AS observed, CASE WHEN s IS NOT NULL AND NOT (abs(value - s) <= 1 OR (value <> 0 AND abs((value - s) / value::DOUBLE) <= 0.005)) THEN s ELSE value END AS value FROM st LEFT JOIN s1 ON st.entity = s1.entity AND st.code = s1.code),
-    s2 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM r1 JOIN e ON r1.code = e.child WHERE parent = '270' GROUP BY entity, parent),
-    r2 AS (SELECT r1.entity, r1.code, observed, CASE WHEN s IS NOT NULL AND NOT (abs(value - s) <= 1 OR (value <> 0 AND abs((value - s) / value::DOUBLE) <= 0.005)) THEN s ELSE value END AS value FROM r1 LEFT JOIN s2 ON r1.entity = s2.entity AND r1.code = s2.code)
-    SELECT entity, code, observed, value, value <> observed AS changed FROM r2""")
+_REPAIRED = f"""{_STATEMENT},
+    s1 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM {_parts_sql('st')} WHERE parent IN ('100', '200') GROUP BY entity, parent),
+    r1 AS MATERIALIZED (SELECT st.entity, st.code, st.value AS observed, CASE WHEN s IS NOT NULL AND NOT {_NEAR.format(s='s')} THEN s ELSE value END AS value FROM st LEFT JOIN s1 ON st.entity = s1.entity AND st.code = s1.code),
+    s2 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM {_parts_sql('r1')} WHERE parent = '270' GROUP BY entity, parent),
+    r2 AS (SELECT r1.entity, r1.code, observed, CASE WHEN s IS NOT NULL AND NOT {_NEAR.format(s='s')} THEN s ELSE value END AS value FROM r1 LEFT JOIN s2 ON r1.entity = s2.entity AND r1.code = s2.code)"""
+
+
+@query(f"WITH {_REPAIRED} SELECT entity, code, observed, value, value <> observed AS changed FROM r2")
 def repair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.repaired(_statement(spark, sf_dir), _RULES, ["entity"], "value")
 
 
+_USED = values_sql([(p, ",".join(x if x[0] in "+-" else f"+{x}" for x in c.split())) for p, c in _RULES.items()], "code, children_used")
+
+
+@query(f"WITH {_REPAIRED} SELECT entity, code, 'value' AS \"column\", observed, value AS suggested, children_used, 'mismatch' AS status FROM r2 JOIN (SELECT * FROM {_USED}) u USING (code) WHERE value <> observed")
+def repair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.repair_audit(_statement(spark, sf_dir), _RULES, ["entity"], ["value"])
+
+
+@query(f"WITH {_REPAIRED} SELECT entity, code, observed AS value, CASE WHEN value <> observed THEN value END AS suggested FROM r2")
+def repair_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.repaired(_statement(spark, sf_dir), _RULES, ["entity"], "value", dry_run=True)
+
+
+@query(f"""WITH {_STATEMENT}, p AS (SELECT entity, max(value) FILTER (code = '100') AS current, max(value) FILTER (code = '200') AS noncurrent, max(value) FILTER (code = '270') AS observed FROM st GROUP BY entity),
+    q AS (SELECT *, coalesce(current, 0) + coalesce(noncurrent, 0) AS s FROM p)
+    SELECT entity, current, noncurrent, observed, CASE WHEN s <> 0 AND (abs(observed - s) <= 1 OR (observed <> 0 AND abs((observed - s) / observed::DOUBLE) <= 0.01)) THEN s ELSE observed END AS total, total <> observed AS changed FROM q""")
+def current_and_noncurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.current_and_noncurrent(_statement(spark, sf_dir), ["entity"], "value")
+
+
 @query(f"WITH {_STATEMENT} SELECT entity, a.value AS left_value, b.value AS right_value, coalesce(abs(a.value - b.value) <= 1, false) AS ok FROM (SELECT * FROM st WHERE code = '100') a FULL JOIN (SELECT * FROM st WHERE code = '270') b USING (entity)")
 def cross_statement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = _statement(spark, sf_dir)
@@ -658,3 +700,6 @@ def session_gap_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n_events FROM events GROUP BY ALL")
 def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windowed(table(spark, sf_dir, "events"))
+
+
+from ledgerloom.plans import pages  # noqa: E402, F401  registers its queries

@@ -26,7 +26,7 @@ def values(spark, f, items):
         (text.strip_accents, "Số đầu năm", "so đau nam"), (text.normal_words, "Số đầu-năm!", "so dau nam"), (text.strip_single_marks, "ồ Ạ", "ồ a"), (text.truncated, "a" * 130, "a" * 117 + "..."),
         (text.without_junk, "a | b\nc  •d", "a b\nc d"), (text.clean_text, "Tiền* mặt#", "Tiền mặt"), (text.language, "Tiền và đô", "vi"), (text.language, "in March", "en"), (text.file_kind, "a/b/Risk_1.pdf", "survey"),
         (text.unit_multiplier, "Đơn vị: triệu đồng", 1_000_000), (lambda c: text.unit_multiplier(c, legacy=True), "trieu dong", 1), (text.statement_kind, "BẢNG CÂN ĐỐI KẾ TOÁN", "balance_sheet"),
-        (text.with_headings, "chapter one\n\n\n\n* x\nSection 2", "# chapter one\n\n- x\n## Section 2"), (text.forced_breaks, "a 111 Tiền 112 Vàng I. B", "a\n111 Tiền\n112 Vàng\nI. B"),
+        (text.with_headings, "chap. ii one\n\n\n\n• x\nSection 2\nchapter one", "# CHAPTER ii one\n\n- x\n## SECTION 2\nchapter one"), (text.forced_breaks, "a 111 Tiền 112 Vàng I. B", "a\n111 Tiền\n112 Vàng\nI. B"),
         (text.company_line, "x\nCông ty A\nTổng Công ty Bảo hiểm B", "Tổng Công ty Bảo hiểm B"), (text.company_line, "\n first \nb", "first"),
         (lambda c: text.corrected(c, {"tai san": "TÀI SẢN"}), "Tai San cu, taisan", "TÀI SẢN cu, taisan"),
     ],

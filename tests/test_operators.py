@@ -1,9 +1,9 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import pytest
-
 from ledgerloom.models import StubRunner, embedded, generated, recognised, scored
 from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules
 
@@ -83,9 +83,64 @@ def test_segments(spark):
 def test_threshold_and_query_bound(spark):
     found = spark.createDataFrame([(1, 1, 0, 0.9), (1, 2, 0, 0.1), (2, 3, 0, 0.1)], "query_id int, vec_id int, store int, score double")
     assert sorted(r.vec_id for r in retrieval.threshold_else_all(found, 0.5).collect()) == [1, 3]
-    queries = spark.range(1001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vector"))
-    with pytest.raises(ValueError):
-        retrieval.scored(spark.createDataFrame([(1, 0, [1.0])], "vec_id int, store int, embedding array<double>"), queries)
+
+
+def test_search_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [(i, i % 3, [rng.uniform(-1, 1) for _ in range(4)] if i % 17 else None) for i in range(300)] + [(900, 0, [0.0] * 4), (901, 1, [1.0])]
+    chunks = spark.createDataFrame(rows, "vec_id int, store int, embedding array<double>")
+    queries = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)], "query_id int, query_vector array<double>")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    score = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 6)
+    for per_store in (False, True):
+        got = {}
+        for block in (10_000, 7):
+            found = retrieval.searched(chunks, queries, 5, per_store, block=block)
+            best = retrieval.union_store_top_k(found, 5) if per_store else retrieval.top_k(found, 5)
+            got[block] = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in best.collect())
+        want = []
+        for q in queries.collect():
+            scored = sorted((-score(v, q.query_vector), i) for i, _, v in rows if v is not None and i < 900)[:5]
+            want += [(q.query_id, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+        assert got[7] == got[10_000] == want
+
+
+def test_fuzzy_match_of_brute_force(spark):
+    rng = random.Random(4)
+    entries = ["".join(rng.choices("abcde", k=rng.randint(1, 40))) for _ in range(150)]
+    words = []
+    for e in entries + entries:
+        w = list(e)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(w)) if w else 0
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        words.append("".join(w))
+    got = rules.fuzzy_match(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(e,) for e in entries], "entry string")).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for w in set(words):
+        scored = [(-100 * (1 - distance(w, e) / max(len(w), len(e), 1)), e) for e in set(entries)]
+        best = min(scored)
+        want[w] = best[1] if -best[0] > 85 + 1e-9 and w else w
+    assert len(got) == len(words) and all(r.matched == want[r.word] for r in got)
+
+
+def test_children_of_parts(spark):
+    rows = [("e", "130", 30), ("e", "131.1", 10), ("e", "131.2", 20), ("e", "131.2.1", 7), ("f", "130", 5), ("f", "131", 4), ("f", "131.1", 3), ("g", "130", None)]
+    values = spark.createDataFrame(rows, "entity string, code string, value long")
+    edges = hierarchy.rule_edges(spark, {"130": "131 -132"})
+    assert sorted((r.entity, r.children_sum) for r in hierarchy.signed_rollup(values, edges, ["entity"], "value").collect()) == [("e", 30), ("f", 4)]
+    assert sorted((r.entity, r.code) for r in hierarchy.missing_children(values, edges, ["entity"]).collect()) == [("e", "132"), ("f", "132"), ("g", "131"), ("g", "132")]
+    codes = spark.createDataFrame([(c,) for c in ("100", "110", "111", "112", "151", "151.1", "151.1.1")], "code string")
+    assert sorted(map(tuple, hierarchy.variant_children(codes, legacy=True).collect())) == [("100", "110"), ("100", "111"), ("100", "112"), ("100", "151"), ("110", "111"), ("110", "112"), ("151", "151.1"), ("151", "151.1.1"), ("151.1", "151.1.1")]
 
 
 def test_ratios_need_both_figures(spark):
