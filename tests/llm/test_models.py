@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.ann import nearest_neighbours
 from ledgerloom.llm.chat import CONTROLS, chat_report, escaped, unescaped
-from ledgerloom.llm.quality import held_out, quality_report, quality_scores, train
+from ledgerloom.llm.quality import RANK, FactorisationMachine, held_out, quality_report, quality_scores, train
 from tests.llm.cases import frame, texts
 
 SF = "/root/testdata/sf0.01"
@@ -31,6 +31,30 @@ def test_quality_of_odd_rows(spark):
     assert all(v == (__import__("zlib").crc32(str(k).encode()) % 4 == 2) for k, v in crc.items())
 
 
+def test_interactions_of_explicit_pairs():
+    """The linear-time score against the sum over all pairs of features."""
+    rng = np.random.default_rng(3)
+    width, n = 40, 12
+    own = FactorisationMachine(np.zeros((0, 0)), 0.3, rng.normal(size=width), rng.normal(size=(width, RANK)))
+    columns = [rng.choice(width, rng.integers(0, 9), replace=False) for _ in range(n)]
+    values = [rng.normal(size=len(c)) for c in columns]
+    row = np.repeat(np.arange(n), [len(c) for c in columns])
+    got = own.logits(row, np.concatenate(columns), np.concatenate(values), n)[0]
+    for i, (c, v) in enumerate(zip(columns, values, strict=True)):
+        want = 0.3 + sum(own.weights[j] * x for j, x in zip(c, v, strict=True))
+        want += sum(own.factors[c[a]] @ own.factors[c[b]] * v[a] * v[b] for a in range(len(c)) for b in range(a))
+        assert abs(got[i] - want) < 1e-9
+
+
+def test_ties_score_alike(spark):
+    docs = spark.createDataFrame([(i, "one two three. " * (1 + i % 3)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    scores = {}
+    for r in quality_report(docs, labels).collect():
+        scores.setdefault(r.doc_id % 3, set()).add(r.score)
+    assert all(len(s) == 1 for s in scores.values())
+
+
 def brute(rows, ids, k):
     out = {}
     for q in ids:
@@ -65,6 +89,8 @@ def test_odd_vectors(spark):
     got = nearest_neighbours(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 8, 0.5), (0, 3, 20, 0.0), (20, 1, 1, 0.5), (20, 2, 8, 0.25), (20, 3, 0, 0.0)]
     assert nearest_neighbours(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    twice = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in (20, 1, 1, 2, 3, 3)], "vec_id long, embedding array<double>")
+    assert [(r["rank"], r.vec_id) for r in nearest_neighbours(twice, F.col("vec_id") % 20 == 0, k=4).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, 2), (4, 3)]
 
 
 def test_chat(spark):

@@ -98,6 +98,24 @@ def test_bounds_never_pass_a_packing():
     assert lower_bound(np.full(10, 51), 100) == 10 and lower_bound(np.full(9, 34), 100) == 5
 
 
+def test_bins_with_a_gap_meet_again(spark):
+    """Partitions whose bins stay above their bound, packed anew with others: no item is lost, and no more bins than before."""
+    from ledgerloom.llm.packing import pack
+
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, 0, int(x)) for i, x in enumerate(rng.choice([34, 35, 30, 21, 17, 12], 3000))], "doc_id long, piece int, length long")
+    alone = pack(items, capacity=100, per_partition=1 << 30).select("sequence_id").distinct().count()
+    rows = pack(items, capacity=100, per_partition=200).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == np.cumsum([0, *(n for _, n in places[:-1])]).tolist() and sum(n for _, n in places) <= 100
+    assert len(by) <= 1.02 * alone
+
+
 def _brute_places(text):
     words, out = text_words(text), []
     for phrase in ("under the mit license", "apache license version 2", "cc by nc"):
@@ -115,6 +133,11 @@ def test_license_scan(spark):
     assert by[10].labels == "apache-2,cc-by-nc" and by[1].labels == "" and by[1].score == 0
 
 
+def test_license_scan_of_no_rows(spark):
+    assert license_scan(frame(spark, [])).count() == 0
+    assert [(r.doc_id, r.n_words) for r in license_scan(frame(spark, [(None, "a b")])).collect()] == [(None, 2)]
+
+
 def test_automaton_regions():
     x = Automaton("x", "a <<beginOptional>>b <<var;name=v;words=1-2>><<endOptional>> license <<var;name=w;words=0-1>> end")
     yes = ["a license end", "a b q license end", "a b q r license z end", "zz a license q end"]
