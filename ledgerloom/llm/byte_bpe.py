@@ -2,7 +2,7 @@
 
 Texts are cut by the pre-token pattern. A word's bytes are an array of binary pieces, folded by a higher-order function:
 every step merges the leftmost pair of the least rank, until no pair has a rank. Ranks are one literal: an array of
-small maps, a piece's map given by its CRC, so that a look-up takes a few comparisons. The commonest distinct words of
+small buckets, a piece's bucket given by its CRC, so that a look-up takes a few comparisons. The commonest distinct words of
 the corpus, at most `dictionary` of them, are folded once and become a second such literal; all other words are folded
 where they stand. Decoding concatenates the literal binary pieces of the ids.
 
@@ -44,16 +44,19 @@ def _literal(value: object, schema: str) -> Column:
 
 
 def _bucketed(entries: dict[bytes, object], kind: str) -> tuple[Column, int]:
-    """A literal of maps with binary keys, and how many maps it has."""
+    """A literal of small buckets, each with its binary keys and their values, and how many buckets it has."""
     count = max(1, len(entries) // 3)
-    buckets: list[dict] = [{} for _ in range(count)]
+    buckets: list[dict] = [{"k": [], "v": []} for _ in range(count)]
     for key, value in entries.items():
-        buckets[zlib.crc32(key) % count][base64.b64encode(key).decode()] = value
-    return _literal(buckets, f"array<map<binary,{kind}>>"), count
+        bucket = buckets[zlib.crc32(key) % count]
+        bucket["k"].append(base64.b64encode(key).decode())
+        bucket["v"].append(value)
+    return _literal(buckets, f"array<struct<k:array<binary>,v:array<{kind}>>>"), count
 
 
 def _looked_up(table: tuple[Column, int], key: Column) -> Column:
-    return F.get(table[0], (F.crc32(key) % table[1]).cast("int"))[key]
+    bucket = F.get(table[0], (F.crc32(key) % table[1]).cast("int"))
+    return F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1)
 
 
 def _let(value: Column, body) -> Column:

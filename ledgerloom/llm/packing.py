@@ -134,7 +134,7 @@ def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 32768) ->
     out, level, entered = None, 0, None
     while True:
         packed = written(left.groupBy("grp").applyInArrow(_round(capacity, level), schema), "packed")
-        bins, open_bins, open_items = packed.agg(F.count_if("offset = 0"), F.count_if("offset = 0 and again"), F.count_if("again")).first()
+        bins, open_bins, open_items = packed.agg(F.count_if(F.expr("offset = 0")), F.count_if(F.expr("offset = 0 and again")), F.count_if("again")).first()
         last = groups == 1 or not open_bins or (entered is not None and (entered - bins) * 1000 < entered)
         done = (packed if last else packed.where("not again")).drop("again")
         out = done if out is None else out.unionByName(done)
