@@ -6,6 +6,8 @@ one line a row, so nothing shuffles.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,41 @@ from ledgerloom.functions.text import squeezed, truncated
 from ledgerloom.operators.lines import joined_in_order
 from ledgerloom.operators.rules import alias
 
+
+@dataclass(frozen=True)
+class ParseConfig:
+    """How statement lines are read: unit and multiplier, characters to drop, patterns to replace in numbers, code aliases, numerals to put right."""
+
+    unit: str = "VND"
+    multiplier: int = 1
+    drop_characters: tuple[str, ...] = (" ", ",", "£", "¥", "₫")
+    patterns: tuple[tuple[str, str], ...] = ()
+    aliases: dict[str, str] = field(default_factory=dict)
+    numerals: dict[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, config: dict, unit: str = "VND") -> ParseConfig:
+        """From a configuration's `globals`; what it leaves out keeps its default."""
+        g = config.get("globals") or {}
+        cleanup = g.get("number_cleanup") or {}
+        patterns = tuple((p.get("from"), p.get("to")) for p in cleanup.get("fix_patterns", ()))
+        return cls(g.get("currency", unit), int(g.get("unit_multiplier", 1)), tuple(cleanup.get("drop_chars", cls.drop_characters)), patterns, g.get("code_aliases") or {}, g.get("roman_normalize") or {})
+
+    def number(self, c: Column) -> Column:
+        """A raw amount's value: patterns replaced, characters dropped, then as recognised."""
+        c = cells.replaced_patterns(c, self.patterns)
+        for x in self.drop_characters:
+            c = F.replace(c, F.lit(x), F.lit(""))
+        return numbers.recognised(c, self.multiplier)
+
+
+def configured_records(lines: DataFrame, keys: list[str], line: str, config: ParseConfig) -> DataFrame:
+    """Records of free lines by a configuration."""
+    rows = free_lines(lines, keys, line, config.aliases, config.numerals)
+    found = records(rows, keys, config.unit, config.multiplier)
+    return found.withColumn("end", config.number(F.col("end_raw"))).withColumn("begin", config.number(F.col("begin_raw")))
+
+
 #: The words before a code in the first column.
 CODE_TITLE = r"(?i)^(?:Mã\s*số|Ma\s*so|Chi\s*tieu|Chỉ\s*tiêu)\s*[:\-]?\s*"
 CODE_HEAD = r"(?i)^\s*(\d{1,3}(?:\.\d{1,3}){0,2}|[IVXLCDM]+|[A-Z]\.)\s+(.+)$"

@@ -27,6 +27,22 @@ SYNONYMS = {
 }
 
 
+#: Accent-free names of the columns with the figures of a period.
+PERIOD_COLUMNS = {"end": ("so cuoi nam", "onv s6 cuoi nam", "nam nay", "end of year", "year end", "ending balance"), "begin": ("so dau nam", "nam truoc", "nam truroc", "beginning of year", "opening balance")}
+
+
+def period_columns(names: list[str], synonyms: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
+    """The leftmost column of each period, by a synonym in its accent-free name; a period without one is left out. Reads the schema only."""
+    from ledgerloom.sources.readers import plain_name
+
+    out: dict[str, str] = {}
+    for period, words in (synonyms or PERIOD_COLUMNS).items():
+        hit = next((n for n in names if any(w in plain_name(n) for w in words)), None)
+        if hit is not None:
+            out[period] = hit
+    return out
+
+
 def synonym_table(spark: SparkSession, synonyms: dict[str, tuple[str, ...]]) -> DataFrame:
     return spark.createDataFrame([(k, s, i) for k, words in synonyms.items() for i, s in enumerate(words)], "key string, synonym string, syn_ord int")
 

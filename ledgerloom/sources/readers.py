@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -170,6 +171,22 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+def plain_name(name: str) -> str:
+    """A column's name in lower case without accents, đ as d, spaces single."""
+    folded = unicodedata.normalize("NFD", name.lower().replace("đ", "d"))
+    return " ".join("".join(c for c in folded if unicodedata.category(c) != "Mn").split())
+
+
+def content_hashes(found: DataFrame) -> DataFrame:
+    """path and sha1 of each file's bytes."""
+    return found.select("path", F.sha1("content").alias("sha1"))
+
+
+def lenient(content: Column, charset: str = "UTF-8") -> Column:
+    """Bytes as text, those that aren't valid left out."""
+    return F.translate(F.decode(content, charset) if charset != "UTF-8" else F.make_valid_utf8(content.cast("string")), "\ufffd", "")
+
+
 def period_roles(names: list[str]) -> dict[str, str]:
     """Columns renamed to end and start, by their words or, where two names hold dates, the later as end."""
     out: dict[str, str] = {}

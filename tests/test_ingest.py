@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 import zlib
@@ -129,3 +130,26 @@ def test_model_helpers(spark):
     assert rewritten(spark.createDataFrame([("a b",), (None,)], "t string"), "t", "say", StubRunner()).collect()[0].rewritten == "a b"
     pages = spark.createDataFrame([("p", bytearray(b"one two"))], "path string, content binary")
     assert [r.line for r in recognised_pages(pages, StubRunner()).collect()] == ["one two"]
+
+
+def test_jobs(spark, folder, tmp_path):
+    from ledgerloom.__main__ import main
+
+    main(["ingest", folder, str(tmp_path / "docs"), "--skip", "/log/"])
+    assert spark.read.parquet(str(tmp_path / "docs")).count() == 7
+    main(["query", "unioned_tables", "/root/testdata/sf0.001", str(tmp_path / "q"), "--policy", "skip"])
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 30
+
+
+def test_schema_helpers(spark):
+    from ledgerloom.operators.parsers import ParseConfig, configured_records
+    from ledgerloom.operators.ratios import period_columns
+    from ledgerloom.sources.readers import content_hashes, lenient
+
+    assert period_columns(["Mã số", "Số đầu năm", "Số  cuối năm", "Year end"]) == {"begin": "Số đầu năm", "end": "Số  cuối năm"}
+    files = spark.createDataFrame([("x", bytearray(b"a\xffb"))], "path string, content binary")
+    assert content_hashes(files).first().sha1 == hashlib.sha1(b"a\xffb").hexdigest()
+    assert files.select(lenient(F.col("content")).alias("t")).first().t == "ab"
+    config = ParseConfig.of({"globals": {"unit_multiplier": 1000, "code_aliases": {"131.1": "131"}, "number_cleanup": {"fix_patterns": [{"from": "S", "to": "5"}]}}})
+    got = configured_records(spark.createDataFrame([(1, "131 1 Phải thu 1.234.567 (2.000.000)")], "i int, line string"), ["i"], "line", config).first()
+    assert (got.code, got.name, int(got.end), int(got.begin), got.unit_multiplier) == ("131", "Phải thu", 1234567000, -2000000000, 1000)
