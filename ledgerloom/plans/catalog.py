@@ -359,7 +359,7 @@ _STATEMENT = """v AS (SELECT l_orderkey AS entity, CASE WHEN l_linenumber % 2 =
     lines AS (SELECT entity, CASE half WHEN '100' THEN '1' ELSE '2' END || (n)::VARCHAR || '0' AS code, value FROM v),
     halves AS (SELECT entity, half AS code, sum(value)::BIGINT + CASE WHEN entity % 3 = 0 THEN 7 ELSE 0 END AS value FROM v GROUP BY entity, half),
     totals AS (SELECT entity, '270' AS code, sum(value)::BIGINT + CASE WHEN entity % 5 = 0 THEN 100000 ELSE 0 END AS value FROM v GROUP BY entity),
-    st AS MATERIALIZED (SELECT * FROM lines WHERE entity % 4 <> 0 OR value % 2 = 0 UNION ALL SELECT entity, code || '.1', value // 3 FROM lines WHERE entity % 4 = 0 UNION ALL SELECT entity, code || '.2', value - value // 3 FROM lines WHERE entity % 4 = 0
+    st AS (SELECT * FROM lines WHERE entity % 4 <> 0 OR value % 2 = 0 UNION ALL SELECT entity, code || '.1', value // 3 FROM lines WHERE entity % 4 = 0 UNION ALL SELECT entity, code || '.2', value - value // 3 FROM lines WHERE entity % 4 = 0
         UNION ALL SELECT entity, code || '.2.1', 5 FROM lines WHERE entity % 4 = 0 UNION ALL SELECT * FROM halves UNION ALL SELECT * FROM totals)"""
 _RULES = {"100": "120 140 160", "200": "210 230 250 -270x", "270": "100 200"}
 _EDGES = values_sql([(f"{p}={c}", p, x.lstrip("+-"), -1 if x[0] == "-" else 1) for p, c in _RULES.items() for x in c.split()], "rule_id, parent, child, sign")
@@ -471,7 +471,7 @@ def code_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPAIRED = f"""{_STATEMENT},
     s1 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM {_parts_sql('st')} WHERE parent IN ('100', '200') GROUP BY entity, parent),
-    r1 AS MATERIALIZED (SELECT st.entity, st.code, st.value AS observed, CASE WHEN s IS NOT NULL AND NOT {_NEAR.format(s='s')} THEN s ELSE value END AS value FROM st LEFT JOIN s1 ON st.entity = s1.entity AND st.code = s1.code),
+    r1 AS (SELECT st.entity, st.code, st.value AS observed, CASE WHEN s IS NOT NULL AND NOT {_NEAR.format(s='s')} THEN s ELSE value END AS value FROM st LEFT JOIN s1 ON st.entity = s1.entity AND st.code = s1.code),
     s2 AS (SELECT entity, parent AS code, sum(sign * value)::BIGINT AS s FROM {_parts_sql('r1')} WHERE parent = '270' GROUP BY entity, parent),
     r2 AS (SELECT r1.entity, r1.code, observed, CASE WHEN s IS NOT NULL AND NOT {_NEAR.format(s='s')} THEN s ELSE value END AS value FROM r1 LEFT JOIN s2 ON r1.entity = s2.entity AND r1.code = s2.code)"""
 
