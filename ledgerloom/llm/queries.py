@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import oracle
 from ledgerloom.llm.ann import nearest_neighbours
 from ledgerloom.llm.byte_bpe import encode_and_decode
 from ledgerloom.llm.chat import chat_report
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.license_scan import license_scan
+from ledgerloom.llm.merkle import tamper_report
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.passages import substring_duplicates
 from ledgerloom.llm.quality import quality_report
+from ledgerloom.llm.resampling import resampled
 from ledgerloom.llm.token_files import token_file_report
+from ledgerloom.llm.warc import warc_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +69,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe))
 
 
-EVERY = (op1_exact_dedup, op2_byte_bpe, op3_substring_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_report(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+EVERY = (op1_exact_dedup, op2_byte_bpe, op3_substring_dedup, op4_best_fit_packing, op5_license_scan, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_ann_search, op10_chat_format, op11_merkle_manifest, op12_warc, op13_importance_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -73,9 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op1_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-                   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    }
+    return {"op1_exact_dedup": oracle.OP1, "op11_merkle_manifest": oracle.OP11, "op12_warc": oracle.OP12, "op13_importance_resampling": oracle.OP13}

@@ -7,15 +7,17 @@ import corpus_pipeline
 from ledgerloom.llm.byte_bpe import encode_and_decode
 from ledgerloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from ledgerloom.llm.license_scan import license_scan
+from ledgerloom.llm.merkle import tamper_report
 from ledgerloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.passages import drop_repeated_passages, substring_duplicates
 from ledgerloom.llm.quality import quality_report
+from ledgerloom.llm.resampling import resampled
 from ledgerloom.llm.token_files import token_file_report
 from tests.llm.cases import texts
 
 #: Names that working columns have had, and such as results have.
-NAMES = "__cell0 __bucket0 __bits0 __hot0 __seen __own __sha __of __keep __size __spans __id __gone __cut __key __text __again __text_sha score predicted keep_id length bin grp again sequence_id id key text_sha set root component_id kept seen sha of keep".split()
+NAMES = "__cell0 __bucket0 __bits0 __hot0 __seen __own __sha __of __keep __size __spans __id __gone __cut __key __text __again __text_sha score predicted keep_id length bin grp again sequence_id id key text_sha set root component_id kept seen sha of keep __at __part __base place rank weight score_ tree at total digest carried path subroot root leaf first".split()
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,6 +33,7 @@ def clashing(spark, rows):
 OPERATORS = {
     "exact_duplicates": lambda d: exact_duplicates(d), "near_duplicates": lambda d: near_duplicates(d), "substring_duplicates": lambda d: substring_duplicates(d), "pack_documents": lambda d: pack_documents(d),
     "license_scan": lambda d: license_scan(d), "quality_report": lambda d: quality_report(d, labels(d.sparkSession)), "token_file_report": lambda d: token_file_report(d), "encode_and_decode": lambda d: encode_and_decode(d, dictionary=100),
+    "tamper_report": lambda d: tamper_report(d if "lang" in d.columns else d.select("*", *[F.lit("mine").alias(c) for c in ("lang", "source", "n_chars")])), "resampled": lambda d: resampled(d, d.select("text"), percent=50, least_words=5),
 }
 CUTS = {"drop_exact_duplicates": drop_exact_duplicates, "drop_near_duplicates": drop_near_duplicates, "drop_repeated_passages": drop_repeated_passages} | {n: None for n, _ in corpus_pipeline.STAGES[:-1]}
 
