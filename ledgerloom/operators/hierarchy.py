@@ -59,10 +59,12 @@ def code_prefixes(code: Column) -> Column:
 
 
 def family(parents: DataFrame) -> DataFrame:
-    """code with parent_code and the array of its children's codes."""
-    named = parents.withColumn("parent_code", dotted_parent(F.col("code")))
-    children = named.where("parent_code is not null").groupBy(F.col("parent_code").alias("code")).agg(F.array_sort(F.collect_set("code")).alias("children_codes"))
-    return named.join(children, "code", "left").withColumn("children_codes", F.coalesce("children_codes", F.array().cast("array<string>")))
+    """code with parent_code and the array of its children's codes: each code is grouped with the codes that name it, in one shuffle."""
+    code = F.col("code")
+    told = F.explode(F.array(F.struct(code.alias("code"), dotted_parent(code).alias("parent_code"), F.lit(None).cast("string").alias("child")), F.struct(dotted_parent(code).alias("code"), F.lit(None).cast("string").alias("parent_code"), code.alias("child"))))
+    each = parents.select(told.alias("x")).select("x.*").where("code is not null")
+    found = each.groupBy("code").agg(F.count_if(F.col("child").isNull()).alias("__n"), F.max("parent_code").alias("parent_code"), F.array_sort(F.collect_set("child")).alias("children_codes"))
+    return found.where("__n > 0").drop("__n")
 
 
 def bounded(config: DataFrame, most: int = 100_000) -> DataFrame:
@@ -70,23 +72,51 @@ def bounded(config: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(config) if config.limit(most + 1).count() <= most else config
 
 
-def parts_of(values: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """values' rows with each rule's child that they are or belong to: 131.1 belongs to 131 where no code in between is there.
+def tree_key(code: Column) -> Column:
+    """Texts that sort codes in tree order: a code stands before all that belongs to it, and that before any other code."""
+    return F.translate(code, ".", "\u0001")
+
+
+def gathered(values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each entity: keys, and its rows in tree order as `lines` of code, n, above and v0, v1 ... for the columns.
+
+    above is the length of the nearest code that is there and to which this one belongs, or 0. In tree order what belongs
+    to a code is one interval behind it, so a fold over the sorted rows knows all codes that a row belongs to from those
+    still open: nothing is joined. Rows that agree in code and values are counted (n) before an entity's are brought
+    together, so a task holds an entity's distinct rows: those of one statement. Rows without a code are left out.
+    """
+    kinds = dict(values.dtypes)
+    named = [F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    fields = ["code", *[f"v{i}" for i in range(len(columns))]]
+    counted = values.where("code is not null").select(*keys, "code", *named).groupBy(*keys, *fields).agg(F.count(F.lit(1)).alias("n"))
+    together = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(tree_key(F.col("code")).alias("key"), *fields, "n"))).alias("lines"))
+    out = ", ".join(["code: string", "n: bigint", "above: int", *[f"v{i}: {kinds[c]}" for i, c in enumerate(columns)]])
+
+    def step(done: Column, x: Column) -> Column:
+        open_ = F.filter(done["path"], lambda p: F.startswith(x["key"], F.concat(p, F.lit("\u0001"))))
+        above = F.coalesce(F.length(F.try_element_at(open_, F.lit(-1))), F.lit(0))
+        line = F.struct(x["code"].alias("code"), x["n"].alias("n"), above.alias("above"), *[x[f"v{i}"].alias(f"v{i}") for i in range(len(columns))])
+        return F.struct(F.array_append(open_, x["key"]).alias("path"), F.array_append(done["out"], line).alias("out"))
+
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast(f"array<struct<{out}>>").alias("out"))
+    return together.withColumn("lines", F.aggregate("lines", start, step, lambda done: done["out"]))
+
 
-    So an absent child is given by its parts, and a present one by itself alone. A code names its prefixes, and these
-    are joined as equals, so no join compares texts by their beginnings.
+def parts_of(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, child, parent, sign, amount: each rule's child with what is it or belongs to it: 131.1 belongs to 131 where no code in between is there.
+
+    So an absent child is given by its topmost parts, and a present one by itself alone. amount is null where the row's is.
     """
-    dotted = values.where(F.col("code").contains(".")).select(*keys, "code", F.explode(F.slice(code_prefixes(F.col("code")), F.lit(1), F.size(F.split("code", r"\.")) - 1)).alias("__prefix"))
-    there = values.select(*keys, F.col("code").alias("__prefix")).distinct()
-    above = dotted.join(there, [*keys, "__prefix"]).groupBy(*keys, "code").agg(F.max(F.length("__prefix")).alias("__above"))
-    each = values.join(above, [*keys, "code"], "left").withColumn("child", F.explode(code_prefixes(F.col("code"))))
-    return each.where(F.length("child") > F.coalesce("__above", F.lit(0))).drop("__above").join(bounded(edges), "child")
+    line = gathered(values, keys, [value]).select(*keys, F.explode("lines").alias("__x"))
+    names = F.filter(code_prefixes(F.col("__x.code")), lambda p: F.length(p) > F.col("__x.above"))
+    each = line.select(*keys, F.explode(names).alias("child"), (F.col("__x.v0") * F.col("__x.n")).alias("amount"))
+    return each.join(bounded(edges), "child")
 
 
 def signed_rollup(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Sum of sign * value of each parent's children, nulls as 0: keys, parent, children_sum, n_children. Absent children are given by their parts."""
-    met = parts_of(values, edges, keys)
-    return met.groupBy(*keys, "parent").agg(F.sum(F.col("sign") * F.coalesce(F.col(value), F.lit(0))).alias("children_sum"), F.count_distinct("child").alias("n_children"))
+    met = parts_of(values, edges, keys, value)
+    return met.groupBy(*keys, "parent").agg(F.sum(F.col("sign") * F.coalesce(F.col("amount"), F.lit(0))).alias("children_sum"), F.count_distinct("child").alias("n_children"))
 
 
 def within(a: Column, b: Column, absolute: float, relative: float) -> Column:
@@ -96,11 +126,20 @@ def within(a: Column, b: Column, absolute: float, relative: float) -> Column:
 
 
 def checked_totals(values: DataFrame, edges: DataFrame, keys: list[str], value: str, absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
-    """Each parent that has children with their sum, the difference, and whether they agree."""
-    sums = signed_rollup(values, edges, keys, value)
-    parents = values.select(*keys, F.col("code").alias("parent"), F.col(value).alias("observed"))
-    found = sums.join(parents, [*keys, "parent"])
-    return found.withColumn("diff", F.col("observed") - F.col("children_sum")).withColumn("ok", within(F.col("observed"), F.col("children_sum"), absolute, relative))
+    """Each parent that has children with their sum, the difference, and whether they agree; a parent that is there more than once is checked each time."""
+    line = gathered(values, keys, [value]).select(*keys, F.explode("lines").alias("__x"))
+    names = F.filter(code_prefixes(F.col("__x.code")), lambda p: F.length(p) > F.col("__x.above"))
+    part = lambda p: F.struct(p.alias("child"), (F.col("__x.v0") * F.col("__x.n")).alias("amount"), F.lit(0).cast("long").alias("own"))
+    itself = F.struct(F.col("__x.code").alias("child"), F.col("__x.v0").alias("amount"), F.col("__x.n").alias("own"))
+    each = line.select(*keys, F.explode(F.array_append(F.transform(names, part), itself)).alias("__p")).select(*keys, "__p.*")
+    rules = bounded(edges.select(F.col("child").alias("__child"), F.col("parent").alias("__parent"), "sign"))
+    met = each.join(rules, (F.col("child") == F.col("__child")) & (F.col("own") == 0), "left").where("own > 0 or __child is not null").withColumn("parent", F.coalesce("__parent", "child"))
+    found = met.groupBy(*keys, "parent").agg(
+        F.sum(F.col("sign") * F.coalesce(F.col("amount"), F.lit(0))).alias("children_sum"), F.count_distinct("__child").alias("n_children"),
+        F.collect_list(F.when(F.col("own") > 0, F.struct(F.col("amount").alias("observed"), "own"))).alias("__own"),
+    )
+    rows = found.where("n_children > 0").select(*keys, "parent", "children_sum", "n_children", F.explode("__own").alias("__o")).select("*", "__o.observed", F.explode(F.sequence(F.lit(1).cast("long"), "__o.own"))).drop("__o", "__own", "col")
+    return rows.withColumn("diff", F.col("observed") - F.col("children_sum")).withColumn("ok", within(F.col("observed"), F.col("children_sum"), absolute, relative))
 
 
 def complete_rules(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -132,10 +171,14 @@ def named_rule_checks(values: DataFrame, rules: dict[str, list[str]], keys: list
 
 
 def missing_children(values: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Children that a present parent's rule names and of which the entity has neither the code nor a part."""
-    wanted = values.join(bounded(edges), values["code"] == edges["parent"]).select(*keys, "parent", F.col("child").alias("code"))
-    there = values.select(*keys, F.explode(code_prefixes(F.col("code"))).alias("code")).distinct()
-    return wanted.join(there, [*keys, "code"], "left_anti")
+    """keys, parent, code: children that a present parent's rule names and of which the entity has neither the code nor a part.
+
+    What is there and what is asked for meet in one aggregation.
+    """
+    there = values.where("code is not null").select(*keys, F.explode(code_prefixes(F.col("code"))).alias("code"), F.lit(None).cast("string").alias("parent"))
+    asked = values.join(bounded(edges), values["code"] == edges["parent"]).select(*keys, F.col("child").alias("code"), "parent")
+    met = there.unionByName(asked).groupBy(*keys, "code").agg(F.count_if(F.col("parent").isNull()).alias("__n"), F.collect_list("parent").alias("__parents"))
+    return met.where("__n = 0").select(*keys, F.explode("__parents").alias("parent"), "code")
 
 
 def variant_children(codes: DataFrame, legacy: bool = False) -> DataFrame:
@@ -168,7 +211,7 @@ def new_children(codes: DataFrame, edges: DataFrame) -> DataFrame:
     return dynamic_edges(codes).join(edges.select("parent", "child").distinct(), ["parent", "child"], "left_anti")
 
 
-def _depths(rules: dict[str, str]) -> list[list[str]]:
+def by_depth(rules: dict[str, str]) -> list[list[str]]:
     """Parents by depth, those without parents among their children first."""
     children = {p: [x.lstrip("+-") for x in c.split()] for p, c in rules.items()}
     depth: dict[str, int] = {}
@@ -183,36 +226,84 @@ def _depths(rules: dict[str, str]) -> list[list[str]]:
     return [[p for p in children if depth[p] == d] for d in sorted(set(depth.values()))]
 
 
+def _rule_array(rules: dict[str, str]) -> Column:
+    """The rules as one array, from the lowest level up: parent, its added and its subtracted children."""
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    signed = {p: [x if x[0] in "+-" else f"+{x}" for x in c.split()] for p, c in rules.items()}
+    of = lambda p, sign: texts([x[1:] for x in signed[p] if x[0] == sign])
+    return F.array(*[F.struct(F.lit(p).alias("parent"), of(p, "+").alias("plus"), of(p, "-").alias("minus")) for level in by_depth(rules) for p in level])
+
+
+def _sum_kind(kind: str) -> str:
+    """The type in which amounts of a type are summed."""
+    return f"decimal(38,{kind[:-1].split(',')[1]})" if kind.startswith("decimal") else "double" if kind in ("double", "float") else "bigint"
+
+
+def _repaired_lines(lines: Column, rules: dict[str, str], kinds: list[str], absolute: float, relative: float) -> Column:
+    """lines, as gathered has them, with totals that disagree set to their children's sums, one rule after the other."""
+
+    def repair(now: Column, rule: Column) -> Column:
+        belongs = lambda x, c: ((x["code"] == c) | F.startswith(x["code"], F.concat(c, F.lit(".")))) & (F.length(c) > x["above"])
+        times = lambda x, side: F.size(F.filter(rule[side], lambda c: belongs(x, c)))
+        parts = F.filter(now, lambda x: F.exists(rule["plus"], lambda c: belongs(x, c)) | F.exists(rule["minus"], lambda c: belongs(x, c)))
+
+        def summed(i: int, kind: str) -> Column:
+            amount = lambda x: (F.coalesce(x[f"v{i}"], F.lit(0)).cast(_sum_kind(kind)) * x["n"] * (times(x, "plus") - times(x, "minus"))).cast(_sum_kind(kind))
+            return F.aggregate(parts, F.lit(0).cast(_sum_kind(kind)), lambda t, x: (t + amount(x)).cast(_sum_kind(kind)))
+
+        def as_told(sums: Column) -> Column:
+            def line(x: Column) -> Column:
+                of = lambda i: F.when((x["code"] == rule["parent"]) & ~within(x[f"v{i}"], sums[f"s{i}"], absolute, relative), sums[f"s{i}"].cast(kinds[i])).otherwise(x[f"v{i}"])
+                return F.struct(x["code"].alias("code"), x["n"].alias("n"), x["above"].alias("above"), *[of(i).alias(f"v{i}") for i in range(len(kinds))])
+
+            return F.transform(now, line)
+
+        sums = F.struct(*[summed(i, k).alias(f"s{i}") for i, k in enumerate(kinds)])  # in an array of one, so that it is worked out once
+        able = F.exists(now, lambda x: x["code"] == rule["parent"]) & (F.size(parts) > 0)
+        return F.when(able, F.element_at(F.transform(F.array(sums), as_told), 1)).otherwise(now)
+
+    return F.aggregate(_rule_array(rules), lines, repair)
+
+
+def repaired_columns(values: DataFrame, rules: dict[str, str], keys: list[str], columns: list[str], absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
+    """keys, code, and for each column an array of two: its value after the repair, and what was there.
+
+    The rules are folded over an entity's rows from the lowest level up, so there are two shuffles whatever their depth,
+    and whatever the number of columns.
+    """
+    kinds = [dict(values.dtypes)[c] for c in columns]
+    both = gathered(values, keys, columns).withColumn("now", _repaired_lines(F.col("lines"), rules, kinds, absolute, relative))
+    rows = both.select(*keys, F.explode(F.arrays_zip("now", "lines")).alias("__x")).select(*keys, "__x.*", F.explode(F.sequence(F.lit(1).cast("long"), "__x.lines.n")))
+    told = rows.select(*keys, "lines.code", *[F.array(F.col(f"now.v{i}"), F.col(f"lines.v{i}")).alias(c) for i, c in enumerate(columns)])
+    uncoded = values.where("code is null").select(*keys, "code", *[F.array(F.col(c), F.col(c)).alias(c) for c in columns])
+    return told.unionByName(uncoded) if "code" in values.columns and values.schema["code"].nullable else told
+
+
 def repaired(values: DataFrame, rules: dict[str, str], keys: list[str], value: str, absolute: float = 1.0, relative: float = 0.005, dry_run: bool = False) -> DataFrame:
     """values with totals that disagree set to the sum of their children, from the lowest level up, and what was there before.
 
     A missing total is a disagreement. Each level sees the repairs of those below, and absent children are given by
-    their parts; there are as many joins as levels. dry_run leaves the values, and gives the sums as `suggested` only.
+    their parts. Rows without a code stay as they are, and rows that are there twice stay two. dry_run leaves the
+    values, and gives the sums as `suggested` only.
     """
-    spark = values.sparkSession
-    now = values.select(*keys, "code", F.col(value), F.col(value).alias("observed"))
-    kind = dict(now.dtypes)[value]
-    for parents in _depths(rules):
-        edges = rule_edges(spark, {p: rules[p] for p in parents})
-        sums = signed_rollup(now, edges, keys, value).select(*keys, F.col("parent").alias("code"), "children_sum")
-        joined = now.join(sums, [*keys, "code"], "left")
-        wrong = F.col("children_sum").isNotNull() & ~within(F.col(value), F.col("children_sum"), absolute, relative)
-        now = joined.withColumn(value, F.when(wrong, F.col("children_sum").cast(kind)).otherwise(F.col(value))).drop("children_sum")
-    changed = ~F.col(value).eqNullSafe(F.col("observed"))
+    now = repaired_columns(values, rules, keys, [value], absolute, relative)
+    new, old = F.get(value, F.lit(0)), F.get(value, F.lit(1))
+    changed = ~new.eqNullSafe(old)
     if dry_run:
-        return now.select(*keys, "code", F.col("observed").alias(value), F.when(changed, F.col(value)).alias("suggested"))
-    return now.withColumn("changed", changed)
+        return now.select(*keys, "code", old.alias(value), F.when(changed, new).alias("suggested"))
+    return now.select(*keys, "code", new.alias(value), old.alias("observed"), changed.alias("changed"))
 
 
 def repair_audit(values: DataFrame, rules: dict[str, str], keys: list[str], columns: list[str], absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
-    """One row for each total that a repair changes: code, column, observed, suggested, children_used (signed, in the rule's order), status."""
-    spark = values.sparkSession
-    used = spark.createDataFrame([(p, ",".join(x if x[0] in "+-" else f"+{x}" for x in c.split())) for p, c in rules.items()], "code string, children_used string")
-    out = None
-    for c in columns:
-        found = repaired(values, rules, keys, c, absolute, relative).where("changed").select(*keys, "code", F.lit(c).alias("column"), "observed", F.col(c).alias("suggested"))
-        out = found if out is None else out.unionByName(found)
-    return out.join(F.broadcast(used), "code").select(*keys, "code", "column", "observed", "suggested", "children_used", F.lit("mismatch").alias("status"))
+    """One row for each total that a repair changes: code, column, observed, suggested, children_used (signed, in the rule's order), status.
+
+    All columns are repaired in one pass; they are given in one common type.
+    """
+    used = F.create_map(*[F.lit(x) for p, c in rules.items() for x in (p, ",".join(x if x[0] in "+-" else f"+{x}" for x in c.split()))])
+    told = repaired_columns(values, rules, keys, columns, absolute, relative)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.get(c, F.lit(1)).alias("observed"), F.get(c, F.lit(0)).alias("suggested")) for c in columns]))
+    rows = told.select(*keys, "code", each.alias("__x")).select(*keys, "code", "__x.*").where(~F.col("suggested").eqNullSafe(F.col("observed")))
+    return rows.withColumn("children_used", F.element_at(used, F.col("code"))).withColumn("status", F.lit("mismatch"))
 
 
 def current_and_noncurrent(values: DataFrame, keys: list[str], value: str, current: str = "100", noncurrent: str = "200", total: str = "270", absolute: float = 1.0, relative: float = 0.01) -> DataFrame:

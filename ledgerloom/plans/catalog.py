@@ -377,11 +377,12 @@ def _statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.unionByName(halves).unionByName(totals)
 
 
-# rows of a rule's child: the child itself, or else its parts, the topmost that are there
-def _parts_sql(st: str) -> str:
-    return f"""(SELECT st.entity, e.rule_id, e.parent, e.child, e.sign, st.value FROM {st} st JOIN (SELECT * FROM {_EDGES}) e ON st.code = e.child
-    UNION ALL SELECT st.entity, e.rule_id, e.parent, e.child, e.sign, st.value FROM {st} st JOIN (SELECT * FROM {_EDGES}) e ON string_split(st.code, '.')[1] = e.child AND contains(st.code, '.')
-    WHERE (st.entity, e.child) NOT IN (SELECT (entity, code) FROM {st}) AND (NOT contains(substr(st.code, 5), '.') OR (st.entity, regexp_extract(st.code, '^(.*)\\.[^.]*$', 1)) NOT IN (SELECT (entity, code) FROM {st})))"""
+# rows of a rule's child: the child itself, or else its parts, the topmost that are there; above: the nearest code that is there and to which a code belongs
+def _parts_sql(st: str, edges: str = _EDGES) -> str:
+    return f"""(SELECT st.entity, e.rule_id, e.parent, e.child, e.sign, st.value FROM {st} st
+    LEFT JOIN (SELECT a.entity, a.code, max(length(b.code)) AS above FROM (SELECT DISTINCT entity, code FROM {st} WHERE contains(code, '.')) a JOIN (SELECT DISTINCT entity, code FROM {st}) b
+        ON a.entity = b.entity AND starts_with(a.code, b.code || '.') GROUP BY a.entity, a.code) n ON st.entity = n.entity AND st.code = n.code
+    JOIN (SELECT * FROM {edges}) e ON (st.code = e.child OR starts_with(st.code, e.child || '.')) AND length(e.child) > coalesce(n.above, 0))"""
 
 
 _SUMS = f"sums AS (SELECT entity, parent, sum(sign * coalesce(value, 0))::BIGINT AS children_sum, count(DISTINCT child) AS n_children FROM {_parts_sql('st')} GROUP BY entity, parent)"
@@ -463,10 +464,15 @@ def named_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.named_rule_checks(_statement(spark, sf_dir).withColumn("name", named), {"Total": ["Current", "Noncurrent"]}, ["entity"], "name", "value")
 
 
-@query(f"""WITH c AS (SELECT * FROM {values_sql(_CODES, 'code')}), p AS (SELECT code, nullif(regexp_extract(code, '^(.*)\\.[^.]*$', 1), '') AS parent_code FROM c)
-    SELECT code, parent_code, coalesce((SELECT string_agg(x.code, ',' ORDER BY x.code) FROM p x WHERE x.parent_code = p.code), '') AS children FROM p""")
+_TREE_CODES = "SELECT DISTINCT (100 + p_partkey % 40)::VARCHAR || CASE WHEN p_size % 4 > 0 THEN '.' || (p_size % 3 + 1) ELSE '' END || CASE WHEN p_size % 4 > 1 THEN '.' || (p_partkey % 3) ELSE '' END AS code FROM part"
+
+
+@query(f"""WITH c AS ({_TREE_CODES}), p AS (SELECT code, nullif(regexp_extract(code, '^(.*)\\.[^.]*$', 1), '') AS parent_code FROM c),
+    k AS (SELECT parent_code AS code, string_agg(code, ',' ORDER BY code) AS children FROM p GROUP BY parent_code)
+    SELECT p.code, p.parent_code, coalesce(k.children, '') AS children FROM p LEFT JOIN k ON p.code = k.code""")
 def code_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.family(fixture(spark, _CODES, "code string")).select("code", "parent_code", F.array_join("children_codes", ",").alias("children"))
+    codes = table(spark, sf_dir, "part").selectExpr("concat(100 + p_partkey % 40, if(p_size % 4 > 0, concat('.', p_size % 3 + 1), ''), if(p_size % 4 > 1, concat('.', p_partkey % 3), '')) code").distinct()
+    return hierarchy.family(codes).select("code", "parent_code", F.array_join("children_codes", ",").alias("children"))
 
 
 _REPAIRED = f"""{_STATEMENT},
@@ -494,6 +500,50 @@ def repair_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.repaired(_statement(spark, sf_dir), _RULES, ["entity"], "value", dry_run=True)
 
 
+# every order as a balance sheet of four levels: amounts on the lowest lines, totals told with errors or left blank
+_DEEP = hierarchy.BALANCE_RULES
+_DEEP_CHILDREN = {p: [x.lstrip("+-") for x in c.split()] for p, c in _DEEP.items()}
+_LEAVES = [x for c in _DEEP_CHILDREN.values() for x in c if x not in _DEEP]
+
+
+def _above(code: str) -> list[str]:
+    return [a for p, c in _DEEP_CHILDREN.items() if code in c for a in [p, *_above(p)]]
+
+
+_DEEP_EDGES = values_sql([(f"{p}={c}", p, x.lstrip("+-"), -1 if x[0] == "-" else 1) for p, c in _DEEP.items() for x in c.split()], "rule_id, parent, child, sign")
+_TOLD = "CASE WHEN (entity + parent::BIGINT) % 5 = 0 THEN NULL WHEN (entity + parent::BIGINT) % 3 = 0 THEN value + 5000 ELSE value END"
+
+
+def _deep_sql() -> str:
+    leaves = values_sql([(i, x) for i, x in enumerate(_LEAVES)], "i, code")
+    over = values_sql([(x, a) for x in _LEAVES for a in _above(x)], "code, parent")
+    steps = [f"""leaf AS (SELECT l_orderkey AS entity, code, sum(round(l_extendedprice)::BIGINT)::BIGINT AS value FROM lineitem JOIN (SELECT * FROM {leaves}) n ON i = (l_partkey + 3 * l_linenumber) % {len(_LEAVES)} GROUP BY ALL),
+    told AS (SELECT entity, parent, sum(value)::BIGINT AS value FROM leaf JOIN (SELECT * FROM {over}) o ON leaf.code = o.code GROUP BY entity, parent),
+    st AS (SELECT entity, code, value, value AS observed FROM leaf UNION ALL SELECT entity, parent, {_TOLD}, {_TOLD} FROM told)"""]
+    last = "st"
+    for level, parents in enumerate(hierarchy.by_depth(_DEEP)):
+        near = _NEAR.format(s="s")
+        steps.append(f"""s{level} AS (SELECT entity, parent AS code, sum(sign * coalesce(value, 0))::BIGINT AS s FROM {_parts_sql(last, _DEEP_EDGES)} WHERE parent IN ({", ".join(f"'{p}'" for p in parents)}) GROUP BY entity, parent),
+    r{level} AS (SELECT x.entity, x.code, CASE WHEN s IS NOT NULL AND NOT coalesce({near}, false) THEN s ELSE value END AS value, observed FROM {last} x LEFT JOIN s{level} USING (entity, code))""")
+        last = f"r{level}"
+    return f"WITH {', '.join(steps)} SELECT entity, code, observed, value, value IS DISTINCT FROM observed AS changed FROM {last}"
+
+
+def _deep_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, over = F.array(*map(F.lit, _LEAVES)), F.create_map(*[x for leaf in _LEAVES for x in (F.lit(leaf), F.array(*map(F.lit, _above(leaf))))])
+    lines_ = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.get(names, ((F.col("l_partkey") + 3 * F.col("l_linenumber")) % len(_LEAVES)).cast("int")).alias("leaf"), F.round("l_extendedprice").cast("long").alias("value"))
+    each = lines_.select("entity", "value", F.explode(F.concat(F.array("leaf"), F.element_at(over, F.col("leaf")))).alias("code"), "leaf")
+    summed = each.groupBy("entity", "code").agg(F.sum("value").alias("value"))
+    told = F.col("entity") + F.col("code").cast("double").cast("long")
+    return summed.withColumn("value", F.when(F.col("code").isin(_LEAVES), F.col("value")).when(told % 5 == 0, None).when(told % 3 == 0, F.col("value") + 5000).otherwise(F.col("value")))
+
+
+@query(_deep_sql())
+def repair_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole balance sheet's rules, four levels of them, in one pass."""
+    return hierarchy.repaired(_deep_statement(spark, sf_dir), _DEEP, ["entity"], "value")
+
+
 @query(f"""WITH {_STATEMENT}, p AS (SELECT entity, max(value) FILTER (code = '100') AS current, max(value) FILTER (code = '200') AS noncurrent, max(value) FILTER (code = '270') AS observed FROM st GROUP BY entity),
     q AS (SELECT *, coalesce(current, 0) + coalesce(noncurrent, 0) AS s FROM p)
     SELECT entity, current, noncurrent, observed, CASE WHEN s <> 0 AND (abs(observed - s) <= 1 OR (observed <> 0 AND abs((observed - s) / observed::DOUBLE) <= 0.01)) THEN s ELSE observed END AS total, total <> observed AS changed FROM q""")
