@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ledgerloom.functions.text import row_text
 
@@ -64,14 +64,41 @@ def _kept(text: str, separator: str) -> list[str]:
     return [x + separator for x in cut[:-1]] + ([cut[-1]] if cut[-1] else [])
 
 
-def chunks(docs: DataFrame, text: str, size: int = 900, overlap: int = 120, whole: Column | None = None) -> DataFrame:
-    """docs with chunk_no and chunk; rows for which `whole` holds, such as tables, stay unsplit."""
+#: What str.strip takes for white space.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def _kept_pieces(p: Column, separator: str) -> Column:
+    parts = F.split(p, separator)
+    return F.filter(F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit(separator))).otherwise(x)), lambda x: x != "")
+
+
+def _cut_at(separator: str, size: int) -> Callable[[Column], Column]:
+    return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_kept_pieces(p, separator))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", size, overlap))
 
-    cut = split(F.col(text))
+def text_chunks(text: Column, size: int, overlap: int) -> Column:
+    """split_text as an expression: pieces are cut by one separator after the other where they are too long, and folded into chunks."""
+    parts = F.array(F.coalesce(text, F.lit("")))
+    for separator in SEPARATORS:
+        parts = F.flatten(F.transform(parts, _cut_at(separator, size)))
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(size)), lambda at: F.substr(p, at, F.lit(size)))
+    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))
+
+    def add(done: Column, p: Column) -> Column:
+        full = (done["now"] != "") & (F.length(done["now"]) + F.length(p) > size)
+        tail = F.right(done["now"], F.lit(overlap)) if overlap else F.lit("")
+        kept = F.when(F.length(tail) + F.length(p) <= size, tail).otherwise("")
+        return F.when(full, F.struct(F.array_append(done["out"], done["now"]).alias("out"), F.concat(kept, p).alias("now"))).otherwise(F.struct(done["out"].alias("out"), F.concat(done["now"], p).alias("now")))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    every = F.aggregate(parts, start, add, lambda done: F.array_append(done["out"], done["now"]))
+    return F.filter(F.transform(every, lambda c: F.btrim(c, F.lit(BLANKS))), lambda c: c != "")
+
+
+def chunks(docs: DataFrame, text: str, size: int = 900, overlap: int = 120, whole: Column | None = None) -> DataFrame:
+    """docs with chunk_no and chunk; rows for which `whole` holds, such as tables, stay unsplit."""
+    cut = text_chunks(F.col(text), size, overlap)
     if whole is not None:
         cut = F.when(whole, F.array(text)).otherwise(cut)
     kept = [c for c in docs.columns if c != text]

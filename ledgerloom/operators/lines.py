@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,25 +62,17 @@ def segments(texts: DataFrame, keys: list[str], text: str, code: str = r"\b\d{3}
 def with_look_ahead(lines: DataFrame, keys: list[str], position: str, text: str, needs: str, amount: str = r"\d[\d.,]{4,}") -> DataFrame:
     """Lines that match `needs` but hold no amount take the next line, if that has one; a taken line is no line of its own.
 
-    Whether a line is taken depends on whether the one before was: a state machine over each key's lines, in pandas.
+    A line that takes the next has no amount and one that is taken has, so no line is both, and runs of such lines never
+    compete: whether a line takes and whether it is taken follow from its neighbours alone. A file's lines are sorted, and
+    spill where they are many; nothing holds them together. Null lines neither take nor are taken.
     """
-    wants, has = re.compile(needs), re.compile(amount)
-
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(position)
-        texts, keep, skip = page[text].tolist(), [], False
-        for i, line in enumerate(texts):
-            if skip:
-                skip = False
-                continue
-            if wants.search(line) and not has.search(line) and i + 1 < len(texts) and has.search(texts[i + 1]):
-                texts[i], skip = f"{line} {texts[i + 1]}", True
-            keep.append(i)
-        out = page.iloc[keep].copy()
-        out[text] = [texts[i] for i in keep]
-        return out
-
-    return lines.groupBy(*keys).applyInPandas(walk, lines.schema)
+    by = Window.partitionBy(*keys).orderBy(position)
+    has = F.coalesce(F.col(text).rlike(amount), F.lit(False))
+    wants = F.coalesce(F.col(text).rlike(needs), F.lit(False)) & ~has
+    marked = lines.withColumn("__has", has).withColumn("__wants", wants)
+    near = marked.withColumn("__next", F.when(F.lead("__has").over(by), F.lead(text).over(by))).withColumn("__taken", F.col("__has") & F.coalesce(F.lag("__wants").over(by), F.lit(False)))
+    taking = F.when(F.col("__wants") & F.col("__next").isNotNull(), F.concat_ws(" ", text, "__next")).otherwise(F.col(text))
+    return near.where("not __taken").withColumn(text, taking).select(*lines.columns)
 
 
 def merged_rows(rows: DataFrame, key: str, position: str, text: str, firsts: list[str]) -> DataFrame:
@@ -118,22 +107,75 @@ def mode_value_count(counts: DataFrame, keys: list[str], value: str, position: s
     return counts.select(*keys).distinct().join(best, keys, "left").withColumn("mode", F.coalesce("mode", F.lit(default)))
 
 
-def kmeans_1d(df: DataFrame, keys: list[str], value: str, rounds: int = 15) -> DataFrame:
-    """Two centres of a column and their midpoint, by Lloyd's rounds from the 35th and 70th percentiles.
+def _prefix_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, and for each its distinct values in order (x), with how many rows (n) and what sum (s) there are up to each.
+
+    Values are counted before a key's are brought together, so a hot key holds its distinct values only.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    together = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("v"))
+    zero = F.struct(F.array().cast("array<bigint>").alias("n"), F.array().cast("array<double>").alias("s"), F.lit(0).cast("long").alias("tn"), F.lit(0.0).alias("ts"))
+
+    def add(done: Column, y: Column) -> Column:
+        n, s = done["tn"] + y["n"], done["ts"] + y["x"] * y["n"]
+        return F.struct(F.array_append(done["n"], n).alias("n"), F.array_append(done["s"], s).alias("s"), n.alias("tn"), s.alias("ts"))
+
+    sums = together.withColumn("__p", F.aggregate("v", zero, add))
+    return sums.select(*keys, F.transform("v", lambda y: y["x"]).alias("x"), F.col("__p.n").alias("n"), F.col("__p.s").alias("s"))
+
+
+def percentile_of(x: Column, n: Column, share: float) -> Column:
+    """The value at a share of all rows, between two of them in proportion, from distinct values x and running counts n."""
+    at = F.element_at(n, -1).cast("double") * F.lit(share) - F.lit(share)
+    value = lambda row: F.get(x, F.size(F.filter(n, lambda upto: upto <= row)))
+    low, high = value(F.floor(at)), value(F.ceil(at))
+    return low + (high - low) * (at - F.floor(at))
 
-    Values are counted before a key's are brought together, so a hot key's memory is bounded by its distinct values.
+
+def kmeans_1d(df: DataFrame, keys: list[str], value: str, rounds: int = 15, k: int = 2) -> DataFrame:
+    """Centres of a column for each key, by Lloyd's rounds: low, high and their midpoint (split) for k = 2, centre for k = 1.
+
+    Two centres begin at the 35th and 70th percentiles. A key's values up to any point have their count and sum in its
+    running sums, and those nearer the lower centre are the first ones, so a round is two look-ups. A centre that no
+    value is nearest to stays. Null values take no part; a key without values has no row.
+    """
+    sums = _prefix_sums(df, keys, value)
+    if k == 1:
+        return sums.select(*keys, (F.element_at("s", -1) / F.element_at("n", -1)).alias("centre"))
+    if k != 2:
+        raise ValueError("one or two centres")
+
+    def step(c: Column, _: Column) -> Column:
+        left = F.size(F.filter("x", lambda y: F.abs(y - c["a"]) <= F.abs(y - c["b"])))
+        n, s = F.coalesce(F.get("n", left - 1), F.lit(0)), F.coalesce(F.get("s", left - 1), F.lit(0.0))
+        right = F.element_at("n", -1) - n
+        a, b = F.when(n > 0, s / n).otherwise(c["a"]), F.when(right > 0, (F.element_at("s", -1) - s) / right).otherwise(c["b"])
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    start = F.struct(percentile_of(F.col("x"), F.col("n"), 0.35).alias("a"), percentile_of(F.col("x"), F.col("n"), 0.7).alias("b"))
+    found = sums.withColumn("__c", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    return found.select(*keys, F.col("__c.a").alias("low"), F.col("__c.b").alias("high"), ((F.col("__c.a") + F.col("__c.b")) / 2).alias("split"))
+
+
+def number_columns(tokens: DataFrame, page: list[str], width: Column, least: int = 6, amount: str = r"\d{1,3}(?:[.,]\d{3})+") -> DataFrame:
+    """page, split1, split2: where the two amount columns of a page without headers begin, from where its numbers stand.
+
+    The middles of numbers right of 45 % of the page's width fall into two groups: split1 is 50 left of the first, split2
+    between them. Pages with fewer than `least` such numbers are cut at 58 % and 76 %. The code and name columns get 180
+    at least, and the first amount column 120.
     """
-    def split(key: tuple, counted: pd.DataFrame) -> pd.DataFrame:
-        x, n = counted[value].to_numpy(float), counted["n"].to_numpy(float)
-        a, b = counted["low"].iloc[0], counted["high"].iloc[0]
-        for _ in range(rounds):
-            left = abs(x - a) <= abs(x - b)
-            a = (x * n)[left].sum() / n[left].sum() if left.any() else a
-            b = (x * n)[~left].sum() / n[~left].sum() if (~left).any() else b
-        return pd.DataFrame([[*key, a, b, (a + b) / 2]], columns=[*keys, "low", "high", "split"])
-
-    starts = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.35)).alias("low"), F.percentile(value, F.lit(0.7)).alias("high"))
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("n")).join(starts, keys)
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", low double, high double, split double"
-    return counted.groupBy(*keys).applyInPandas(split, schema)
+    middle = F.col("left") + F.col("width") / 2
+    known = tokens.groupBy(*page).agg(F.max(width).alias("__w"))
+    mine = tokens.join(known, page).where(F.col("text").rlike(amount)).select(*page, middle.alias("__x"), "__w").where(F.col("__x") > 0.45 * F.col("__w"))
+    groups = kmeans_1d(mine, page, "__x").join(mine.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")), page)
+    found = known.join(groups.where(F.col("__n") >= least), page, "left")
+    first = F.greatest(F.lit(180), F.coalesce(F.floor(F.col("low") - 50), F.floor(F.col("__w") * 0.58)).cast("int"))
+    second = F.coalesce(F.floor("split"), F.floor(F.col("__w") * 0.76)).cast("int")
+    return found.select(*page, first.alias("split1"), F.greatest(first + 120, second).alias("split2"))
+
+
+def placed_by_numbers(tokens: DataFrame, columns: DataFrame, page: list[str]) -> DataFrame:
+    """Tokens with side: left of the first split (code, name and note), end, or begin, by their middles."""
+    middle = F.col("left") + F.col("width") / 2
+    side = F.when(middle < F.col("split1"), "left").when(middle < F.col("split2"), "end").otherwise("begin")
+    return tokens.join(columns, page).withColumn("side", side).drop("split1", "split2")

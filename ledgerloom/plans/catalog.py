@@ -116,7 +116,25 @@ def overview_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.overview(table(spark, sf_dir, "part").select("p_brand", "p_name", "p_size"), ["p_brand"])
 
 
-@query()
+def _kept_sql(parts: str, separator: str, size: int) -> str:
+    cut = f"string_split(p, {separator})"
+    return f"flatten(list_transform({parts}, lambda p: CASE WHEN length(p) <= {size} THEN [p] ELSE list_filter(list_transform({cut}, lambda x, i: CASE WHEN i < len({cut}) THEN x || {separator} ELSE x END), lambda x: x <> '') END))"
+
+
+def _chunks_sql(size: int, overlap: int) -> str:
+    parts = "[coalesce(text, '')]"
+    for separator in ("chr(10) || chr(10)", "chr(10)", "' '"):
+        parts = _kept_sql(parts, separator, size)
+    parts = f"flatten(list_transform({parts}, lambda p: list_transform(range(0, length(p), {size}), lambda i: substr(p, i::INT + 1, {size}))))"
+    fold = f"""list_reduce(list_prepend({{'o': []::VARCHAR[], 'n': ''}}, list_transform({parts}, lambda p: {{'o': []::VARCHAR[], 'n': p}})),
+        lambda a, p: CASE WHEN a.n <> '' AND length(a.n) + length(p.n) > {size} THEN {{'o': list_append(a.o, a.n), 'n': CASE WHEN least(length(a.n), {overlap}) + length(p.n) <= {size} THEN right(a.n, {overlap}) ELSE '' END || p.n}}
+            ELSE {{'o': a.o, 'n': a.n || p.n}} END)"""
+    blanks = " || ".join(f"chr({ord(c)})" for c in documents.BLANKS)
+    return f"""WITH f AS (SELECT doc_id, {fold} AS r FROM documents), c AS (SELECT doc_id, list_filter(list_transform(list_append(r.o, r.n), lambda x: trim(x, {blanks})), lambda x: x <> '') AS l FROM f)
+    SELECT doc_id, unnest(l) AS chunk, (generate_subscripts(l, 1) - 1)::INT AS chunk_no FROM c"""
+
+
+@query(_chunks_sql(900, 120))
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
@@ -183,7 +201,14 @@ def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "text", F.array_join(text.anchors(F.col("text")), "\n").alias("anchors"))
 
 
-@query()
+# what looks ahead in Spark takes the text along here, so what it takes may hide the next place: a second pass finds those
+def _broken_sql(text: str, ahead: str) -> str:
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(\\S) +{ahead}', '\\1' || chr(10) || '\\2', 'g')"
+    return text
+
+
+@query(f"""SELECT doc_id, {_broken_sql(_broken_sql(_broken_sql('text', '([0-9]{3}(?:[.][0-9]+)? +' + chr(92) + 'p{L})'), '((?:I|II|III|IV|V)[.] )'), '([0-9]{1,3}(?:[.,][0-9]{3}){2,}(?:$|[^0-9]))')} AS text FROM documents""")
 def forced_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.forced_breaks(F.col("text")).alias("text"))
 
@@ -331,17 +356,66 @@ def aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.aligned(table(spark, sf_dir, "part"), ["p_brand", "p_name"])
 
 
-@query()
+def _kmeans_sql(rows: str, keys: str) -> str:
+    """Two centres of x for each key of rows, in fifteen rounds over all rows."""
+    on = " AND ".join(f"v.{k} = c.{k}" for k in keys.split(", "))
+    own = ", ".join(f"c.{k}" for k in keys.split(", "))
+    left = "abs(v.x - c.a) <= abs(v.x - c.b)"
+    return f"""c AS (SELECT {keys}, 0 AS i, quantile_cont(x, 0.35)::DOUBLE AS a, quantile_cont(x, 0.7)::DOUBLE AS b FROM {rows} GROUP BY ALL
+    UNION ALL SELECT {own}, c.i + 1, coalesce(avg(v.x) FILTER ({left}), any_value(c.a)), coalesce(avg(v.x) FILTER (NOT ({left})), any_value(c.b)) FROM c JOIN {rows} v ON {on} WHERE c.i < 15 GROUP BY {own}, c.i)"""
+
+
+@query(f"WITH RECURSIVE v AS (SELECT l_returnflag, l_quantity::DOUBLE AS x FROM lineitem), {_kmeans_sql('v', 'l_returnflag')} SELECT l_returnflag, a AS low, b AS high, (a + b) / 2 AS split FROM c WHERE i = 15")
 def column_centres_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.kmeans_1d(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
 
 
-@query()
+@query("SELECT l_suppkey, avg(l_quantity) AS centre FROM lineitem GROUP BY l_suppkey")
+def column_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k = 1, for columns of which a page has one."""
+    return lines.kmeans_1d(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", k=1)
+
+
+# each order as a page of 900 px without headers: names on the left, and one or two amounts a line, moved with the page
+_PAGE_TOKENS = """t AS (SELECT l_orderkey AS page, l_linenumber AS line, 'k' AS kind, 30 + l_linenumber AS "left", 90 AS width, l_returnflag || l_partkey AS text FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 'e', 480 + (l_orderkey % 60)::INT + (l_partkey % 25)::INT, 80, replace(format('{:,}', round(l_extendedprice)::BIGINT + 10000), ',', '.') FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 'b', 690 + (l_orderkey % 60)::INT + (l_suppkey % 25)::INT, 80, replace(format('{:,}', round(l_quantity)::BIGINT + 10000), ',', '.') FROM lineitem WHERE l_linenumber % 3 > 0)"""
+
+
+def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    amount, other = numbers.grouped(F.round("l_extendedprice") + 10000), numbers.grouped(F.round("l_quantity") + 10000)
+    token = lambda kind, left, width, shown: F.struct(F.lit(kind).alias("kind"), left.cast("int").alias("left"), F.lit(width).alias("width"), shown.alias("text"))
+    page = F.col("l_orderkey") % 60
+    every = [token("k", 30 + F.col("l_linenumber"), 90, F.concat("l_returnflag", "l_partkey")), token("e", 480 + page + F.col("l_partkey") % 25, 80, amount)]
+    both = F.when(F.col("l_linenumber") % 3 > 0, F.array(*every, token("b", 690 + page + F.col("l_suppkey") % 25, 80, other))).otherwise(F.array(*every))
+    return items.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.explode(both).alias("x")).select("page", "line", "x.*")
+
+
+@query(f"""WITH RECURSIVE {_PAGE_TOKENS}, v AS (SELECT page, "left" + width / 2.0::DOUBLE AS x FROM t WHERE regexp_matches(text, '[0-9]{{1,3}}([.,][0-9]{{3}})+') AND "left" + width / 2.0 > 0.45 * 900), {_kmeans_sql('v', 'page')},
+    n AS (SELECT page, count(*) AS n FROM v GROUP BY page), s AS (SELECT p.page, greatest(180, CASE WHEN n >= 6 THEN floor(a - 50) ELSE floor(900 * 0.58) END) AS split1, CASE WHEN n >= 6 THEN floor((a + b) / 2) ELSE floor(900 * 0.76) END AS second
+        FROM (SELECT DISTINCT page FROM t) p LEFT JOIN n USING (page) LEFT JOIN (SELECT * FROM c WHERE i = 15) c USING (page))
+    SELECT page, line, kind, CASE WHEN "left" + width / 2.0 < split1 THEN 'left' WHEN "left" + width / 2.0 < greatest(split1 + 120, second) THEN 'end' ELSE 'begin' END AS side FROM t JOIN s USING (page)""")
+def columns_by_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which column each token of a page without headers stands in."""
+    tokens = _page_tokens(spark, sf_dir)
+    return lines.placed_by_numbers(tokens, lines.number_columns(tokens, ["page"], F.lit(900)), ["page"]).select("page", "line", "kind", "side")
+
+
+@query(f"""WITH {_DOC_LINES}, m AS (SELECT *, regexp_matches(line, '[0-9]{{3,}}') AS has, regexp_matches(line, '\\.$') AND NOT regexp_matches(line, '[0-9]{{3,}}') AS wants FROM l),
+    n AS (SELECT *, lead(line) OVER w AS following, lead(has) OVER w AS next_has, coalesce(lag(wants) OVER w, false) AS asked FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, pos::INT AS pos, CASE WHEN wants AND next_has THEN line || ' ' || following ELSE line END AS line FROM n WHERE NOT (has AND asked)""")
 def look_ahead_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.with_look_ahead(_doc_lines(spark, sf_dir), ["doc_id"], "pos", "line", r"\.$", r"\d{3,}")
 
 
-@query()
+_CUT = "text"
+for _ in range(2):
+    _CUT = f"regexp_replace({_CUT}, '(^|[^\\p{{L}}\\p{{Nd}}_\\x01])([0-9]{{3}})($|[^\\p{{L}}\\p{{Nd}}_])', '\\1' || chr(1) || '\\2\\3', 'g')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, string_split({_CUT}, chr(1)) AS l FROM documents), s AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS segment_no, trim(unnest(l)) AS segment FROM c)
+    SELECT * FROM s WHERE regexp_matches(segment, '^[0-9]{{3}}($|[^\\p{{L}}\\p{{Nd}}_])')""")
 def code_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.segments(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -167,3 +168,50 @@ def test_models(spark):
     assert row.answer == "a c" and "down" in row.error
     images = spark.createDataFrame([("x.png", bytearray(b"one two"))], "path string, content binary")
     assert [r.text for r in recognised(images, StubRunner()).collect()] == ["one", "two"]
+
+
+def test_chunks_as_an_expression(spark):
+    """The expression cuts as the plain function does, at every kind of separator and none."""
+    rng = random.Random(5)
+    texts = ["", " ", None, "a" * 40, "ab\n\ncd", " x ", "é🙂 " * 30, *("".join(rng.choice(["a", "bb ", "\n", "\n\n", "c" * 9, " ", "🙂"]) for _ in range(rng.randint(0, 80))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for size, overlap in ((10, 3), (7, 0), (25, 24), (900, 120)):
+        got = {r.i: r.c for r in df.select("i", documents.text_chunks(F.col("t"), size, overlap).alias("c")).collect()}
+        assert got == {i: documents.split_text(t or "", size, overlap) for i, t in enumerate(texts)}
+
+
+def test_centres_against_plain_rounds(spark):
+    rng = random.Random(6)
+    data = {k: [rng.choice([rng.gauss(100, 9), rng.gauss(300, 20), 50.0]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 3), ("d", 200))}
+    data["e"] = [7.0] * 5
+
+    def rounds(x):
+        x = np.array(x)
+        a, b = np.percentile(x, 35), np.percentile(x, 70)
+        for _ in range(15):
+            left = abs(x - a) <= abs(x - b)
+            a, b = x[left].mean() if left.any() else a, x[~left].mean() if (~left).any() else b
+        return a, b, (a + b) / 2
+
+    df = spark.createDataFrame([(k, v) for k, xs in data.items() for v in [*xs, None]] + [("none", None)], "k string, x double")
+    got = {r.k: (r.low, r.high, r.split) for r in lines.kmeans_1d(df, ["k"], "x").collect()}
+    assert sorted(got) == sorted(data)
+    for k, xs in data.items():
+        assert np.allclose(got[k], rounds(xs))
+    assert {r.k: round(r.centre, 6) for r in lines.kmeans_1d(df, ["k"], "x", k=1).collect()} == {k: round(float(np.mean(x)), 6) for k, x in data.items()}
+
+
+def test_look_ahead_of_neighbours(spark):
+    rows = ["total:", "1.234.567", "note:", "no amount", "sum:", "sum:", "9.876.543", "x 5.555.555", "last:", None, "end:"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)] + [(2, 0, "7.777.777")], "d int, pos int, line string")
+    got = [(r.d, r.pos, r.line) for r in lines.with_look_ahead(df, ["d"], "pos", "line", ":$").orderBy("d", "pos").collect()]
+    assert got == [(1, 0, "total: 1.234.567"), (1, 2, "note:"), (1, 3, "no amount"), (1, 4, "sum:"), (1, 5, "sum: 9.876.543"), (1, 7, "x 5.555.555"), (1, 8, "last:"), (1, 9, None), (1, 10, "end:"), (2, 0, "7.777.777")]
+
+
+def test_columns_of_pages_without_headers(spark):
+    tokens = [(1, x + d, 40, f"1.{i}00.000") for i, d in enumerate((0, 3, 6)) for x in (500, 700)] + [(1, 10, 40, "110"), (2, 10, 40, "1.000.000"), (3, 600, 10, "1.000")]
+    df = spark.createDataFrame(tokens, "page int, left int, width int, text string")
+    got = {r.page: (r.split1, r.split2) for r in lines.number_columns(df, ["page"], F.lit(1000)).collect()}
+    assert got == {1: (473, 623), 2: (580, 760), 3: (580, 760)}
+    sides = {(r.page, r.left): r.side for r in lines.placed_by_numbers(df, lines.number_columns(df, ["page"], F.lit(1000)), ["page"]).collect()}
+    assert sides[1, 10] == "left" and sides[1, 503] == "end" and sides[1, 706] == "begin" and sides[3, 600] == "end"
