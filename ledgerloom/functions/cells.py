@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import bound
 from ledgerloom.functions.numbers import WHOLE
 from ledgerloom.functions.text import squeezed, strip_accents, strip_single_marks
 
@@ -168,8 +169,9 @@ def number_text(c: Column) -> Column:
 def two_by_x(tokens: Column) -> Column:
     """left, right: the numbers of the two leftmost of tokens (text, left, width) that hold one; null with fewer than two."""
     held = F.filter(tokens, lambda t: t["text"].rlike(r"\d[\d.,]*"))
-    placed = F.array_sort(F.transform(held, lambda t, i: F.struct((t["left"] + t["width"] / 2).alias("x"), i.alias("at"), number_text(t["text"]).alias("number"))))
-    return F.when(F.size(placed) >= 2, F.struct(F.get(placed, F.lit(0))["number"].alias("left"), F.get(placed, F.lit(1))["number"].alias("right")))
+    placed = F.array_sort(F.transform(held, lambda t, i: F.struct((t["left"] + t["width"] / 2).alias("x"), i.alias("at"), t["text"].alias("text"))))
+    number = lambda p, i: number_text(F.get(p, F.lit(i))["text"])
+    return bound(placed, lambda p: F.when(F.size(p) >= 2, F.struct(number(p, 0).alias("left"), number(p, 1).alias("right"))))
 
 
 def best_two_by_x(tokens: Column, first_split: Column, second_split: Column) -> Column:
@@ -182,13 +184,17 @@ def best_two_by_x(tokens: Column, first_split: Column, second_split: Column) ->
     right_of = F.filter(tokens, lambda t: middle(t) > first_split - 6)
     groups = F.flatten(F.transform(right_of, lambda t: F.transform(F.regexp_extract_all(t["text"], F.lit(GROUPED), F.lit(0)), lambda g: F.struct(middle(t).alias("x"), g.alias("text")))))
     ranked = F.transform(groups, lambda g, i: F.struct(*[(-s).alias(n) for s, n in zip(_score(g["text"]), ("dots", "digits"), strict=True)], F.abs(g["x"] - first_split).alias("far"), i.alias("at"), g["x"].alias("x"), g["text"].alias("text")))
-    top = F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, 3), lambda g: F.struct(g["x"], g["text"])))
-    at = lambda i: F.element_at(top, i)["text"]
+    best = F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, 3), lambda g: F.struct(g["x"], g["text"])))
     pair = lambda a, b: F.struct(a.alias("left"), b.alias("right"))
     none = F.lit(None).cast("string")
-    one = F.when(F.element_at(top, 1)["x"] > second_split, pair(none, at(1))).otherwise(pair(at(1), none))
-    retried = F.when((F.size(top) >= 3) & (at(1) == at(-1)) & (at(1) != at(2)), pair(at(1), at(2))).otherwise(pair(at(1), at(-1)))
-    return F.when(F.size(top) == 1, one).when(F.size(top) >= 2, retried)
+
+    def chosen(top: Column) -> Column:
+        at = lambda i: F.element_at(top, i)["text"]
+        one = F.when(F.element_at(top, 1)["x"] > second_split, pair(none, at(1))).otherwise(pair(at(1), none))
+        retried = F.when((F.size(top) >= 3) & (at(1) == at(-1)) & (at(1) != at(2)), pair(at(1), at(2))).otherwise(pair(at(1), at(-1)))
+        return F.when(F.size(top) == 1, one).when(F.size(top) >= 2, retried)
+
+    return bound(best, chosen)
 
 
 def titled_columns(names: list[str]) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import bound
 from ledgerloom.functions.text import row_text
 
 SEPARATORS = ("\n\n", "\n", " ")
@@ -69,8 +70,8 @@ BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _kept_pieces(p: Column, separator: str) -> Column:
-    parts = F.split(p, separator)
-    return F.filter(F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit(separator))).otherwise(x)), lambda x: x != "")
+    keep = lambda parts: F.filter(F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit(separator))).otherwise(x)), lambda x: x != "")
+    return bound(F.split(p, separator), keep)
 
 
 def _cut_at(separator: str, size: int) -> Callable[[Column], Column]:
@@ -78,22 +79,29 @@ def _cut_at(separator: str, size: int) -> Callable[[Column], Column]:
 
 
 def text_chunks(text: Column, size: int, overlap: int) -> Column:
-    """split_text as an expression: pieces are cut by one separator after the other where they are too long, and folded into chunks."""
-    parts = F.array(F.coalesce(text, F.lit("")))
+    """split_text as an expression: pieces are cut by one separator after the other where they are too long, and folded into chunks.
+
+    Pieces follow each other in the text, and so do a chunk and its overlap: the fold sees lengths only, and gives places.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    parts = F.array(whole)
     for separator in SEPARATORS:
         parts = F.flatten(F.transform(parts, _cut_at(separator, size)))
-    cut = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(size)), lambda at: F.substr(p, at, F.lit(size)))
-    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))
+    hard = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda at: F.least(n - at, F.lit(size)))
+    lengths = F.flatten(F.transform(F.transform(parts, F.length), lambda n: F.when(n <= size, F.array(n)).otherwise(hard(n))))
 
-    def add(done: Column, p: Column) -> Column:
-        full = (done["now"] != "") & (F.length(done["now"]) + F.length(p) > size)
-        tail = F.right(done["now"], F.lit(overlap)) if overlap else F.lit("")
-        kept = F.when(F.length(tail) + F.length(p) <= size, tail).otherwise("")
-        return F.when(full, F.struct(F.array_append(done["out"], done["now"]).alias("out"), F.concat(kept, p).alias("now"))).otherwise(F.struct(done["out"].alias("out"), F.concat(done["now"], p).alias("now")))
+    def add(done: Column, n: Column) -> Column:
+        end, now = done["end"] + n, done["end"] - done["start"]
+        tail = F.least(now, F.lit(overlap))
+        start = done["end"] - F.when(tail + n <= size, tail).otherwise(0)
+        place = F.struct(done["start"].alias("start"), done["end"].alias("end"))
+        cut = F.struct(F.array_append(done["out"], place).alias("out"), start.alias("start"), end.alias("end"))
+        return F.when(end - done["start"] > size, cut).otherwise(F.struct(done["out"].alias("out"), done["start"].alias("start"), end.alias("end")))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    every = F.aggregate(parts, start, add, lambda done: F.array_append(done["out"], done["now"]))
-    return F.filter(F.transform(every, lambda c: F.btrim(c, F.lit(BLANKS))), lambda c: c != "")
+    begin = F.struct(F.array().cast("array<struct<start: int, end: int>>").alias("out"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    places = F.aggregate(lengths, begin, add, lambda done: F.array_append(done["out"], F.struct(done["start"].alias("start"), done["end"].alias("end"))))
+    found = F.transform(places, lambda p: F.btrim(F.substr(whole, p["start"] + 1, p["end"] - p["start"]), F.lit(BLANKS)))
+    return F.filter(F.when(F.length(whole) <= size, F.array(F.btrim(whole, F.lit(BLANKS)))).otherwise(found), lambda c: c != "")
 
 
 def chunks(docs: DataFrame, text: str, size: int = 900, overlap: int = 120, whole: Column | None = None) -> DataFrame:
@@ -102,4 +110,4 @@ def chunks(docs: DataFrame, text: str, size: int = 900, overlap: int = 120, whol
     if whole is not None:
         cut = F.when(whole, F.array(text)).otherwise(cut)
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.posexplode(cut).alias("chunk_no", "chunk"))
+    return docs.select(*kept, F.posexplode_outer(cut).alias("chunk_no", "chunk")).where("chunk_no is not null")  # a plain one would be told to cut each text once more, to see if there is any

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import bound
+
 #: The balance sheet's and income statement's equations, parent = signed children.
 BALANCE_RULES = {
     "110": "111 112", "130": "131 132 133 134 135 136 137 138 -139", "140": "141", "150": "151 152", "151": "151.1 151.2", "190": "191 192",
@@ -55,7 +57,8 @@ def dynamic_edges(codes: DataFrame) -> DataFrame:
 def code_prefixes(code: Column) -> Column:
     """131.1.2 as [131, 131.1, 131.1.2], so that prefix joins are equi-joins."""
     parts = F.split(code, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    return F.when(F.contains(code, F.lit(".")), every).otherwise(F.array(code))
 
 
 def family(parents: DataFrame) -> DataFrame:
@@ -78,28 +81,33 @@ def tree_key(code: Column) -> Column:
 
 
 def gathered(values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row for each entity: keys, and its rows in tree order as `lines` of code, n, above and v0, v1 ... for the columns.
+    """One row for each entity: keys, and its rows in tree order as `lines` of code, n, names and v0, v1 ... for the columns.
 
-    above is the length of the nearest code that is there and to which this one belongs, or 0. In tree order what belongs
-    to a code is one interval behind it, so a fold over the sorted rows knows all codes that a row belongs to from those
-    still open: nothing is joined. Rows that agree in code and values are counted (n) before an entity's are brought
-    together, so a task holds an entity's distinct rows: those of one statement. Rows without a code are left out.
+    names are the codes that a row stands for: its own, and those to which it belongs as long as they aren't there
+    themselves. In tree order what belongs to a code is one interval behind it, so a fold over the sorted rows knows the
+    nearest code above from those still open: nothing is joined. Rows that agree in code and values are counted (n)
+    before an entity's are brought together, so a task holds an entity's distinct rows: those of one statement. Rows
+    without a code are left out.
     """
     kinds = dict(values.dtypes)
     named = [F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]
     fields = ["code", *[f"v{i}" for i in range(len(columns))]]
     counted = values.where("code is not null").select(*keys, "code", *named).groupBy(*keys, *fields).agg(F.count(F.lit(1)).alias("n"))
     together = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(tree_key(F.col("code")).alias("key"), *fields, "n"))).alias("lines"))
-    out = ", ".join(["code: string", "n: bigint", "above: int", *[f"v{i}: {kinds[c]}" for i, c in enumerate(columns)]])
+    out = ", ".join(["code: string", "n: bigint", "names: array<string>", *[f"v{i}: {kinds[c]}" for i, c in enumerate(columns)]])
+
+    def line(x: Column, names: Column) -> Column:
+        return F.struct(x["code"].alias("code"), x["n"].alias("n"), names.alias("names"), *[x[f"v{i}"].alias(f"v{i}") for i in range(len(columns))])
 
     def step(done: Column, x: Column) -> Column:
         open_ = F.filter(done["path"], lambda p: F.startswith(x["key"], F.concat(p, F.lit("\u0001"))))
         above = F.coalesce(F.length(F.try_element_at(open_, F.lit(-1))), F.lit(0))
-        line = F.struct(x["code"].alias("code"), x["n"].alias("n"), above.alias("above"), *[x[f"v{i}"].alias(f"v{i}") for i in range(len(columns))])
-        return F.struct(F.array_append(open_, x["key"]).alias("path"), F.array_append(done["out"], line).alias("out"))
+        names = F.filter(code_prefixes(x["code"]), lambda p: F.length(p) > above)
+        return F.struct(F.array_append(open_, x["key"]).alias("path"), F.array_append(done["out"], line(x, names)).alias("out"))
 
     start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast(f"array<struct<{out}>>").alias("out"))
-    return together.withColumn("lines", F.aggregate("lines", start, step, lambda done: done["out"]))
+    tree = F.exists("lines", lambda x: F.contains(x["code"], F.lit(".")))
+    return together.withColumn("lines", F.when(tree, F.aggregate("lines", start, step, lambda done: done["out"])).otherwise(F.transform("lines", lambda x: line(x, F.array(x["code"])))))
 
 
 def parts_of(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -107,9 +115,8 @@ def parts_of(values: DataFrame, edges: DataFrame, keys: list[str], value: str) -
 
     So an absent child is given by its topmost parts, and a present one by itself alone. amount is null where the row's is.
     """
-    line = gathered(values, keys, [value]).select(*keys, F.explode("lines").alias("__x"))
-    names = F.filter(code_prefixes(F.col("__x.code")), lambda p: F.length(p) > F.col("__x.above"))
-    each = line.select(*keys, F.explode(names).alias("child"), (F.col("__x.v0") * F.col("__x.n")).alias("amount"))
+    line = gathered(values, keys, [value]).select(*keys, F.explode_outer("lines").alias("__x"))
+    each = line.select(*keys, F.explode("__x.names").alias("child"), (F.col("__x.v0") * F.col("__x.n")).alias("amount"))
     return each.join(bounded(edges), "child")
 
 
@@ -127,11 +134,10 @@ def within(a: Column, b: Column, absolute: float, relative: float) -> Column:
 
 def checked_totals(values: DataFrame, edges: DataFrame, keys: list[str], value: str, absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
     """Each parent that has children with their sum, the difference, and whether they agree; a parent that is there more than once is checked each time."""
-    line = gathered(values, keys, [value]).select(*keys, F.explode("lines").alias("__x"))
-    names = F.filter(code_prefixes(F.col("__x.code")), lambda p: F.length(p) > F.col("__x.above"))
+    line = gathered(values, keys, [value]).select(*keys, F.explode_outer("lines").alias("__x"))
     part = lambda p: F.struct(p.alias("child"), (F.col("__x.v0") * F.col("__x.n")).alias("amount"), F.lit(0).cast("long").alias("own"))
     itself = F.struct(F.col("__x.code").alias("child"), F.col("__x.v0").alias("amount"), F.col("__x.n").alias("own"))
-    each = line.select(*keys, F.explode(F.array_append(F.transform(names, part), itself)).alias("__p")).select(*keys, "__p.*")
+    each = line.select(*keys, F.explode(F.array_append(F.transform("__x.names", part), itself)).alias("__p")).select(*keys, "__p.*")
     rules = bounded(edges.select(F.col("child").alias("__child"), F.col("parent").alias("__parent"), "sign"))
     met = each.join(rules, (F.col("child") == F.col("__child")) & (F.col("own") == 0), "left").where("own > 0 or __child is not null").withColumn("parent", F.coalesce("__parent", "child"))
     found = met.groupBy(*keys, "parent").agg(
@@ -243,24 +249,26 @@ def _repaired_lines(lines: Column, rules: dict[str, str], kinds: list[str], abso
     """lines, as gathered has them, with totals that disagree set to their children's sums, one rule after the other."""
 
     def repair(now: Column, rule: Column) -> Column:
-        belongs = lambda x, c: ((x["code"] == c) | F.startswith(x["code"], F.concat(c, F.lit(".")))) & (F.length(c) > x["above"])
-        times = lambda x, side: F.size(F.filter(rule[side], lambda c: belongs(x, c)))
-        parts = F.filter(now, lambda x: F.exists(rule["plus"], lambda c: belongs(x, c)) | F.exists(rule["minus"], lambda c: belongs(x, c)))
+        weight = lambda x: F.size(F.array_intersect(x["names"], rule["plus"])) - F.size(F.array_intersect(x["names"], rule["minus"]))
 
-        def summed(i: int, kind: str) -> Column:
-            amount = lambda x: (F.coalesce(x[f"v{i}"], F.lit(0)).cast(_sum_kind(kind)) * x["n"] * (times(x, "plus") - times(x, "minus"))).cast(_sum_kind(kind))
+        def summed(parts: Column, i: int, kind: str) -> Column:
+            amount = lambda x: (F.coalesce(x[f"v{i}"], F.lit(0)).cast(_sum_kind(kind)) * x["n"] * weight(x)).cast(_sum_kind(kind))
             return F.aggregate(parts, F.lit(0).cast(_sum_kind(kind)), lambda t, x: (t + amount(x)).cast(_sum_kind(kind)))
 
         def as_told(sums: Column) -> Column:
             def line(x: Column) -> Column:
-                of = lambda i: F.when((x["code"] == rule["parent"]) & ~within(x[f"v{i}"], sums[f"s{i}"], absolute, relative), sums[f"s{i}"].cast(kinds[i])).otherwise(x[f"v{i}"])
-                return F.struct(x["code"].alias("code"), x["n"].alias("n"), x["above"].alias("above"), *[of(i).alias(f"v{i}") for i in range(len(kinds))])
+                of = lambda i: F.when(~within(x[f"v{i}"], sums[f"s{i}"], absolute, relative), sums[f"s{i}"].cast(kinds[i])).otherwise(x[f"v{i}"])
+                told = F.struct(x["code"].alias("code"), x["n"].alias("n"), x["names"].alias("names"), *[of(i).alias(f"v{i}") for i in range(len(kinds))])
+                return F.when(x["code"] == rule["parent"], told).otherwise(x)
 
             return F.transform(now, line)
 
-        sums = F.struct(*[summed(i, k).alias(f"s{i}") for i, k in enumerate(kinds)])  # in an array of one, so that it is worked out once
-        able = F.exists(now, lambda x: x["code"] == rule["parent"]) & (F.size(parts) > 0)
-        return F.when(able, F.element_at(F.transform(F.array(sums), as_told), 1)).otherwise(now)
+        def with_parts(parts: Column) -> Column:
+            sums = F.struct(*[summed(parts, i, k).alias(f"s{i}") for i, k in enumerate(kinds)])
+            return F.when(F.size(parts) > 0, bound(sums, as_told)).otherwise(now)
+
+        parts = F.filter(now, lambda x: F.arrays_overlap(x["names"], rule["plus"]) | F.arrays_overlap(x["names"], rule["minus"]))
+        return F.when(F.exists(now, lambda x: x["code"] == rule["parent"]), bound(parts, with_parts)).otherwise(now)
 
     return F.aggregate(_rule_array(rules), lines, repair)
 
@@ -273,7 +281,7 @@ def repaired_columns(values: DataFrame, rules: dict[str, str], keys: list[str],
     """
     kinds = [dict(values.dtypes)[c] for c in columns]
     both = gathered(values, keys, columns).withColumn("now", _repaired_lines(F.col("lines"), rules, kinds, absolute, relative))
-    rows = both.select(*keys, F.explode(F.arrays_zip("now", "lines")).alias("__x")).select(*keys, "__x.*", F.explode(F.sequence(F.lit(1).cast("long"), "__x.lines.n")))
+    rows = both.select(*keys, F.explode_outer(F.arrays_zip("now", "lines")).alias("__x")).select(*keys, "__x.*", F.explode(F.sequence(F.lit(1).cast("long"), "__x.lines.n")))
     told = rows.select(*keys, "lines.code", *[F.array(F.col(f"now.v{i}"), F.col(f"lines.v{i}")).alias(c) for i, c in enumerate(columns)])
     uncoded = values.where("code is null").select(*keys, "code", *[F.array(F.col(c), F.col(c)).alias(c) for c in columns])
     return told.unionByName(uncoded) if "code" in values.columns and values.schema["code"].nullable else told

@@ -107,21 +107,23 @@ def mode_value_count(counts: DataFrame, keys: list[str], value: str, position: s
     return counts.select(*keys).distinct().join(best, keys, "left").withColumn("mode", F.coalesce("mode", F.lit(default)))
 
 
-def _prefix_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _prefix_sums(df: DataFrame, keys: list[str], value: Column, **more: Column) -> DataFrame:
     """keys, and for each its distinct values in order (x), with how many rows (n) and what sum (s) there are up to each.
 
-    Values are counted before a key's are brought together, so a hot key holds its distinct values only.
+    Values are counted before a key's are brought together, so a hot key holds its distinct values only. more are
+    columns of which each key's largest value goes along. Nulls don't count; a key with nulls only has empty arrays.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    together = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("v"))
+    counted = df.groupBy(*keys, value.cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(n) for n, c in more.items()])
+    pairs = F.collect_list(F.when(F.col("__x").isNotNull(), F.struct(F.col("__x").alias("x"), F.col("__n").alias("n"))))
+    together = counted.groupBy(*keys).agg(F.array_sort(pairs).alias("__v"), *[F.max(n).alias(n) for n in more])
     zero = F.struct(F.array().cast("array<bigint>").alias("n"), F.array().cast("array<double>").alias("s"), F.lit(0).cast("long").alias("tn"), F.lit(0.0).alias("ts"))
 
     def add(done: Column, y: Column) -> Column:
         n, s = done["tn"] + y["n"], done["ts"] + y["x"] * y["n"]
         return F.struct(F.array_append(done["n"], n).alias("n"), F.array_append(done["s"], s).alias("s"), n.alias("tn"), s.alias("ts"))
 
-    sums = together.withColumn("__p", F.aggregate("v", zero, add))
-    return sums.select(*keys, F.transform("v", lambda y: y["x"]).alias("x"), F.col("__p.n").alias("n"), F.col("__p.s").alias("s"))
+    sums = together.withColumn("__p", F.aggregate("__v", zero, add))
+    return sums.select(*keys, F.transform("__v", lambda y: y["x"]).alias("x"), F.col("__p.n").alias("n"), F.col("__p.s").alias("s"), *more)
 
 
 def percentile_of(x: Column, n: Column, share: float) -> Column:
@@ -132,6 +134,20 @@ def percentile_of(x: Column, n: Column, share: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
+def _two_centres(rounds: int) -> Column:
+    """a and b, of x, n and s as _prefix_sums has them; null where there are no values."""
+
+    def step(c: Column, _: Column) -> Column:
+        left = F.size(F.filter("x", lambda y: F.abs(y - c["a"]) <= F.abs(y - c["b"])))
+        n, s = F.coalesce(F.get("n", left - 1), F.lit(0)), F.coalesce(F.get("s", left - 1), F.lit(0.0))
+        right = F.element_at("n", -1) - n
+        a, b = F.when(n > 0, s / n).otherwise(c["a"]), F.when(right > 0, (F.element_at("s", -1) - s) / right).otherwise(c["b"])
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    start = F.struct(percentile_of(F.col("x"), F.col("n"), 0.35).alias("a"), percentile_of(F.col("x"), F.col("n"), 0.7).alias("b"))
+    return F.when(F.size("x") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+
+
 def kmeans_1d(df: DataFrame, keys: list[str], value: str, rounds: int = 15, k: int = 2) -> DataFrame:
     """Centres of a column for each key, by Lloyd's rounds: low, high and their midpoint (split) for k = 2, centre for k = 1.
 
@@ -139,21 +155,12 @@ def kmeans_1d(df: DataFrame, keys: list[str], value: str, rounds: int = 15, k: i
     running sums, and those nearer the lower centre are the first ones, so a round is two look-ups. A centre that no
     value is nearest to stays. Null values take no part; a key without values has no row.
     """
-    sums = _prefix_sums(df, keys, value)
+    sums = _prefix_sums(df.where(F.col(value).isNotNull()), keys, F.col(value))
     if k == 1:
         return sums.select(*keys, (F.element_at("s", -1) / F.element_at("n", -1)).alias("centre"))
     if k != 2:
         raise ValueError("one or two centres")
-
-    def step(c: Column, _: Column) -> Column:
-        left = F.size(F.filter("x", lambda y: F.abs(y - c["a"]) <= F.abs(y - c["b"])))
-        n, s = F.coalesce(F.get("n", left - 1), F.lit(0)), F.coalesce(F.get("s", left - 1), F.lit(0.0))
-        right = F.element_at("n", -1) - n
-        a, b = F.when(n > 0, s / n).otherwise(c["a"]), F.when(right > 0, (F.element_at("s", -1) - s) / right).otherwise(c["b"])
-        return F.struct(a.alias("a"), b.alias("b"))
-
-    start = F.struct(percentile_of(F.col("x"), F.col("n"), 0.35).alias("a"), percentile_of(F.col("x"), F.col("n"), 0.7).alias("b"))
-    found = sums.withColumn("__c", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    found = sums.withColumn("__c", _two_centres(rounds))
     return found.select(*keys, F.col("__c.a").alias("low"), F.col("__c.b").alias("high"), ((F.col("__c.a") + F.col("__c.b")) / 2).alias("split"))
 
 
@@ -162,16 +169,14 @@ def number_columns(tokens: DataFrame, page: list[str], width: Column, least: int
 
     The middles of numbers right of 45 % of the page's width fall into two groups: split1 is 50 left of the first, split2
     between them. Pages with fewer than `least` such numbers are cut at 58 % and 76 %. The code and name columns get 180
-    at least, and the first amount column 120.
+    at least, and the first amount column 120. A page's numbers and its width come from one aggregation.
     """
     middle = F.col("left") + F.col("width") / 2
-    known = tokens.groupBy(*page).agg(F.max(width).alias("__w"))
-    mine = tokens.join(known, page).where(F.col("text").rlike(amount)).select(*page, middle.alias("__x"), "__w").where(F.col("__x") > 0.45 * F.col("__w"))
-    groups = kmeans_1d(mine, page, "__x").join(mine.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")), page)
-    found = known.join(groups.where(F.col("__n") >= least), page, "left")
-    first = F.greatest(F.lit(180), F.coalesce(F.floor(F.col("low") - 50), F.floor(F.col("__w") * 0.58)).cast("int"))
-    second = F.coalesce(F.floor("split"), F.floor(F.col("__w") * 0.76)).cast("int")
-    return found.select(*page, first.alias("split1"), F.greatest(first + 120, second).alias("split2"))
+    sums = _prefix_sums(tokens, page, F.when(F.col("text").rlike(amount) & (middle > 0.45 * width), middle), w=width)
+    found = sums.select(*page, "w", F.when(F.coalesce(F.try_element_at("n", F.lit(-1)), F.lit(0)) >= least, _two_centres(15)).alias("c"))
+    first = F.greatest(F.lit(180), F.coalesce(F.floor(F.col("c.a") - 50), F.floor(F.col("w") * 0.58)).cast("int"))
+    second = F.coalesce(F.floor((F.col("c.a") + F.col("c.b")) / 2), F.floor(F.col("w") * 0.76)).cast("int")
+    return found.select(*page, first.alias("split1"), second.alias("second")).select(*page, "split1", F.greatest(F.col("split1") + 120, "second").alias("split2"))
 
 
 def placed_by_numbers(tokens: DataFrame, columns: DataFrame, page: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import bound, settled
 from ledgerloom.functions import cells, numbers
 from ledgerloom.functions.text import squeezed, truncated
 from ledgerloom.operators.lines import joined_in_order
@@ -87,16 +88,20 @@ def value_tokens(c: Column, accept_small: bool = False, allow_percent: bool = Fa
 
 def tail_values(c: Column, k: int, accept_small: bool = False, allow_percent: bool = False) -> Column:
     """head, values: the last k values and what stands before the first of them; the whole line and none, where there are fewer."""
-    values = value_tokens(c, accept_small, allow_percent, k)
-    pattern = rf"{PERCENT_TOKEN}|{NUMBER_TOKEN}" if allow_percent else NUMBER_TOKEN
-    tokens = F.filter(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda t: F.coalesce(cells.money_token(t, accept_small), cells.percent_token(t)).isNotNull() if allow_percent else cells.money_token(t, accept_small).isNotNull())
-    first = F.element_at(F.slice(tokens, -k, k), 1)
     # from the end: each of the last k tokens is cut off with all that follows its last place
     cut = lambda s, t: F.substr(s, F.lit(1), F.length(s) - F.instr(F.reverse(s), F.reverse(t)) - F.length(t) + 1)
-    rest = F.aggregate(F.reverse(F.slice(tokens, -k, k)), c, cut)
     none = F.array().cast("array<string>")
-    enough = F.size(values) >= k
-    return F.struct(F.when(enough & first.isNotNull(), F.rtrim(rest)).otherwise(c).alias("head"), F.when(enough, F.slice(values, -k, k)).otherwise(none).alias("values"))
+
+    def told(values: Column, tokens: Column) -> Column:
+        rest = F.aggregate(F.reverse(F.slice(tokens, -k, k)), c, cut)
+        enough = F.size(values) >= k
+        return F.struct(F.when(enough & (F.size(tokens) >= k), F.rtrim(rest)).otherwise(c).alias("head"), F.when(enough, F.slice(values, -k, k)).otherwise(none).alias("values"))
+
+    if allow_percent:
+        both = F.filter(F.regexp_extract_all(c, F.lit(rf"{PERCENT_TOKEN}|{NUMBER_TOKEN}"), F.lit(0)), lambda t: F.coalesce(cells.money_token(t, accept_small), cells.percent_token(t)).isNotNull())
+        return bound(F.struct(value_tokens(c, accept_small, True, k).alias("values"), both.alias("tokens")), lambda x: told(x["values"], x["tokens"]))
+    judged = F.transform(F.regexp_extract_all(c, F.lit(NUMBER_TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), cells.money_token(t, accept_small).alias("value")))
+    return bound(F.filter(judged, lambda x: x["value"].isNotNull()), lambda x: told(x["value"], x["token"]))
 
 
 def code_and_name(c: Column) -> Column:
@@ -133,18 +138,15 @@ def long_number_lines(lines: DataFrame, keys: list[str], line: str) -> DataFrame
     tokens = F.regexp_extract_all(line, F.lit(amount), F.lit(0))
     ranked = F.array_sort(F.transform(tokens, lambda t, i: F.struct((-F.length(cells.digits(t))).alias("size"), i.alias("at"), t.alias("token"))))
     two = F.transform(F.array_sort(F.transform(F.slice(ranked, 1, 2), lambda s: F.struct(s["at"], s["token"]))), lambda s: s["token"])
-    steps = {
-        "__two": two,
-        "code": _null(F.regexp_extract(line, r"^\s*(\d{3}(?:\.\d)?)\b", 1)),
-        "note": _null(F.translate(F.regexp_extract(line, r"(?<![\d.,])(\d{1,2}(?:[.,]\d)?)(?![\d.,])", 1), ",", ".")),
-        "end_raw": F.get("__two", F.lit(0)),
-        "begin_raw": F.get("__two", F.lit(1)),
-        "name": cells.line_name(F.col(line), F.col("code"), F.col("note"), F.col("__two")),
-        "end": cells.joined_digits(F.col("end_raw")),
-        "begin": cells.joined_digits(F.col("begin_raw")),
-    }
-    found = _steps(lines.where(F.trim(line) != ""), steps).where("code is not null or end is not null or begin is not null")
-    return found.select(*keys, "code", "name", "note", "end", "begin", "end_raw", "begin_raw")
+    code = _null(F.regexp_extract(line, r"^\s*(\d{3}(?:\.\d)?)\b", 1))
+    note = _null(F.translate(F.regexp_extract(line, r"(?<![\d.,])(\d{1,2}(?:[.,]\d)?)(?![\d.,])", 1), ",", "."))
+    known = settled(lines.where(F.trim(line) != ""), "__x", F.struct(F.col(line).alias("line"), two.alias("two"), code.alias("code"), note.alias("note")))
+    amounts = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: cells.joined_digits(F.get("__x.two", i)))
+    found = settled(known, "__v", amounts)
+    end, begin = F.get("__v", F.lit(0)), F.get("__v", F.lit(1))
+    name = cells.line_name(F.col("__x.line"), F.col("__x.code"), F.col("__x.note"), F.col("__x.two"))
+    kept = found.where(F.col("__x.code").isNotNull() | end.isNotNull() | begin.isNotNull())
+    return kept.select(*keys, F.col("__x.code").alias("code"), name.alias("name"), F.col("__x.note").alias("note"), end.alias("end"), begin.alias("begin"), F.get("__x.two", F.lit(0)).alias("end_raw"), F.get("__x.two", F.lit(1)).alias("begin_raw"))
 
 
 def normal_code(c: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers, periods, text
 from ledgerloom.models import StubRunner
 from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules, statements, tables
-from ledgerloom.plans.registry import fixture, oracle_sql, queries, query, table, values_sql
+from ledgerloom.plans.registry import oracle_sql, queries, query, table, values_sql
 from ledgerloom.sources import readers, sinks, stores
 from ledgerloom.streaming import ingest
 
@@ -165,17 +165,20 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
 
 
-_TITLES = [(1, "BẢNG CÂN ĐỐI KẾ TOÁN\nĐơn vị tính: triệu đồng"), (2, "Báo cáo kết quả hoạt động kinh doanh (nghìn đồng)"), (3, "Statement of Cash Flows, VND"), (4, "CHANGES IN EQUITY tỷ đồng"), (5, "no title"), (6, "Income statement | don vi tinh: dong"), (7, "")]
+_TITLES = ["BẢNG CÂN ĐỐI KẾ TOÁN\nĐơn vị tính: triệu đồng", "Báo cáo kết quả hoạt động kinh doanh (nghìn đồng)", "Statement of Cash Flows, VND", "CHANGES IN EQUITY tỷ đồng", "no title", "Income statement | don vi tinh: dong", ""]
 
 
-@query("""WITH t AS (SELECT id, trim(regexp_replace(translate(strip_accents(lower(x)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS w FROM """ + values_sql(_TITLES, "id, x") + """)
-    SELECT id, CASE WHEN contains(w, 'bang can doi ke toan') OR contains(w, 'balance sheet') OR contains(w, 'statement of financial position') THEN 'balance_sheet'
+@query("""WITH x AS (SELECT doc_id, title || chr(10) || coalesce(text, '') AS text FROM documents JOIN (SELECT * FROM """ + values_sql(list(enumerate(_TITLES)), "i, title") + """) ON i = doc_id % 7),
+    t AS (SELECT doc_id, trim(regexp_replace(translate(""" + _FOLD + """, 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS w FROM x)
+    SELECT doc_id, CASE WHEN contains(w, 'bang can doi ke toan') OR contains(w, 'balance sheet') OR contains(w, 'statement of financial position') THEN 'balance_sheet'
         WHEN contains(w, 'bao cao ket qua hoat dong kinh doanh') OR contains(w, 'income statement') THEN 'income_statement' WHEN contains(w, 'bao cao luu chuyen tien te') OR contains(w, 'cash flow') THEN 'cash_flow'
         WHEN contains(w, 'bao cao thay doi von chu so huu') OR contains(w, 'changes in equity') THEN 'equity_changes' END AS kind,
     CASE WHEN contains(w, 'nghin dong') THEN 1000 WHEN contains(w, 'trieu dong') THEN 1000000 WHEN contains(w, 'ngan dong') THEN 1000 WHEN contains(w, 'vn dong') THEN 1 WHEN contains(w, 'ty dong') THEN 1000000000 WHEN contains(w, 'dong') OR contains(w, 'vnd') THEN 1 END::BIGINT AS multiplier FROM t""")
 def statement_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixture(spark, _TITLES, "id int, x string")
-    return found.select("id", text.statement_kind(F.col("x")).alias("kind"), text.unit_multiplier(F.col("x")).alias("multiplier"))
+    """Documents under seven titles."""
+    title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % 7).cast("int"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.concat(title, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("x"))
+    return found.select("doc_id", text.statement_kind(F.col("x")).alias("kind"), text.unit_multiplier(F.col("x")).alias("multiplier"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(s, 'bctc|balance|fs|financial') THEN 'BCTC' WHEN regexp_matches(s, 'survey|risk|inspection|giamsat') THEN 'survey' ELSE 'other' END AS kind
@@ -225,12 +228,18 @@ def company_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Numbers and periods
 
-_AMOUNTS = [(i, x) for i, x in enumerate(["1.234.567", "1,234,567", "1.234,56", "1 234 567", "(1.234.567)", "-1.234", "12,5%", "O1I.l23.456", "150.9417,655,.545", "1234567890123", "1.234.567.890.123", "", "-", "abc", "1234.0"])]
-_A = values_sql(_AMOUNTS, "id, x")
+# each item's amount in one of fifteen shapes: grouped by dots, commas or spaces, in brackets, with signs, percents, misread letters, too many digits, or none at all
+_A = """(SELECT id, CASE id % 15 WHEN 0 THEN g WHEN 1 THEN replace(g, '.', ',') WHEN 2 THEN g || ',56' WHEN 3 THEN replace(g, '.', ' ') WHEN 4 THEN '(' || g || ')' WHEN 5 THEN '-' || g
+    WHEN 6 THEN (n % 100) || ',5%' WHEN 7 THEN translate(g, '015', 'OIl') WHEN 8 THEN n || '.9417,' || (n % 1000) || ',.545' WHEN 9 THEN rpad(n::VARCHAR, 13, '7') WHEN 10 THEN '1.' || g WHEN 11 THEN '' WHEN 12 THEN '-'
+    WHEN 13 THEN 'abc ' || l_returnflag || ' ' || (n % 100) ELSE n || '.0' END AS x
+    FROM (SELECT id, n, l_returnflag, replace(format('{:,}', n), ',', '.') AS g FROM (SELECT l_orderkey * 10 + l_linenumber AS id, round(l_extendedprice)::BIGINT * (1 + 37 * l_linenumber) AS n, l_returnflag FROM lineitem)))"""
 
 
-def _amounts(spark: SparkSession) -> DataFrame:
-    return fixture(spark, _AMOUNTS, "id int, x string")
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber id", "cast(round(l_extendedprice) as bigint) * (1 + 37 * l_linenumber) n", "l_returnflag").withColumn("g", numbers.grouped(F.col("n")))
+    shapes = ["g", "replace(g, '.', ',')", "concat(g, ',56')", "replace(g, '.', ' ')", "concat('(', g, ')')", "concat('-', g)", "concat(n % 100, ',5%')", "translate(g, '015', 'OIl')", "concat(n, '.9417,', n % 1000, ',.545')",
+        "rpad(string(n), 13, '7')", "concat('1.', g)", "''", "'-'", "concat('abc ', l_returnflag, ' ', n % 100)", "concat(n, '.0')"]
+    return items.selectExpr("id", f"case id % 15 {' '.join(f'when {i} then {x}' for i, x in enumerate(shapes))} end x")
 
 
 _NEG = "(trim(x) LIKE '(%)' OR trim(x) LIKE '-%')"
@@ -245,7 +254,7 @@ def _digits_sql(look: str, like: str) -> str:
     coalesce(try_cast(regexp_replace(x, '[^0-9]', '', 'g') AS DECIMAL(38,0)), 0)::DECIMAL(38,0) AS digits FROM {_A}""")
 def number_parse_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return _amounts(spark).select("id", numbers.recognised(x, 1000).alias("recognised"), numbers.recognised_wide(x).alias("wide"), numbers.first_group(x).alias("first_group"), numbers.digits_only(x).alias("digits"))
+    return _amounts(spark, sf_dir).select("id", numbers.recognised(x, 1000).alias("recognised"), numbers.recognised_wide(x).alias("wide"), numbers.first_group(x).alias("first_group"), numbers.digits_only(x).alias("digits"))
 
 
 def _last_dot_sql(x: str) -> str:
@@ -264,7 +273,7 @@ def _double_sql(x: str) -> str:
     try_cast(CASE WHEN regexp_matches(regexp_replace(x, '[.,\\s]', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace(x, '[.,\\s]', '', 'g') END AS DECIMAL(38,0)) AS dropped FROM d""")
 def number_parse_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return _amounts(spark).select("id", numbers.loose(x).alias("loose"), numbers.stripped(x).alias("stripped"), numbers.comma_decimal(x).alias("comma_decimal"), numbers.separators_dropped(x).alias("dropped"))
+    return _amounts(spark, sf_dir).select("id", numbers.loose(x).alias("loose"), numbers.stripped(x).alias("stripped"), numbers.comma_decimal(x).alias("comma_decimal"), numbers.separators_dropped(x).alias("dropped"))
 
 
 @query(f"""SELECT id, regexp_replace(translate(upper(x), 'OÔU', '000'), '[^0-9.]', '', 'g') AS with_dots, regexp_replace(translate(upper(x), 'OÔU', '000'), '[^0-9]', '', 'g') AS without_dots,
@@ -272,7 +281,7 @@ def number_parse_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     nullif(regexp_extract(x, '(^|\\s)([0-9]{{1,2}})(\\s|$)', 2), '') AS note, array_to_string(list_filter(regexp_extract_all(x, '\\(?-?[0-9][0-9.,]*\\)?'), lambda t: length(regexp_replace(t, '[^0-9]', '', 'g')) >= 7), ' ') AS amounts FROM {_A}""")
 def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return _amounts(spark).select("id", numbers.look_alikes(x).alias("with_dots"), numbers.look_alikes(x, True).alias("without_dots"), numbers.percent(x).alias("share"), numbers.note(x).alias("note"), F.array_join(numbers.amount_tokens(x), " ").alias("amounts"))
+    return _amounts(spark, sf_dir).select("id", numbers.look_alikes(x).alias("with_dots"), numbers.look_alikes(x, True).alias("without_dots"), numbers.percent(x).alias("share"), numbers.note(x).alias("note"), F.array_join(numbers.amount_tokens(x), " ").alias("amounts"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, replace(format('{:,}', round(l_extendedprice)::BIGINT), ',', '.') AS shown, round(l_extendedprice)::DECIMAL(38,0) AS back FROM lineitem""")
@@ -500,15 +509,6 @@ def missing_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.missing_children(_statement(spark, sf_dir), hierarchy.rule_edges(spark, _RULES), ["entity"])
 
 
-_CODES = [(c,) for c in "100 110 111 112 120 130 131 131.1 131.2 139 151 200 210 270 300 310".split()]
-
-
-@query(f"""WITH c AS (SELECT * FROM {values_sql(_CODES, 'code')}), p AS (SELECT code AS child, CASE WHEN contains(code, '.') THEN regexp_extract(code, '^(.*)\\.[^.]*$', 1) WHEN code NOT LIKE '%0' THEN left(code, 2) || '0' WHEN code NOT LIKE '_00' THEN left(code, 1) || '00' END AS parent FROM c)
-    SELECT parent, child FROM p WHERE parent IN (SELECT code FROM c) AND (parent, child) NOT IN (('110', '111'), ('110', '112'))""")
-def new_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.new_children(fixture(spark, _CODES, "code string"), hierarchy.rule_edges(spark, {"110": "111 112"}))
-
-
 _PART_CODES = "SELECT DISTINCT (100 + p_partkey % 900)::VARCHAR || CASE WHEN p_size % 5 = 0 THEN '.' || (p_size % 3 + 1) ELSE '' END AS code FROM part"
 
 
@@ -520,6 +520,11 @@ _VARIANTS = f"""c AS ({_PART_CODES}), v AS (SELECT regexp_extract(code, '^(.*)\\
     UNION ALL SELECT left(code, 2) || '0', code FROM c WHERE NOT contains(code, '.') AND code NOT LIKE '%0' UNION ALL SELECT left(code, 1) || '00', code FROM c WHERE NOT contains(code, '.') AND code LIKE '%0' AND code NOT LIKE '_00')"""
 
 
+@query(f"WITH {_VARIANTS} SELECT parent, child FROM v WHERE parent IN (SELECT code FROM c) AND (parent, child) NOT IN (('110', '111'), ('110', '112'))")
+def new_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.new_children(_part_codes(spark, sf_dir), hierarchy.rule_edges(spark, {"110": "111 112"}))
+
+
 @query(f"WITH {_VARIANTS} SELECT parent, child FROM v WHERE parent IN (SELECT code FROM c)")
 def variant_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.variant_children(_part_codes(spark, sf_dir))

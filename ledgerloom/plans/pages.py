@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import settled
 from ledgerloom.functions import cells, numbers, periods, text
 from ledgerloom.operators import lines, parsers, rules
 from ledgerloom.plans.registry import query, table
@@ -67,15 +68,19 @@ def label_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", cells.fixed_label(x).alias("fixed"), cells.clean_token(x).alias("token"), cells.letters_only(x).alias("letters"), cells.literal_fixed(x).alias("literal"), cells.replaced_patterns(x, [("(chi) (phi)", r"\2 \1"), ("", "")]).alias("swapped"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, replace(format('{:,}', round(l_extendedprice)::BIGINT + 1000), ',', '.') AS "left", replace(format('{:,}', l_partkey::BIGINT + 1000), ',', '.') AS "right",
-    CASE WHEN l_linenumber % 2 = 0 THEN replace(format('{:,}', round(l_extendedprice)::BIGINT + 1000), ',', '.') END AS one_left, CASE WHEN l_linenumber % 2 = 1 THEN replace(format('{:,}', round(l_extendedprice)::BIGINT + 1000), ',', '.') END AS one_right FROM lineitem""")
+_PRICE, _OTHER = "replace(format('{:,}', round(l_extendedprice)::BIGINT + 1000), ',', '.')", "replace(format('{:,}', l_partkey::BIGINT + 1000), ',', '.')"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {_PRICE} AS "left", {_OTHER} AS "right", {_PRICE} AS best_left, {_OTHER} AS best_right,
+    CASE WHEN l_linenumber % 2 = 0 THEN {_PRICE} END AS one_left, CASE WHEN l_linenumber % 2 = 1 THEN {_PRICE} END AS one_right FROM lineitem""")
 def numbers_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two amounts of each line, met in the other order, told apart by where they stand; and one amount, by the second split."""
+    """Two amounts of each line, met in the other order, told apart by where they stand, in both ways; and one amount, by the second split."""
     price, other = numbers.grouped(F.round("l_extendedprice") + 1000), numbers.grouped(F.col("l_partkey") + 1000)
     token = lambda x, left: F.struct(x.alias("text"), left.cast("int").alias("left"), F.lit(40).alias("width"))
-    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(token(other, F.lit(700)), token(F.lit("Khoản mục"), F.lit(10)), token(price, F.lit(500))).alias("tokens"), F.array(token(price, F.when(F.col("l_linenumber") % 2 == 0, 500).otherwise(700))).alias("one"))
-    best = found.withColumn("p", cells.two_by_x(F.col("tokens"))).withColumn("b", cells.best_two_by_x(F.col("tokens"), F.lit(400), F.lit(600))).withColumn("o", cells.best_two_by_x(F.col("one"), F.lit(400), F.lit(600)))
-    return best.where("p = b or p is null").select("l_orderkey", "l_linenumber", "p.left", "p.right", F.col("o.left").alias("one_left"), F.col("o.right").alias("one_right"))
+    shown = settled(table(spark, sf_dir, "lineitem"), "x", F.struct(price.alias("price"), other.alias("other")))
+    found = shown.select("l_orderkey", "l_linenumber", F.array(token(F.col("x.other"), F.lit(700)), token(F.lit("Khoản mục"), F.lit(10)), token(F.col("x.price"), F.lit(500))).alias("tokens"), F.array(token(F.col("x.price"), F.when(F.col("l_linenumber") % 2 == 0, 500).otherwise(700))).alias("one"))
+    best = settled(found, "y", F.struct(cells.two_by_x(F.col("tokens")).alias("p"), cells.best_two_by_x(F.col("tokens"), F.lit(400), F.lit(600)).alias("b"), cells.best_two_by_x(F.col("one"), F.lit(400), F.lit(600)).alias("o")))
+    return best.select("l_orderkey", "l_linenumber", "y.p.left", "y.p.right", F.col("y.b.left").alias("best_left"), F.col("y.b.right").alias("best_right"), F.col("y.o.left").alias("one_left"), F.col("y.o.right").alias("one_right"))
 
 
 # Line parsers: each item written as a line of one kind, and read back

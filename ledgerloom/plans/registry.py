@@ -33,10 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
-
-
 def values_sql(rows: list[tuple], names: str) -> str:
     """The same rows as a SQL table."""
     literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
