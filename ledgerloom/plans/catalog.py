@@ -817,18 +817,31 @@ def fallback_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.better_source(primary, table(spark, sf_dir, "orders").selectExpr("o_orderkey l_orderkey", "0 l_linenumber"), ["l_orderkey"])
 
 
-# Streams, run here as batches of the same expressions
+# Streams: files of events that arrive one after the other, read up by a query whose sink is what comes out
+
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.arriving(table(spark, sf_dir, "events"), F.col("ts"), 4, ingest.shared_path(spark, "events"))
 
 
 @query("""WITH g AS (SELECT *, coalesce((ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g)
     SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n_events, round(sum(value), 6) AS total FROM n GROUP BY user_id, s""")
 def session_gap_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.sessions(table(spark, sf_dir, "events"))
+    return ingest.read_up(ingest.sessions(_arriving(spark, sf_dir)), ingest.shared_path(spark, "sessions"), "complete")
 
 
 @query("SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n_events FROM events GROUP BY ALL")
 def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.windowed(table(spark, sf_dir, "events"))
+    return ingest.read_up(ingest.windowed(_arriving(spark, sf_dir)), ingest.shared_path(spark, "windows"), "complete")
+
+
+@query("""SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' OR event_id % 5 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS unit FROM events""")
+def carried_over_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last known unit of each user, carried from file to file in the state of a stream."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when((F.col("event_type") == "purchase") | (F.col("event_id") % 5 == 0), F.col("value")).alias("unit"))
+    stream = ingest.arriving(events, F.col("event_id"), 4, ingest.shared_path(spark, "events"))
+    return ingest.read_up(ingest.carried_over(stream, "user_id", "event_id", "unit"), ingest.shared_path(spark, "carried"))
 
 
 from ledgerloom.plans import pages  # noqa: E402, F401  registers its queries

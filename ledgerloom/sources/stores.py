@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -129,26 +130,53 @@ def run_report(rows: DataFrame, code: str, values: list[str], config: dict, samp
     return parse_report(rows, code, values).join(codes).join(first).withColumn("config", F.lit(json.dumps(config, sort_keys=True, ensure_ascii=False)))
 
 
-def append_to_store(chunks: DataFrame, path: str, store: str) -> None:
-    """Appends chunks (chunk_id, content, embedding, metadata) to a store, a partition of the table; new ids only."""
+def append_to_store(chunks: DataFrame, path: str, store: str, run: str | None = None) -> str:
+    """Appends chunks (chunk_id, content, embedding, metadata) to a store, a partition of the table; new ids only. Gives the run's name.
+
+    Each run overwrites a partition of its own, and leaves it out of what it compares with: given its name, a run can be
+    repeated, whole or after a failure, and writes the same once. Runs at the same time write apart, and neither sees
+    the other, so they may both bring an id; open_store then shows the row of the run whose name comes first. Of rows of
+    a run that share an id one is kept. Null ids aren't kept.
+    """
+    run = run or uuid.uuid4().hex
     spark = chunks.sparkSession
-    ready = chunks.select("chunk_id", "content", F.col("embedding").cast("array<float>"), F.col("metadata").cast("map<string,string>"), F.lit(store).alias("store"))
-    there = open_store(spark, path, store)
+    ready = chunks.select("chunk_id", "content", F.col("embedding").cast("array<float>"), F.col("metadata").cast("map<string,string>"), F.lit(store).alias("store"), F.lit(run).alias("run"))
+    ready = ready.where("chunk_id is not null").dropDuplicates(["chunk_id"])
+    there = _runs(spark, path)
     if there is not None:
-        ready = ready.join(there.select("chunk_id"), "chunk_id", "left_anti").select(*ready.columns)
-    sinks.write(ready, path, "append", ("store",))
+        ready = ready.join(there.where((F.col("store") == store) & (F.col("run") != run)).select("chunk_id"), "chunk_id", "left_anti").select(*ready.columns)
+    ready.drop("store", "run").write.mode("overwrite").parquet(f"{path}/store={_escaped(store)}/run={_escaped(run)}")
+    return run
+
+
+def _escaped(value: str) -> str:
+    """A value as Spark writes it in the name of a partition."""
+    return "".join(c if c.isalnum() or c in "-_. " else f"%{ord(c):02X}" for c in value) if value.isascii() else "".join(c if c not in "\"#%'*/:=?\\{[]^" else f"%{ord(c):02X}" for c in value)
+
+
+def _runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of a table of stores with their runs; None where the folder isn't there."""
+    try:
+        return spark.read.schema(f"{STORE}, run string").option("basePath", path).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
 
 
 def open_store(spark: SparkSession, path: str, store: str | None = None, fallback: str | None = None) -> DataFrame | None:
-    """A store's chunks, all stores' if none is named; where the folder isn't there the fallback's, and None where neither is."""
+    """A store's chunks, all stores' if none is named; where the folder isn't there the fallback's, and None where neither is.
+
+    An id that two runs at the same time brought is there once: only ids are compared for that, and the rest stays where it is.
+    """
     for folder in filter(None, (path, fallback)):
-        try:
-            found = spark.read.schema(STORE).parquet(folder)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        found = _runs(spark, folder)
+        if found is None:
             continue
-        return found if store is None else found.where(F.col("store") == store)
+        found = found if store is None else found.where(F.col("store") == store)
+        twice = found.groupBy("store", "chunk_id").agg(F.min("run").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("store", "chunk_id", "first")
+        seen = found.join(twice, ["store", "chunk_id"], "left").where("first is null or first = run")
+        return seen.select("chunk_id", "content", "embedding", "metadata", "store")
     return None
 
 

@@ -2,9 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, which driver and executors share; on a local master without one, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def arriving(rows: DataFrame, order: Column, files: int, path: str) -> DataFrame:
+    """rows as a stream of files that come one after the other, each a range of the order, written to path.
+
+    Files count by their times, so these are set in the order of the ranges.
+    """
+    spark = rows.sparkSession
+    rows.repartitionByRange(files, order).write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    found = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, f in enumerate(found):
+        fs.setTimes(f, 1_000_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "100000d").parquet(path)
+
+
+def read_up(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives until its source is read up, from the folder it is written to.
+
+    Each micro-batch overwrites a folder of its own number, so one that is run again writes the same once. In complete
+    mode the last batch has all rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = stream.sparkSession.read.schema(stream.schema).option("basePath", folder)
+    if mode == "complete":
+        return found.parquet(f"{folder}/batch={query.lastProgress.batchId}").drop("batch")
+    return found.parquet(folder).drop("batch")
+
+
+def carried_over(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """A stream's rows with the last known value up to each, also where it came in an earlier micro-batch: key, order, value.
+
+    A key's state is its last known value, and stays as long as the stream does. A micro-batch holds a key's own rows
+    only, and they may come in any order within it; across batches rows come in order.
+    """
+    kinds = dict(stream.dtypes)
+
+    def carry(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        last = state.get[0] if state.exists else None
+        known = rows[value].ffill()
+        rows[value] = known if last is None else known.fillna(last)
+        if len(rows) and pd.notna(rows[value].iloc[-1]):
+            state.update((rows[value].iloc[-1],))
+        yield rows[[key, order, value]]
+
+    own = stream.select(key, order, value).groupBy(key)
+    return own.applyInPandasWithState(carry, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}", f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
@@ -30,16 +102,21 @@ def fresh(stream: DataFrame, path: str, text: str, time: str, late: str = "7 day
 
 
 def upserted(stream: DataFrame, folder: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Appends each micro-batch's rows that the folder doesn't hold yet, until the source is read up."""
+    """Appends each micro-batch's rows that the folder doesn't hold yet, until the source is read up.
+
+    A batch overwrites a folder of its own number and leaves that out of what it compares with, so one that is run again
+    gives the same rows once. Of rows of a batch that share a key any one is kept.
+    """
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def add(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{checkpoint.rstrip('/').rsplit('/', 1)[-1]}-{number}"
         try:
-            there = spark.read.parquet(folder).select(key).distinct()
-            batch = batch.join(there, key, "left_anti")
+            there = spark.read.parquet(folder)
+            there = there.where(F.col("batch").cast("string") != own) if "batch" in there.columns else there
+            batch = batch.join(there.select(key).distinct(), key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        batch.dropDuplicates([key]).write.mode("append").parquet(folder)
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{folder}/batch={own}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -153,3 +153,22 @@ def test_schema_helpers(spark):
     config = ParseConfig.of({"globals": {"unit_multiplier": 1000, "code_aliases": {"131.1": "131"}, "number_cleanup": {"fix_patterns": [{"from": "S", "to": "5"}]}}})
     got = configured_records(spark.createDataFrame([(1, "131 1 Phải thu 1.234.567 (2.000.000)")], "i int, line string"), ["i"], "line", config).first()
     assert (got.code, got.name, int(got.end), int(got.begin), got.unit_multiplier) == ("131", "Phải thu", 1234567000, -2000000000, 1000)
+
+
+def test_store_runs_that_are_repeated_or_meet(spark, tmp_path):
+    """A run given twice is there once; two at the same time that bring the same ids show them once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "runs")
+    chunks = lambda ids, text: spark.createDataFrame([(str(i), text, [1.0], {"type": "table"}) for i in ids], "chunk_id string, content string, embedding array<double>, metadata map<string,string>")
+    seen = lambda: sorted((int(r.chunk_id), r.content, r.store) for r in stores.open_store(spark, path, "a/b c").collect())
+    for _ in range(2):
+        stores.append_to_store(chunks([1, 2, 2], "first"), path, "a/b c", run="r1")
+    assert seen() == [(1, "first", "a/b c"), (2, "first", "a/b c")]
+    stores.append_to_store(chunks([2, 3], "second"), path, "a/b c", run="r2")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda r: stores.append_to_store(chunks([4, 5, r], f"run {r}"), path, "a/b c", run=f"x{r}"), (6, 7)))
+    rows = seen()
+    assert [r[0] for r in rows] == [1, 2, 3, 4, 5, 6, 7] and {r[1] for r in rows[3:5]} <= {"run 6", "run 7"}
+    stores.append_to_store(chunks([9], "other"), path, "b")
+    assert stores.open_store(spark, path).count() == 8 and seen() == rows
