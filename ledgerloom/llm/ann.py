@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals and exact reranking.
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is indexed. The share of the lists that a
-query visits, those whose centroids have the largest product with it, is measured on the sample too: the smallest that
-holds enough of the sample's own nearest neighbours. In the lists, tables of the query's products with each codebook
-give approximate scores, and only the best few of each block are scored exactly.
+query visits, those whose centroids have the largest product with it, is measured on some of the queries themselves,
+whose nearest rows are found by brute force: the smallest that holds enough of these. In the lists, tables of the query's
+products with each codebook give approximate scores, and only the best few of each block are scored exactly: four times
+as many, and again, until the same queries find enough.
 
 A block is a group of lists, or a part of a large one, against a group of queries: at most `most_rows` vectors and as
 many queries. A query is sent once to each block that has a list it visits, not once to each list. Queries that met too
@@ -89,21 +90,42 @@ def _unpacked(column, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
 
 
-def measured_share(quantiser: Quantiser, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> float:
-    """The smallest share of the lists, those nearest to a query, that hold `recall` of its k nearest, over queries of the sample against all of it."""
-    asks = sample[:queries]
-    near = nearest(sample, quantiser.centres)
-    scores = asks @ sample.T
-    scores[np.arange(len(asks)), np.arange(len(asks))] = -np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
-        return 1.0
-    top = np.argpartition(-scores, k - 1, 1)[:, :k]
+def _true_nearest(index: DataFrame, ids: np.ndarray, asks: np.ndarray, size: int, kind: str, k: int) -> np.ndarray:
+    """The k nearest of a few queries among all rows, by brute force: place in asks, vec_id and list, a row each.
+
+    Each task keeps the best k of its rows for each query.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, 4))] * len(asks)
+        for batch in batches:
+            own, near, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unpacked(batch.column(2), kind, batch.num_rows).astype(np.float64)
+            for at in range(0, len(x), 4096):
+                some, scores = own[at : at + 4096], asks @ x[at : at + 4096].T
+                order = np.argsort(some, kind="stable")  # so that ties go to smaller ids
+                for i in range(len(asks)):
+                    met = order[some[order] != ids[i]]
+                    top = met[_best(scores[i, met], k)]
+                    rows = np.concatenate((held[i], np.stack((some[top].view(np.float64), near[at + top].astype(np.float64), scores[i, top], np.full(len(top), float(i))), 1)))
+                    held[i] = rows[np.lexsort((rows[:, 0].copy().view(np.int64), -rows[:, 2]))[:k]]
+        rows = np.concatenate(held)
+        if len(rows):
+            columns = (rows[:, 3].astype(np.int32), rows[:, 0].copy().view(np.int64), rows[:, 1].astype(np.int32), rows[:, 2].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "vec_id", "list", "score"])
+
+    each = index.select("vec_id", "list", "vector").mapInArrow(scan, "place int, vec_id long, list int, score double")
+    best = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
+    rows = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("place", "vec_id", "list").collect()  # k for each of a few queries
+    return np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
+
+
+def needed_lists(quantiser: Quantiser, asks: np.ndarray, nearest_rows: np.ndarray, recall: float) -> int:
+    """The smallest number of lists, those whose centroids are nearest to a query, that hold `recall` of the nearest rows given."""
     order = np.argsort(-(asks @ quantiser.centres.T), 1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
-    needed = np.sort(np.take_along_axis(place, near[top], 1).ravel())
-    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] + 1) / order.shape[1]
+    needed = np.sort(place[nearest_rows[:, 0], nearest_rows[:, 2]])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else len(quantiser.centres)
 
 
 def _best(scores: np.ndarray, most: int) -> np.ndarray:
@@ -194,16 +216,37 @@ def _search(index: DataFrame, queries: DataFrame, asks: int, sizes: dict[int, in
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
+def _tuned(index: DataFrame, some: pa.Table, sizes: dict[int, int], quantiser: Quantiser, size: int, kind: str, k: int, recall: float, rerank: int, most_rows: int) -> tuple[int, int]:
+    """How many lists a query visits and how many candidates of a block are scored exactly, so that the queries given (vec_id, vector) find `recall` of their nearest."""
+    if not some.num_rows:
+        return len(quantiser.centres), rerank
+    ids, asks = some["vec_id"].to_numpy(), _matrix(some["vector"].combine_chunks(), size)
+    true = _true_nearest(index, ids, asks, size, kind, k)
+    probes = needed_lists(quantiser, asks, true, recall)
+    wanted = {(int(ids[place]), vec_id) for place, vec_id, _ in true.tolist()}
+    asked = index.sparkSession.createDataFrame(some)
+    while rerank < most_rows:
+        found = _search(index, asked, len(ids), sizes, quantiser, size, kind, k, probes, rerank, most_rows)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        got = {(r[0], r[1]) for r in found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id").collect()}  # k for each of these queries
+        if len(got & wanted) >= (recall - 0.01) * len(wanted):
+            break
+        rerank *= 4
+    return probes, rerank
+
+
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, probe_share: float | None = None, rerank: int = 160, max_sample: int = 20_000, max_lists: int = 4096, least_rows: int = 4096, most_rows: int = 131_072, vector_col: str = "embedding", id_col: str = "vec_id"
+    vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, probe_share: float | None = None, rerank: int = 160, max_sample: int = 20_000, max_asks: int = 256, max_lists: int = 4096, least_rows: int = 4096, most_rows: int = 131_072, vector_col: str = "embedding", id_col: str = "vec_id"
 ) -> DataFrame:
     """The k nearest found of each row that `queries` picks, among all other rows: query_id, rank, vec_id, score.
 
     Nearest is the largest inner product; ties go to the smaller id. Fitted on at most max_sample vectors, those with
     the least hashes of their ids; about as many lists as the square root of the rows, at most max_lists. A query
-    visits probe_share of the lists; where none is given, the share that holds `recall` of the nearest within the
-    sample: small for clustered vectors, and more than half for directions without clusters (README has figures). Of a
-    block's candidates the best `rerank` by approximate score are scored exactly. Blocks have least_rows to most_rows
+    visits probe_share of the lists, and of a block's candidates the best `rerank` by approximate score are scored
+    exactly. Where no share is given, both are measured: of at most max_asks queries, with the least hashes of their
+    ids, the k nearest among all rows are found by brute force, and the share is that which holds `recall` of them: small
+    for clustered vectors, and more than half for directions without clusters (README has figures); then rerank grows
+    until these queries find that many, less 0.01, or all candidates are scored exactly. Blocks have least_rows to most_rows
     rows and queries, 64 blocks in between. Vectors that are null, zero, of another length than the commonest, or hold
     null or non-finite components take no part, nor do rows with a null id. Repeated rows are candidates each, but no
     row is a candidate of a query with its id. An empty table gives no rows; extra columns are ignored.
@@ -223,8 +266,6 @@ def nearest_neighbours(
     sample = _matrix(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("vector").toArrow()["vector"].combine_chunks(), size)
     quantiser = Quantiser(sample, max(1, min(max_lists, round(total**0.5))))
     lists = len(quantiser.centres)
-    share = measured_share(quantiser, sample, k, recall) if probe_share is None else probe_share
-    probes = min(lists, max(1, -int(-share * lists // 1)))
     rows = min(most_rows, max(least_rows, total // 64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +281,11 @@ def nearest_neighbours(
         # one row a list, of which there are no more than max_lists
         sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
         asking = own.where("asks")
+        if probe_share is not None:
+            probes = min(lists, max(1, -int(-probe_share * lists // 1)))
+        else:
+            some = asking.groupBy("vec_id").agg(F.first("vector").alias("vector")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_asks).toArrow().combine_chunks()
+            probes, rerank = _tuned(index, some, sizes, quantiser, size, kind, k, recall, rerank, rows)
         found = written(_search(index, asking, asks, sizes, quantiser, size, kind, k, probes, rerank, rows), "found")
         enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
         few = written(asking.join(enough, "vec_id", "left_anti"), "few")

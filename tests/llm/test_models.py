@@ -82,6 +82,26 @@ def test_recall_and_exact_scores(spark):
         assert all(s == dict(want[q]).get(i, s) for q, x in found.items() for i, s in x)
 
 
+def test_recall_of_queries_unlike_the_rows(spark):
+    """Queries opposed to the rows' clusters, and residuals that codes tell apart badly: lists and rerank follow the queries."""
+    rng = np.random.default_rng(1)
+    n, size = 3000, 32
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    opposed = unit(unit(rng.normal(size=(50, size)))[rng.integers(0, 50, n)] + 0.04 * rng.normal(size=(n, size)))
+    opposed[::20] *= -1
+    noisy = rng.normal(size=(n, size))
+    for x in (opposed, noisy):
+        x = x.astype(np.float32).astype(float)
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        scores = x[::20] @ x.T
+        scores[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+        want = np.argsort(-scores, 1, "stable")[:, :20]
+        found = {}
+        for r in nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, rerank=20).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(found[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.93
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (7, [1.0], 1), (8, [0.5, 0.25], 1), (20, [0.0, 1.0], 1), (None, [1.0, 1.0], 1), (40, None, 1)]
