@@ -149,10 +149,11 @@ def csv_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("recursiveFileLookup", "true").csv(path).withColumn("source", F.col("_metadata.file_path"))
 
 
-def page_images(paths: DataFrame) -> DataFrame:
-    """base, page and the paths of its bin and orig images, of any number of digits."""
+def page_images(paths: DataFrame, page: Column | None = None) -> DataFrame:
+    """base, page and the paths of its bin and orig images, of any number of digits; page gives the number where names are cut to a width that doesn't hold it."""
     part = lambda i: F.regexp_extract("path", PAGE_IMAGE, i)
-    named = paths.where(F.col("path").rlike(PAGE_IMAGE)).select(part(1).alias("base"), part(2).cast("int").alias("page"), part(3).alias("kind"), "path")
+    number = part(2) if page is None else page
+    named = paths.where(F.col("path").rlike(PAGE_IMAGE)).select(part(1).alias("base"), number.cast("int").alias("page"), part(3).alias("kind"), "path")
     return named.groupBy("base", "page").pivot("kind", ["bin", "orig"]).agg(F.min("path"))
 
 
