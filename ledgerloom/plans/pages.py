@@ -146,8 +146,9 @@ def coded_value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, (l_linenumber + 1) // 2 AS line_no, min(l_linenumber // 2 * 0 + (l_linenumber - 1) // 2 * 40 + (l_linenumber - 1) % 2 * 5)::INT AS top, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY l_linenumber) AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber, any_value(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)
     GROUP BY l_orderkey, (l_linenumber + 1) // 2""".replace("(l_linenumber + 1) // 2 AS line_no", "dense_rank() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber + 1) // 2)::BIGINT AS line_no").replace("l_linenumber // 2 * 0 + ", ""))
 def lines_merged_by_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two recognised lines stand 5 px apart, the next pair 40 px below."""
-    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.first("l_returnflag").alias("flag"))
+    """Two recognised lines stand 5 px apart, the next pair 40 px below. Of rows that share a number, the first of the file is read."""
+    met = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    one = met.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_returnflag", F.when(F.col("l_returnflag").isNotNull(), F.col("at"))).alias("flag"))
     placed = one.selectExpr("l_orderkey", "cast((l_linenumber - 1) div 2 * 40 + (l_linenumber - 1) % 2 * 5 as int) top", "l_linenumber left", "concat(flag, l_linenumber) line").withColumn("last_top", F.col("top"))
     return parsers.merged_by_top(placed, ["l_orderkey"]).select("l_orderkey", "line_no", "top", "line")
 
