@@ -58,8 +58,8 @@ def _bracketed(c: Column) -> Column:
 
 
 def _signed(digits: Column, negative: Column) -> Column:
-    value = F.when(digits.rlike(r"^\d{1,38}$"), digits).try_cast(WHOLE)
-    return F.when(negative, -value).otherwise(value)
+    """A text of digits only as a number: the sign goes into the text, so that both are worked out once."""
+    return F.concat(F.when(negative, "-").otherwise(""), digits).try_cast(WHOLE)
 
 
 def recognised(c: Column, multiplier: int = 1) -> Column:

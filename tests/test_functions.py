@@ -51,3 +51,11 @@ def test_format_and_back(spark, amounts):
     rows = spark.createDataFrame([(i, Decimal(a)) for i, a in enumerate(amounts)], "i int, a decimal(38,0)")
     shown = numbers.grouped(F.col("a"))
     assert all(r.a == r.b for r in rows.select("a", numbers.recognised(shown).alias("b")).collect())
+
+
+def test_leading_zeros_beyond_the_width(spark):
+    x = F.col("x")
+    row = spark.createDataFrame([("(" + "0" * 38 + "12)", "9" * 39, "-", "-0")], "x string, long string, sign string, zero string").select(
+        numbers.recognised(x), numbers.recognised_wide(x), numbers.first_group(x), numbers.recognised(F.col("long")), numbers.recognised(F.col("sign")), numbers.recognised(F.col("zero"))
+    ).first()
+    assert [None if v is None else int(v) for v in row] == [-12, -12, -12, None, None, 0]
