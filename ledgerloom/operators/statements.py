@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, text
+from ledgerloom.functions.binding import settled
 from ledgerloom.models import ModelRunner, generated
 
 AMOUNT = r"\(?-?\d{1,3}(?:[.,]\d{3})+\)?|\(?-?\d{4,}\)?"
@@ -22,7 +23,8 @@ def statement_rows(lines: DataFrame, keys: list[str], line: str, multiplier: int
     """code, name, note, end and begin of lines that hold a code.
 
     A line of three bars or more has them in its cells. In another the code stands first, the amounts are the last two,
-    and the note is a short number or numeral right before them. Each step is a column of its own, worked out once.
+    and the note is a short number or numeral right before them. Each step is a column of its own, worked out once; the
+    filter on codes isn't pushed below the line and the code, which it would work out again.
     """
     cell = lambda i: F.nullif(F.get("__cells", F.lit(i)), F.lit(""))
     amount = lambda i: F.get("__amounts", F.lit(i))
@@ -39,10 +41,10 @@ def statement_rows(lines: DataFrame, keys: list[str], line: str, multiplier: int
         "end": numbers.recognised(amount(0), multiplier),
         "begin": numbers.recognised(amount(1), multiplier),
     }
-    out = lines.select(*keys, F.col(line).alias("__line"))
+    out = settled(lines.select(*keys, F.col(line).alias("__given")), "__line", F.col("__given"))
     for name, step in steps.items():
-        out = out.withColumn(name, step)
-    return out.where("code is not null").select(*keys, "code", text.squeezed(F.col("name")).alias("name"), "note", "end", "begin")
+        out = settled(out, name, step).where("code is not null") if name == "code" else out.withColumn(name, step)
+    return out.select(*keys, "code", text.squeezed(F.col("name")).alias("name"), "note", "end", "begin")
 
 
 def keyword_row(rows: DataFrame, keys: list[str], name: str, position: str, value: str, words: list[str], code: str | None = None) -> DataFrame:
