@@ -58,25 +58,41 @@ def read_up(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return found.parquet(folder).drop("batch")
 
 
-def carried_over(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
+#: Parts that keys are dealt into by their hash; each has one state.
+BUCKETS = 256
+
+
+def _plain(values: pd.Index | pd.Series) -> list:
+    """Values as a state holds them: missing ones null, times without pandas' own type."""
+    return [None if pd.isna(x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in values.tolist()]
+
+
+def carried_over(stream: DataFrame, key: str, order: str, value: str, buckets: int = BUCKETS) -> DataFrame:
     """A stream's rows with the last known value up to each, also where it came in an earlier micro-batch: key, order, value.
 
-    A key's state is its last known value, and stays as long as the stream does. A micro-batch holds a key's own rows
-    only, and they may come in any order within it; across batches rows come in order.
+    A key's last known value is kept as long as the stream is. Keys share the states of `buckets` parts, so that calls of
+    Python grow with the parts and not with the keys. A micro-batch holds a key's own rows only, and they may come in any
+    order within it; across batches rows come in order.
     """
     kinds = dict(stream.dtypes)
 
     def carry(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        last = state.get[0] if state.exists else None
-        known = rows[value].ffill()
-        rows[value] = known if last is None else known.fillna(last)
-        if len(rows) and pd.notna(rows[value].iloc[-1]):
-            state.update((rows[value].iloc[-1],))
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        known = rows.groupby(key, sort=False, dropna=False)[value].ffill()
+        if last:
+            known = known.fillna(rows[key].map(pd.Series(list(last.values()), index=pd.Index(list(last), dtype=rows[key].dtype))))
+        rows[value] = known
+        ends = rows.groupby(key, sort=False, dropna=False)[value].last().dropna()
+        if len(ends):
+            last.update(zip(_plain(ends.index), _plain(ends), strict=True))
+            state.update((list(last), list(last.values())))
         yield rows[[key, order, value]]
 
-    own = stream.select(key, order, value).groupBy(key)
-    return own.applyInPandasWithState(carry, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}", f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
+    # null keys have a part of their own, as pandas tells whole numbers beside nulls by 53 bits only
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    own = stream.select(key, order, value, bucket.alias("__bucket")).groupBy("__bucket")
+    return own.applyInPandasWithState(carry, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}", f"keys array<{kinds[key]}>, lasts array<{kinds[value]}>", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:

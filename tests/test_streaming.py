@@ -22,6 +22,19 @@ def test_values_carried_from_file_to_file(spark, tmp_path):
     assert len([d for d in os.listdir(tmp_path / "out") if d.startswith("batch=")]) >= 5
 
 
+def test_states_do_not_grow_with_keys(spark, tmp_path):
+    """Many keys, one of them null and large ones, share the states of a few parts."""
+    many = spark.range(0, 6000).selectExpr("id", "if(id % 1500 = 7, null, id % 1500 + 9007199254740993) user", "if(id % 4 = 0, id * 1.5D, null) unit")
+    stream = ingest.arriving(many, F.col("id"), 3, str(tmp_path / "in"))
+    got = ingest.read_up(ingest.carried_over(stream, "user", "id", "unit", 16), str(tmp_path / "out"))
+    last, want = {}, []
+    for r in many.orderBy("id").collect():
+        last[r.user] = r.unit if r.unit is not None else last.get(r.user)
+        want.append((r.user, r.id, last[r.user]))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert spark.read.format("statestore").load(str(tmp_path / "out-state")).count() <= 17
+
+
 def test_a_batch_given_again_and_late_files(spark, tmp_path):
     """A second run goes on where the first ended, with the state that it left; a batch written again is there once."""
     kept = rows(spark)
