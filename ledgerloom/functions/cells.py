@@ -137,11 +137,15 @@ def joined_digits(c: Column) -> Column:
 def money_token(c: Column, accept_small: bool = False) -> Column:
     """A token's digits with its sign, brackets as a minus; null below six digits, but for zero, unless accept_small."""
     t, least = F.trim(c), 1 if accept_small else 6
-    core, inner = F.regexp_replace(t, r"[^\d-]", ""), digits(t)
     enough = lambda x: (x == "0") | (F.length(x) >= least)
-    bracketed = F.when((inner != "") & enough(inner), F.concat(F.lit("-"), inner))
-    plain = F.when(core.rlike(r"^-*\d+$") & enough(F.ltrim(core, F.lit("-"))), core)
-    return F.when(t.rlike(r"^\(.*\)$"), bracketed).otherwise(plain)
+
+    def told(core: Column) -> Column:
+        inner = F.translate(core, "-", "")
+        bracketed = F.when((inner != "") & enough(inner), F.concat(F.lit("-"), inner))
+        plain = F.when(core.rlike(r"^-*\d+$") & enough(F.ltrim(core, F.lit("-"))), core)
+        return F.when(t.rlike(r"^\(.*\)$"), bracketed).otherwise(plain)
+
+    return bound(F.regexp_replace(t, r"[^\d-]", ""), told)
 
 
 def percent_token(c: Column) -> Column:

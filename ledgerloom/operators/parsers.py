@@ -107,16 +107,19 @@ def tail_values(c: Column, k: int, accept_small: bool = False, allow_percent: bo
 def code_and_name(c: Column) -> Column:
     """A head's code, a number, numeral or letter, and the name after it; no code where an amount stands in its place."""
     s = F.regexp_replace(F.trim(c), CODE_TITLE, "")
-    code = F.rtrim(F.regexp_extract(s, CODE_HEAD, 1), F.lit("."))
-    good = (code != "") & ~cells.is_money_code(code)
-    return F.struct(F.when(good, code).alias("code"), F.when(good, F.trim(F.regexp_extract(s, CODE_HEAD, 2))).otherwise(s).alias("name"))
+
+    def told(x: Column) -> Column:
+        good = (x["code"] != "") & ~cells.is_money_code(x["code"])
+        return F.struct(F.when(good, x["code"]).alias("code"), F.when(good, F.trim(F.regexp_extract(x["title"], CODE_HEAD, 2))).otherwise(x["title"]).alias("name"))
+
+    return bound(s, lambda title: bound(F.struct(title.alias("title"), F.rtrim(F.regexp_extract(title, CODE_HEAD, 1), F.lit(".")).alias("code")), told))
 
 
 def _valued(df: DataFrame, keys: list[str], text: str, k: int, accept_small: bool, allow_percent: bool) -> DataFrame:
-    steps = {"__tail": tail_values(F.col(text), k, accept_small, allow_percent), "__head": code_and_name(F.col("__tail.head"))}
-    out = _steps(df, steps)
-    name = truncated(F.trim(F.regexp_replace("__head.name", r"^[\d.\s]{3,}\s*", "")))
-    return out.select(*keys, F.col("__head.code").alias("code"), name.alias("name"), *[F.get("__tail.values", F.lit(i)).alias(f"value_{i + 1}") for i in range(k)])
+    out = settled(df, "__tail", tail_values(F.col(text), k, accept_small, allow_percent))
+    out = settled(out, "__head", code_and_name(F.col("__tail.head")))
+    name = F.trim(F.regexp_replace("__head.name", r"^[\d.\s]{3,}\s*", ""))
+    return out.select(*keys, F.col("__head.code").alias("code"), bound(name, lambda n: truncated(n)).alias("name"), *[F.get("__tail.values", F.lit(i)).alias(f"value_{i + 1}") for i in range(k)])
 
 
 def valued_lines(lines: DataFrame, keys: list[str], line: str, k: int = 2, accept_small: bool = False, allow_percent: bool = False) -> DataFrame:

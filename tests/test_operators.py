@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.models import StubRunner, embedded, generated, recognised, scored
-from ledgerloom.operators import documents, hierarchy, lines, ratios, retrieval, rules
+from ledgerloom.operators import documents, hierarchy, lines, parsers, ratios, retrieval, rules
 
 
 @settings(max_examples=60, deadline=None)
@@ -222,3 +222,13 @@ def test_columns_of_pages_without_headers(spark):
     assert got == {1: (473, 623), 2: (580, 760), 3: (580, 760)}
     sides = {(r.page, r.left): r.side for r in lines.placed_by_numbers(df, lines.number_columns(df, ["page"], F.lit(1000)), ["page"]).collect()}
     assert sides[1, 10] == "left" and sides[1, 503] == "end" and sides[1, 706] == "begin" and sides[3, 600] == "end"
+
+
+def test_segments_are_worked_out_once(spark):
+    """Values and names of segments as before, and no part of the chain stands twice in the plan."""
+    texts = spark.createDataFrame([(1, "1 cash-A 1.234.567 2.000.001 2 debt-B 3.333.333 (2.000.020)"), (2, "no amounts here"), (3, "3 " + "q" * 130 + " 1.000.000 -7.000.000")], "k int, text string")
+    found = parsers.valued_segments(texts, ["k"], "text")
+    rows = {(r.k, r.code): (r.name, r.value_1, r.value_2) for r in found.collect()}
+    assert rows == {(1, "1"): ("cash-A", "1234567", "2000001"), (1, "2"): ("debt-B", "3333333", "-2000020"), (3, "3"): ("q" * 117 + "...", "1000000", "-7000000")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 2
