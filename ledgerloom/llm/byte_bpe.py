@@ -1,10 +1,10 @@
 """Byte-level BPE with built-in functions only.
 
-Texts are cut by the pre-token pattern. A word's bytes are an array of binary pieces, folded by a higher-order function:
+Texts are cut by the pre-token pattern. A word's pieces are an array of places, folded by a higher-order function:
 every step merges the leftmost pair of the least rank, until no pair has a rank. Ranks are one literal: an array of
-small buckets, a piece's bucket given by its CRC, so that a look-up takes a few comparisons. The commonest distinct words of
+small maps, a piece's map given by its CRC, so that a look-up takes a few comparisons. The commonest distinct words of
 the corpus, at most `dictionary` of them, are folded once and become a second such literal; all other words are folded
-where they stand. Decoding concatenates the literal binary pieces of the ids.
+where they stand. Decoding joins the literal pieces of the ids, a character for each byte, and encodes them.
 
 A long word is folded in blocks, so that time grows with its length. Pieces are a word's encoding exactly if every two
 that follow each other are the encoding of what they spell together. So blocks are put together where that holds at the
@@ -25,6 +25,10 @@ from ledgerloom.llm.store import scratch, written
 
 #: Bytes of a block of a long word, and pieces that are folded anew on each side of a seam where two don't fit.
 BLOCK, SEAM = 256, 8
+#: The charset that has a character for each byte.
+BYTES = "ISO-8859-1"
+#: Stands for the rank of a merge that there is not.
+NONE = 1 << 30
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -43,20 +47,13 @@ def _literal(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), schema)
 
 
-def _bucketed(entries: dict[bytes, object], kind: str) -> tuple[Column, int]:
-    """A literal of small buckets, each with its binary keys and their values, and how many buckets it has."""
+def _bucketed(entries: dict[str, object], kind: str) -> tuple[Column, int]:
+    """A literal of small maps, the one of a key given by its CRC, and how many they are."""
     count = max(1, len(entries) // 3)
-    buckets: list[dict] = [{"k": [], "v": []} for _ in range(count)]
+    buckets: list[dict] = [{} for _ in range(count)]
     for key, value in entries.items():
-        bucket = buckets[zlib.crc32(key) % count]
-        bucket["k"].append(base64.b64encode(key).decode())
-        bucket["v"].append(value)
-    return _literal(buckets, f"array<struct<k:array<binary>,v:array<{kind}>>>"), count
-
-
-def _looked_up(table: tuple[Column, int], key: Column) -> Column:
-    bucket = F.get(table[0], (F.crc32(key) % table[1]).cast("int"))
-    return F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1)
+        buckets[zlib.crc32(key.encode()) % count][key] = value
+    return _literal(buckets, f"array<map<string,{kind}>>"), count
 
 
 def _let(value: Column, body) -> Column:
@@ -64,42 +61,53 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _looked_up(table: tuple[Column, int], key: Column) -> Column:
+    return F.get(table[0], (F.crc32(key) % table[1]).cast("int"))[key]
+
+
 def merged(word: Column, ranks: tuple[Column, int]) -> Column:
-    """The pieces of a binary word after all merges.
+    """The pieces of a word, a character for each byte, after all merges.
 
-    r has the rank of each piece with the one before it, and null for the first and after the last; null is no rank.
+    The word is never taken apart before the end: a long stands for each place where a piece begins, and for the word's
+    end. It has the rank of the merge that would do away with the place, NONE if there is none, and below it the place:
+    so the least long is the leftmost place of the least rank. A merge drops it and looks up the two places beside it.
     """
-    ranked = lambda pieces: F.transform(pieces, lambda k: _looked_up(ranks, k))
 
-    def step(now: Column, _: Column) -> Column:
-        p, r = now["p"], now["r"]
+    def merging(w: Column) -> Column:
+        def coded(begin: Column, at: Column, end: Column) -> Column:
+            rank = _looked_up(ranks, F.substring(w, begin + 1, end - begin))
+            return F.shiftleft(F.coalesce(rank, F.lit(NONE)).cast("long"), 32) + at
+
+        def step(now: Column, _: Column) -> Column:
+            def merge(i: Column) -> Column:
+                a, b, c, d = (_place(F.get(now, i + k)) for k in (-3, -2, 0, 1))
+                left = F.when(a.isNull(), F.get(now, i - 2)).otherwise(coded(a, b, c))
+                right = F.when(d.isNull(), F.get(now, i)).otherwise(coded(b, c, d))
+                return F.flatten(F.array(F.slice(now, F.lit(1), i - 2), F.array(left, right), F.slice(now, i + 2, F.size(now))))
+
+            return _let(F.array_min(now), lambda low: F.when(low >= NONE << 32, now).otherwise(_let(F.array_position(now, low).cast("int"), merge)))
 
-        def merge(i: Column) -> Column:
-            def joined(piece: Column) -> Column:
-                beside = F.array(F.concat(F.get(p, i - 3), piece), F.concat(piece, F.get(p, i)))
-                pieces = F.concat(F.slice(p, F.lit(1), i - 2), F.array(piece), F.slice(p, i + 1, F.size(p)))
-                others = F.concat(F.slice(r, F.lit(1), i - 2), ranked(beside), F.slice(r, i + 2, F.size(r)))
-                return F.struct(pieces.alias("p"), others.alias("r"))
+        def cut(places: Column) -> Column:
+            return F.transform(F.slice(places, F.lit(2), F.size(places) - 1), lambda end, i: F.substring(w, F.get(places, i) + 1, end - F.get(places, i)))
 
-            return F.when(i.isNull(), now).otherwise(_let(F.concat(F.get(p, i - 2), F.get(p, i - 1)), joined))
+        size = F.length(w)
+        each = F.transform(F.sequence(F.lit(0), size), lambda i: F.when((i == 0) | (i == size), F.lit(NONE << 32) + i).otherwise(coded(i - 1, i, i + 1)))
+        left = F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), each, step)
+        return F.when(size == 0, F.array().cast("array<string>")).otherwise(_let(F.transform(left, _place), cut))
 
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), merge)
+    return _let(word, merging)
 
-    def start(c: Column) -> Column:
-        pairs = F.transform(c, lambda x, i: F.concat(F.get(c, i - 1), x))
-        return F.struct(c.alias("p"), F.concat(ranked(pairs), F.array(F.lit(None).cast("int"))).alias("r"))
 
-    each = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), _let(each, start), step, lambda now: now["p"])
+def _place(coded: Column) -> Column:
+    return coded.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
 def spelt(pieces: Column) -> Column:
-    """The bytes of binary pieces in turn."""
-    return F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b))
+    return F.array_join(pieces, "")
 
 
 def merged_in_blocks(word: Column, ranks: tuple[Column, int], block: int = BLOCK, seam: int = SEAM) -> Column:
-    """The same of a long word, from its blocks of bytes."""
+    """The same of a long word, from its blocks."""
 
     def fits(a: Column, b: Column) -> Column:
         return merged(F.concat(a, b), ranks) == F.array(a, b)
@@ -117,14 +125,18 @@ def merged_in_blocks(word: Column, ranks: tuple[Column, int], block: int = BLOCK
 
     starts = F.sequence(F.lit(1), F.length(word), F.lit(block))
     blocks = F.transform(starts, lambda at: merged(F.substring(word, at, F.lit(block)), ranks))
-    return F.aggregate(blocks, F.array().cast("array<binary>"), put_together)
+    return F.aggregate(blocks, F.array().cast("array<string>"), put_together)
 
 
 def word_ids(word: Column, ranks: tuple[Column, int]) -> Column:
-    """A binary word's ids as decimal text, joined by spaces."""
-    pieces = F.when(F.length(word) <= BLOCK, merged(word, ranks)).otherwise(merged_in_blocks(word, ranks))
-    each = F.transform(pieces, lambda p: _looked_up(ranks, p).cast("string"))
-    return F.coalesce(_looked_up(ranks, word).cast("string"), F.array_join(each, " "))
+    """A word's ids as decimal text, joined by spaces."""
+
+    def ids(w: Column) -> Column:
+        pieces = F.when(F.length(w) <= BLOCK, merged(w, ranks)).otherwise(merged_in_blocks(w, ranks))
+        each = F.transform(pieces, lambda p: _looked_up(ranks, p).cast("string"))
+        return F.coalesce(_looked_up(ranks, w).cast("string"), F.array_join(each, " "))
+
+    return _let(F.decode(word.cast("binary"), BYTES), ids)
 
 
 def common_words(words: DataFrame, most: int) -> DataFrame:
@@ -148,25 +160,25 @@ def encode_and_decode(docs: DataFrame, path: str = DEFAULT_RANKS, pattern: str =
     over all documents; the literal of the commonest is bounded by `dictionary`.
     """
     known = read_ranks(path)
-    rank_maps, count = _bucketed(known, "int")
+    rank_maps, count = _bucketed({piece.decode(BYTES): rank for piece, rank in known.items()}, "int")
     pieces: list[str] = [""] * (max(known.values()) + 1)
     for piece, rank in known.items():
-        pieces[rank] = base64.b64encode(piece).decode()
+        pieces[rank] = piece.decode(BYTES)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     with scratch(docs.sparkSession):
         common = common_words(docs.select(F.explode(words).alias("word")), dictionary)
-        folded = _let(rank_maps, lambda r: word_ids(F.col("word").cast("binary"), (r, count)))
-        found = common.repartition(F.xxhash64("word")).select(F.col("word").cast("binary").alias("word"), folded.alias("ids")).toArrow()
+        folded = _let(rank_maps, lambda r: word_ids(F.col("word"), (r, count)))
+        found = common.repartition(F.xxhash64("word")).select("word", folded.alias("ids")).toArrow()
     word_maps, word_count = _bucketed(dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)), "string")
-    # each literal is bound once: the plan has one copy of it
-    of = lambda t, r: F.transform(words, lambda w: _let(w.cast("binary"), lambda b: F.coalesce(_looked_up((t, word_count), b), word_ids(b, (r, count)))))
-    ids = docs.select(F.col(id_col), F.array_join(_let(word_maps, lambda t: _let(rank_maps, lambda r: of(t, r))), " ").alias("ids"))
-    vocabulary = _literal(pieces, "array<binary>")
+    # the literal of ranks is bound once: the plan has one copy of it
+    of = lambda r: F.transform(words, lambda w: F.coalesce(_looked_up((word_maps, word_count), w), word_ids(w, (r, count))))
+    ids = docs.select(F.col(id_col), F.array_join(_let(rank_maps, of), " ").alias("ids"))
+    vocabulary = _literal(pieces, "array<string>")
     each = F.when(F.col("ids") == "", F.array().cast("array<string>")).otherwise(F.split("ids", " "))
-    parts = lambda v: F.transform(F.sequence(F.lit(1), F.size(each) + 1, F.lit(512)), lambda at: spelt(F.transform(F.slice(each, at, F.lit(512)), lambda i: F.get(v, i.cast("int")))))
-    return ids.select(
+    spelling = F.array_join(F.transform("each", lambda i: F.get(vocabulary, i.cast("int"))), "")
+    return ids.withColumn("each", each).select(
         F.col(id_col),
-        F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1).cast("long").alias("n_tokens"),
+        F.size("each").cast("long").alias("n_tokens"),
         F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(spelt(_let(vocabulary, parts)), 256).alias("decoded_sha256"),
+        F.sha2(F.encode(spelling, BYTES), 256).alias("decoded_sha256"),
     )

@@ -35,3 +35,14 @@ def test_time_of_long_words(spark):
         encode_and_decode(docs, dictionary=0).collect()
         took.append(time.perf_counter() - start)
     assert took[2] <= 8 * took[1]
+
+
+def test_time_of_long_texts(spark):
+    took = []
+    for n in (2000, 40000, 320000):  # the first one warms up
+        docs = frame(spark, [(1, "the cat " * (n // 2))])
+        start = time.perf_counter()
+        got = encode_and_decode(docs).collect()
+        took.append(time.perf_counter() - start)
+        assert got[0].n_tokens == n + 1 and got[0].decoded_sha256 == _digest(b"the cat " * (n // 2))
+    assert took[2] <= 3 * took[1], took
